@@ -45,4 +45,4 @@ def preview(text: Column, chars: int = fixed.PREVIEW_CHARS) -> Column:
 
 def tokens(text: Column) -> Column:
     """Space-separated tokens of cleaned text; empty text has none."""
-    return F.filter(F.split(text, " "), lambda t: t != "")
+    return F.array_remove(F.split(text, " "), "")

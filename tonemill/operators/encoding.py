@@ -40,21 +40,21 @@ def encode_text(df: DataFrame, vocab: DataFrame, max_length: int, column: str =
     """
     if max_length < 2:
         raise ValueError("max_length must leave room for the two markers")
-    pairs, small = settle(vocab.select("token", F.col("id").cast("int").alias("id")), MAX_CARRIED_VOCAB)
+    pairs, carried = settle(vocab.select("token", F.col("id").cast("int").alias("id")), MAX_CARRIED_VOCAB)
     kept = F.slice(tx.tokens(F.col(column)), 1, max(max_length - 2, 1)) if max_length > 2 else F.array().cast("array<string>")
-    if small:
-        coded = df.withColumn("__ids", _lookup(kept, pairs))
+    if carried is not None:
+        coded = df.withColumn("__ids", _lookup(kept, pairs, carried.num_rows))
     else:
         coded = _join_lookup(df, kept, pairs)
     return _pad(coded, max_length)
 
 
-def _lookup(words: Column, pairs: DataFrame) -> Column:
+def _lookup(words: Column, pairs: DataFrame, size: int) -> Column:
     """Token ids from a hash table that is one constant of the plan.
 
     Slots of a few entries keep a look-up short; a map column would be searched entry by entry.
     """
-    slots = max(1, pairs.count() // ENTRIES_PER_SLOT)
+    slots = max(1, size // ENTRIES_PER_SLOT)
     entry = "array<struct<token:string,id:int>>"
 
     def slot(token: Column) -> Column:

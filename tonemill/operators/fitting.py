@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,6 +23,7 @@ from tonemill.operators.metrics import weighted_prf
 from tonemill.operators.sampling import batch_rows
 from tonemill.operators.ranking import with_positions
 from tonemill.operators.scoring import layered_scorer, score_batches
+from tonemill.session import settle
 
 HISTORY_SCHEMA = "epoch int, train_loss double, val_loss double, accuracy double, precision double, recall double, f1 double"
 # Number of the bias among the weights of a class.
@@ -51,25 +52,22 @@ def weights_from_table(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return wide.drop(columns=BIAS_INDEX).sort_index(axis=1).to_numpy(), wide[BIAS_INDEX].to_numpy()
 
 
-def text_stages(features: int = 1 << 18, max_iter: int = 20, reg: float = 0.01) -> Pipeline:
-    """Text to class: tokens, hashed counts, inverse document frequency, linear head.
+def fit_text(docs: DataFrame, features: int = 1 << 18, max_iter: int = 20, reg: float = 0.01) -> PipelineModel:
+    """Fit text to class on ``(text, label)``: tokens, hashed counts, inverse document frequency, linear head.
 
-    Hashing needs no vocabulary pass and bounds the model whatever the corpus holds.
+    Hashing needs no vocabulary pass and bounds the model whatever the corpus holds. Texts are cut and counted
+    once; the later passes read the persisted counts.
     """
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"),
-            HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-            IDF(inputCol="counts", outputCol="features"),
-            LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg),
-        ]
-    )
-
-
-def fit_text(docs: DataFrame, features: int = 1 << 18, max_iter: int = 20) -> PipelineModel:
-    """Fit ``text_stages`` on ``(text, label)``."""
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+")
+    hashed = HashingTF(inputCol="words", outputCol="counts", numFeatures=features)
     ready = docs.select("text", F.col("label").cast("double").alias("label"))
-    return text_stages(features, max_iter).fit(ready)
+    counts = hashed.transform(words.transform(ready)).select("label", "counts").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weighting = IDF(inputCol="counts", outputCol="features").fit(counts)
+        head = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg).fit(weighting.transform(counts))
+    finally:
+        counts.unpersist()
+    return PipelineModel(stages=[words, hashed, weighting, head])
 
 
 @dataclass(frozen=True)
@@ -187,8 +185,7 @@ def validate(val: DataFrame, params: np.ndarray, dims: int) -> dict[str, float]:
         .groupBy("y", "pred")
         .agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
     )
-    table = cells.toArrow()
-    counts = spark.createDataFrame(table, cells.schema)
+    counts, _ = settle(cells)
     loss, hits, n = counts.agg(F.sum("loss"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")).first()
     scores = weighted_prf(counts).first().asDict()
     return {"val_loss": loss, "accuracy": hits / n, **scores}

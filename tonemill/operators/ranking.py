@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def mark_smallest_per_group(
     )
 
     digits = DIGITS_PER_LEVEL
-    histogram, small = settle(keyed.groupBy("grp", F.substring("key", 1, digits).alias("prefix")).agg(F.count("*").alias("n")))
+    histogram, _ = settle(keyed.groupBy("grp", F.substring("key", 1, digits).alias("prefix")).agg(F.count("*").alias("n")))
     # One row per group. Within the limit it is a local table, so this is driver-side work on a few rows.
     goals = quotas(histogram.groupBy("grp").agg(F.sum("n").alias("size")))
     whole = goals.select(
@@ -84,14 +85,14 @@ def mark_smallest_per_group(
 
     cut, pinned = settle(cut_bucket(histogram, whole))
     while digits < 30:
-        # A table of many groups is not pinned; it is refined without looking at its counts.
-        if small and pinned and (cut.agg(F.max("n")).first()[0] or 0) <= MAX_CUT_ROWS:
+        # A table of very many groups is not pinned; it is refined once without looking at its counts.
+        if pinned is not None and (pc.max(pinned["n"]).as_py() or 0) <= MAX_CUT_ROWS:
             break
         rows = inside(cut.select("grp", "cut"), digits)
         digits += DIGITS_PER_LEVEL
         finer = rows.groupBy("grp", F.substring("key", 1, digits).alias("prefix")).agg(F.count("*").alias("n"))
         cut, pinned = settle(cut_bucket(finer, cut))
-        if not pinned:
+        if pinned is None:
             break
 
     last_row = Window.partitionBy("grp").orderBy("key", "id")

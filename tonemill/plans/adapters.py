@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill.functions import labels as lb
-from tonemill.functions import vectors as vx
 
 DIMS = 64
 VECTOR_CLASSES = 10
@@ -58,14 +57,16 @@ def score_labels(df: DataFrame) -> DataFrame:
     weighted = df.select(
         "row_id", y.alias("y"), *others,
         weight(7, 97, 60, 0).alias("w0"), weight(11, 89, 40, 1).alias("w1"), weight(13, 83, 60, 2).alias("w2"),
-    )
-    ws = [F.col(f"w{c}").cast("double") for c in range(3)]
-    total = ws[0] + ws[1] + ws[2]
+    ).withColumn("total", (F.col("w0") + F.col("w1") + F.col("w2")).cast("double"))
+    w = [F.col(f"w{c}") for c in range(3)]
+    # Dividing by the common total keeps the order, so the largest weight is the prediction.
+    pred = F.when((w[0] >= w[1]) & (w[0] >= w[2]), 0).when(w[1] >= w[2], 1).otherwise(2)
     return weighted.select(
         "row_id", "y", *others,
-        F.array(*[w / total for w in ws]).alias("probs"),
-        F.array(*[w / 10.0 for w in ws]).alias("logits"),
-    ).withColumn("pred", vx.argmax(F.col("probs")))
+        F.array(*[x.cast("double") / F.col("total") for x in w]).alias("probs"),
+        F.array(*[x.cast("double") / 10.0 for x in w]).alias("logits"),
+        pred.alias("pred"),
+    )
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

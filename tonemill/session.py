@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,14 +58,15 @@ def bucket_count(spark: SparkSession) -> int:
     return max(1, min(partitions, MAX_BUCKETS))
 
 
-def settle(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, bool]:
+def settle(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """Compute a per-group table and pin it if it is small.
 
-    At most ``limit + 1`` rows reach the driver. A table within the limit comes back as a local
-    table marked for broadcast, so joining it to wide rows costs no shuffle. A longer one comes
-    back as it was, and the same join runs as a shuffle join.
+    At most ``limit + 1`` rows reach the driver. A table within the limit comes back as a local table in one
+    partition, marked for broadcast: work on it needs no shuffle, and neither does joining it to wide rows. Its
+    rows come along as well. A longer table comes back as it was, with None, and the same join runs as a
+    shuffle join.
     """
     rows = df.limit(limit + 1).toArrow()
     if rows.num_rows > limit:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema)), True
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema).coalesce(1)), rows
