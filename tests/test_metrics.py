@@ -123,7 +123,8 @@ def test_all_right_all_wrong(spark, rows, value):
 
 
 def points(spark, rows):
-    return spark.createDataFrame(rows, "cls string, score double, pos int")
+    """Threshold counts of (cls, score, pos) rows."""
+    return cv.curve_counts(spark.createDataFrame(rows, "cls string, score double, pos int"))
 
 
 def brute(rows):
@@ -169,11 +170,26 @@ def test_curves_against_brute_force(spark, name):
 
 
 def test_auc_depends_on_order_only(spark):
-    df = points(spark, CASES["mixed"])
-    warped = df.withColumn("score", F.exp(F.col("score") * 5))
-    assert cv.roc_auc(df).first() == cv.roc_auc(warped).first()
+    raw = spark.createDataFrame(CASES["mixed"], "cls string, score double, pos int")
+
+    def auc(df):
+        return cv.roc_auc(cv.curve_counts(df)).first()
+
+    assert auc(raw) == auc(raw.withColumn("score", F.exp(F.col("score") * 5)))
     for parts in (1, 7, 64):
-        assert cv.roc_auc(df.repartition(parts)).first() == cv.roc_auc(df).first()
+        assert auc(raw.repartition(parts)) == auc(raw)
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 50])
+def test_bucketing_does_not_change_the_curve(spark, buckets, monkeypatch):
+    monkeypatch.setattr(cv, "bucket_count", lambda _: buckets)
+    df = points(spark, CASES["hot"])
+    rows = df.orderBy(F.desc("score")).collect()
+    at, p, n = brute(CASES["hot"])
+    assert [(r["score"], r["tp"], r["fp"]) for r in rows] == at
+    assert [r["next_pos"] for r in rows] == [r["pos"] for r in rows[1:]] + [None]
+    assert [r["first"] for r in rows] == [True] + [False] * (len(rows) - 1)
+    assert {(r["all_pos"], r["all_neg"]) for r in rows} == {(p, n)}
 
 
 @pytest.mark.parametrize("pos", [0, 1])
@@ -187,8 +203,10 @@ def test_one_sided_curves(spark, pos):
 
 def test_binary_scores_have_two_classes(spark):
     df = spark.createDataFrame([(1, 0, [0.9, 0.1]), (2, 1, [0.4, 0.6])], "row_id long, y int, probs array<double>")
-    assert {r["cls"]: r["auc"] for r in cv.roc_auc(cv.class_points(df)).collect()} == {"0": 1.0, "1": 1.0}
-    assert cv.roc_auc(cv.class_points(df, micro=True)).first()["cls"] == "micro"
+    assert {r["cls"]: r["auc"] for r in cv.roc_auc(cv.curve_counts(cv.class_points(df))).collect()} == {"0": 1.0, "1": 1.0}
+    counts = cv.score_counts(cv.class_points(df))
+    pooled = cv.pooled_counts(counts)
+    assert cv.roc_auc(cv.running_counts(pooled)).first() == cv.roc_auc(cv.curve_counts(cv.class_points(df, micro=True))).first()
 
 
 def confidences(spark, values):

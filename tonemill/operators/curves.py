@@ -24,17 +24,28 @@ def class_points(scored: DataFrame, micro: bool = False) -> DataFrame:
     return pairs.select(cls.alias("cls"), "score", "pos")
 
 
-def running_counts(points: DataFrame) -> DataFrame:
+def score_counts(points: DataFrame) -> DataFrame:
+    """Positive and negative rows per class and distinct score; counted map-side first."""
+    return points.groupBy("cls", "score").agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
+
+
+def pooled_counts(counts: DataFrame) -> DataFrame:
+    """The ``micro`` counts from those of the classes."""
+    return counts.groupBy(F.lit(MICRO).alias("cls"), "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def running_counts(counts: DataFrame, sketch: DataFrame | None = None) -> DataFrame:
     """Per class and distinct score: true and false positives at that threshold, and what the curves need.
 
+    ``sketch`` is a table with the scores to find bucket edges from, if that is cheaper to read than
+    ``counts``. All four curve functions read this table, so store it to draw more than one.
+
     Columns: ``cls, score, pos, neg`` (rows at this score), ``tp, fp`` (rows at this score or above),
     ``all_pos, all_neg``, ``first``/``last`` in descending score order, ``next_pos, next_neg`` (rows at the
     next lower score).
     """
-    cutter = quantile_buckets(points, "score", bucket_count(points.sparkSession), "bucket")
-    counts = points.groupBy("cls", "score").agg(
-        F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg")
-    )
+    source = counts if sketch is None else sketch
+    cutter = quantile_buckets(source, "score", bucket_count(counts.sparkSession), "bucket")
     counts = cutter.transform(counts) if cutter else counts.withColumn("bucket", F.lit(0.0))
     counts = counts.withColumn("bucket", F.col("bucket").cast("int"))
 
@@ -84,12 +95,16 @@ def _share(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
-def roc_curve(points: DataFrame) -> DataFrame:
+def curve_counts(points: DataFrame) -> DataFrame:
+    """``running_counts`` straight from points; the edges come from a scan of the scores, before any shuffle."""
+    return running_counts(score_counts(points), points)
+
+
+def roc_curve(run: DataFrame) -> DataFrame:
     """``(cls, threshold, fpr, tpr)``: corner points only, with (0, 0) at threshold infinity.
 
     A point inside a straight stretch, where the next step equals the last one, is left out.
     """
-    run = running_counts(points)
     bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     kept = run.where(F.col("first") | F.col("last") | bend)
     here = F.struct(
@@ -105,9 +120,8 @@ def roc_curve(points: DataFrame) -> DataFrame:
     return kept.select("cls", F.inline(F.when(F.col("first"), F.array(start, here)).otherwise(F.array(here))))
 
 
-def roc_auc(points: DataFrame) -> DataFrame:
+def roc_auc(run: DataFrame) -> DataFrame:
     """Area under the ROC curve by trapezoids, in exact integers up to one division; null if undefined."""
-    run = running_counts(points)
     wide = "decimal(38,0)"
     # Twice the trapezoid: step width times (height before + height after).
     twice = F.col("neg").cast("decimal(18,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(19,0)")
@@ -124,9 +138,8 @@ def _recall(tp: Column) -> Column:
     return F.when(F.col("all_pos") == 0, 1.0).otherwise(_share(tp, F.col("all_pos")))
 
 
-def pr_curve(points: DataFrame) -> DataFrame:
+def pr_curve(run: DataFrame) -> DataFrame:
     """``(cls, threshold, precision, recall)`` at every distinct score, and the end point (1, 0) without one."""
-    run = running_counts(points)
     here = F.struct(
         F.col("score").alias("threshold"),
         _share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -136,9 +149,8 @@ def pr_curve(points: DataFrame) -> DataFrame:
     return run.select("cls", F.inline(F.when(F.col("first"), F.array(here, end)).otherwise(F.array(here))))
 
 
-def average_precision(points: DataFrame) -> DataFrame:
+def average_precision(run: DataFrame) -> DataFrame:
     """Precision summed over the steps of recall; 0 for a class without rows."""
-    run = running_counts(points)
     step = F.col("pos").cast("double") * F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double")
     return run.groupBy("cls").agg(
         F.coalesce(F.sum(step) / F.nullif(F.max("all_pos").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("ap")

@@ -24,6 +24,8 @@ from tonemill.session import bucket_count, settle
 DIGITS_PER_LEVEL = 3
 # Rows of one group's cut bucket that may be ranked in one task.
 MAX_CUT_ROWS = 500_000
+# Groups of partitions whose quantile sketches are merged apart.
+SKETCH_GROUPS = 256
 # Sort before and after every md5 string.
 BEFORE_ALL = ""
 AFTER_ALL = "g"
@@ -136,17 +138,23 @@ def smallest_per_group(
 
 
 def quantile_buckets(df: DataFrame, column: str, buckets: int, out: str = "bucket") -> Bucketizer | None:
-    """A transformer that cuts ``column`` at quantiles, so that buckets hold equal numbers of rows.
+    """A transformer that cuts ``column`` at quantiles, so that buckets hold about equal numbers of rows.
 
-    The sketch merges on the executors; the driver sees at most ``buckets`` numbers. Returns None when
-    one bucket is enough.
+    The edges only balance the work: every row lands in a bucket and any edges give the same results. So they
+    are quantiles of quantiles: partitions are sketched in groups, and the group quantiles are sketched once
+    more, which keeps one task from merging the sketches of all partitions. The driver sees at most
+    ``buckets`` numbers. Returns None when one bucket is enough.
     """
     if buckets < 2:
         return None
-    marks = [i / buckets for i in range(1, buckets)]
+    # As one text literal: a list would be one expression per mark.
+    marks = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
     accuracy = max(10_000, 4 * buckets)
-    edges = df.agg(F.percentile_approx(F.col(column).cast("double"), marks, accuracy).alias("edges")).first()["edges"]
-    inner = sorted({float(e) for e in edges or []})
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+    values = F.col(column).cast("double")
+    partial = df.select(group.alias("g"), values.alias("v")).groupBy("g").agg(F.percentile_approx("v", marks, accuracy).alias("q"))
+    edges = partial.select(F.explode("q").alias("v")).agg(F.percentile_approx("v", marks, accuracy).alias("edges")).first()["edges"]
+    inner = sorted(set(edges or []))
     if not inner:
         return None
     return Bucketizer(

@@ -12,18 +12,22 @@ from tonemill.operators import curves as cv
 from tonemill.operators import metrics as mt
 from tonemill.operators.scoring import spot_check
 from tonemill.session import settle
-from tonemill.sources.sinks import report_json, report_lines, write_json, write_lines
+from tonemill.sources.sinks import report_json, report_lines, store, write_json, write_lines
 
 
-def evaluation_tables(scored: DataFrame, classes: int) -> dict[str, DataFrame]:
+def evaluation_tables(scored: DataFrame, classes: int, folder: str) -> dict[str, DataFrame]:
     """Report tables of ``(row_id, y, pred, probs)``.
 
-    The counts are one pass; every table over ``(y, pred)`` is made from them. Read ``scored`` from a written
-    table: the curves and the histogram scan it again, and a model should not run again for that.
+    The (y, pred) counts are one pass, and every table over them is made from the few rows it leaves. The
+    threshold counts behind the curves are stored once under ``folder`` and read by all curves; the pooled
+    ones are made from those of the classes. Give ``scored`` as a written table: it is scanned for the counts,
+    the thresholds and the histogram, and a model should not run again for that.
     """
     counts, _ = settle(mt.confusion_counts(scored))
     matrix = mt.confusion_matrix(counts, classes)
-    by_class, pooled = cv.class_points(scored), cv.class_points(scored, micro=True)
+    per_score = store(cv.score_counts(cv.class_points(scored)), f"{folder}/score_counts")
+    every_score = per_score.unionByName(cv.pooled_counts(per_score))
+    run = store(cv.running_counts(every_score, per_score), f"{folder}/threshold_counts")
     return {
         "class_report": mt.class_report(counts),
         "confusion_matrix": matrix,
@@ -31,10 +35,10 @@ def evaluation_tables(scored: DataFrame, classes: int) -> dict[str, DataFrame]:
         "class_distribution": mt.class_distribution(counts),
         "metric_table": mt.metric_table(counts),
         "confidence_histogram": mt.confidence_histogram(scored),
-        "roc_curve": cv.roc_curve(by_class).unionByName(cv.roc_curve(pooled)),
-        "roc_auc": cv.roc_auc(by_class).unionByName(cv.roc_auc(pooled)),
-        "pr_curve": cv.pr_curve(by_class).unionByName(cv.pr_curve(pooled)),
-        "average_precision": cv.average_precision(by_class).unionByName(cv.average_precision(pooled)),
+        "roc_curve": cv.roc_curve(run),
+        "roc_auc": cv.roc_auc(run),
+        "pr_curve": cv.pr_curve(run),
+        "average_precision": cv.average_precision(run),
     }
 
 
@@ -42,19 +46,17 @@ def write_evaluation(
     scored: DataFrame, texts: DataFrame, folder: str, names: Sequence[str] = fixed.CLASS_NAMES
 ) -> dict[str, DataFrame]:
     """Write scores, report tables, the text and JSON summaries and the error samples under ``folder``."""
-    spark, folder = scored.sparkSession, folder.rstrip("/")
-    scored.select("row_id", "y", "pred", "probs").write.mode("overwrite").parquet(f"{folder}/scored")
-    stored = spark.read.parquet(f"{folder}/scored")
-    tables = evaluation_tables(stored, len(names))
+    folder = folder.rstrip("/")
+    stored = store(scored.select("row_id", "y", "pred", "probs"), f"{folder}/scored")
+    tables = evaluation_tables(stored, len(names), folder)
     counts, _ = settle(mt.confusion_counts(stored))
     wrong = mt.misclassified_sample(stored)
     tables["misclassified"] = wrong.join(texts.select("row_id", "text"), "row_id").select("row_id", "text", "y", "pred")
     tables["spot_check"] = spot_check(stored, texts, names=names)
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    written = {name: store(df, f"{folder}/{name}") for name, df in tables.items()}
     write_lines(report_lines(counts, names), f"{folder}/metrics_summary")
     write_json(report_json(counts, len(names)), f"{folder}/evaluation_results")
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
+    return written
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

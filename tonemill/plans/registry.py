@@ -461,33 +461,37 @@ def one_vs_rest(spark, sf):
     return mt.one_vs_rest(ad.scored(spark, sf))
 
 
-def _points(spark, sf, micro=False):
-    return cv.class_points(ad.scored(spark, sf), micro)
+def _run(spark, sf, micro=False):
+    return cv.curve_counts(cv.class_points(ad.scored(spark, sf), micro))
+
+
+def _both(spark, sf):
+    return _run(spark, sf).unionByName(_run(spark, sf, micro=True))
 
 
 @query
 def roc_curve(spark, sf):
-    return rounded(cv.roc_curve(_points(spark, sf)))
+    return rounded(cv.roc_curve(_run(spark, sf)))
 
 
 @query
 def roc_micro(spark, sf):
-    return rounded(cv.roc_curve(_points(spark, sf, micro=True)))
+    return rounded(cv.roc_curve(_run(spark, sf, micro=True)))
 
 
 @query
 def roc_auc(spark, sf):
-    return cv.roc_auc(_points(spark, sf)).unionByName(cv.roc_auc(_points(spark, sf, micro=True)))
+    return cv.roc_auc(_both(spark, sf))
 
 
 @query
 def pr_curve(spark, sf):
-    return rounded(cv.pr_curve(_points(spark, sf)).unionByName(cv.pr_curve(_points(spark, sf, micro=True))))
+    return rounded(cv.pr_curve(_both(spark, sf)))
 
 
 @query
 def average_precision(spark, sf):
-    return rounded(cv.average_precision(_points(spark, sf)).unionByName(cv.average_precision(_points(spark, sf, micro=True))))
+    return rounded(cv.average_precision(_both(spark, sf)))
 
 
 @query

@@ -17,6 +17,12 @@ from tonemill.sources.readers import CSV_OPTIONS
 CSV_ROWS_PER_FILE = 1_000_000
 
 
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and go on from what was written: later reads do not run ``df`` again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(**CSV_OPTIONS, maxRecordsPerFile=CSV_ROWS_PER_FILE).mode("overwrite").csv(path)
 
