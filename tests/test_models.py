@@ -194,5 +194,11 @@ def test_text_model_roundtrip(spark, tmp_path):
     docs = spark.createDataFrame(rows, "row_id long, text string, label int")
     model = ft.fit_text(docs, features=256, max_iter=10)
     sk.save_model(model, str(tmp_path / "m"))
-    out = sk.load_model(str(tmp_path / "m")).transform(docs)
+    loaded = sk.load_model(str(tmp_path / "m"))
+    out = loaded.transform(docs)
+    assert sc.predict_one(spark, "a great day", loaded) == "Neutral"
+    records = sc.predict_texts(docs, loaded).collect()
+    assert {(r["prediction"], r["sentiment"], r["original_class"]) for r in records} == {
+        (0, "Negative", 1), (1, "Neutral", 2)
+    }
     assert out.where(F.col("prediction") == F.col("label")).count() == 40

@@ -47,7 +47,7 @@ def running_counts(counts: DataFrame, sketch: DataFrame | None = None) -> DataFr
     source = counts if sketch is None else sketch
     cutter = quantile_buckets(source, "score", bucket_count(counts.sparkSession), "bucket")
     counts = cutter.transform(counts) if cutter else counts.withColumn("bucket", F.lit(0.0))
-    counts = counts.withColumn("bucket", F.col("bucket").cast("int"))
+    counts = counts.withColumn("bucket", F.coalesce(F.col("bucket").cast("int"), F.lit(0)))
 
     # One row per class and bucket: sums, and the first row in descending order for the bucket above it.
     totals = counts.groupBy("cls", "bucket").agg(

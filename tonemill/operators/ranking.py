@@ -120,7 +120,8 @@ def mark_smallest_per_group(
     key = order_key(F.col(id_col), seed)
     joined = df.join(limits.withColumnsRenamed({"grp": "__grp", "last_key": "__key", "last_id": "__id"}),
                      grp.eqNullSafe(F.col("__grp")), "left")
-    taken = (key < F.col("__key")) | ((key == F.col("__key")) & (F.col(id_col) <= F.col("__id")))
+    # As one comparison of pairs the key is computed once per row.
+    taken = F.struct(key, F.col(id_col)) <= F.struct("__key", "__id")
     return joined.withColumn(flag, F.coalesce(taken, F.lit(False))).drop("__grp", "__key", "__id")
 
 
@@ -162,6 +163,11 @@ def quantile_buckets(df: DataFrame, column: str, buckets: int, out: str = "bucke
     )
 
 
+def _never_null(bucket: Column) -> Column:
+    """Keep the optimizer from adding a null filter, which would work out the bucket again for every row."""
+    return F.coalesce(bucket, F.lit(0))
+
+
 def with_positions(df: DataFrame, id_col: str = "row_id", seed: int | str | None = None) -> DataFrame:
     """Add ``pos`` (0-based place in the total order) and ``total`` (row count).
 
@@ -174,12 +180,14 @@ def with_positions(df: DataFrame, id_col: str = "row_id", seed: int | str | None
         order = [F.col(id_col)]
         cutter = quantile_buckets(df, id_col, buckets, "__bucket")
         placed = cutter.transform(df) if cutter else df.withColumn("__bucket", F.lit(0.0))
-        placed = placed.withColumn("__bucket", F.col("__bucket").cast("int"))
+        placed = placed.withColumn("__bucket", _never_null(F.col("__bucket").cast("int")))
     else:
         key = order_key(F.col(id_col), seed)
         order = [F.col("__key"), F.col(id_col)]
         head = F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint")
-        placed = df.withColumn("__key", key).withColumn("__bucket", F.shiftright(head * buckets, 32).cast("int"))
+        placed = df.withColumn("__key", key).withColumn(
+            "__bucket", _never_null(F.shiftright(head * buckets, 32).cast("int"))
+        )
 
     counts = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     everything = Window.partitionBy(F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,24 @@ def add_predictions(df: DataFrame, names: Sequence[str] = fixed.CLASS_NAMES) ->
     )
 
 
+def predict_texts(df: DataFrame, model: PipelineModel, names: Sequence[str] = fixed.CLASS_NAMES) -> DataFrame:
+    """Prediction records of a fitted text model: ``row_id, text, sentiment, prediction, original_class``."""
+    pred = F.col("prediction").cast("int")
+    return model.transform(df).select(
+        "row_id",
+        "text",
+        lb.class_name(pred, names).alias("sentiment"),
+        pred.alias("prediction"),
+        lb.original_class(pred).alias("original_class"),
+    )
+
+
+def predict_one(spark: SparkSession, text: str, model: PipelineModel, names: Sequence[str] = fixed.CLASS_NAMES) -> str:
+    """Class name of a single text."""
+    one = spark.createDataFrame([(0, text)], "row_id long, text string")
+    return predict_texts(one, model, names).first()["sentiment"]
+
+
 def spot_check(
     scored: DataFrame,
     texts: DataFrame,

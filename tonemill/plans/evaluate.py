@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tonemill import fixed_values as fixed
 from tonemill.operators import curves as cv
@@ -57,8 +56,3 @@ def write_evaluation(
     write_lines(report_lines(counts, names), f"{folder}/metrics_summary")
     write_json(report_json(counts, len(names)), f"{folder}/evaluation_results")
     return written
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round floating columns, to compare sums that another engine adds in another order."""
-    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

@@ -20,7 +20,7 @@ from tonemill.operators import profiling as pf
 from tonemill.operators import sampling as sm
 from tonemill.operators import scoring as sc
 from tonemill.plans import adapters as ad
-from tonemill.plans.evaluate import rounded
+from tonemill.plans.adapters import rounded
 from tonemill.plans.prepare import cached_fraction
 from tonemill.plans.train import train_head
 from tonemill.session import scratch_dir
@@ -88,10 +88,13 @@ def eval_summary(spark, sf):
     return sk.report_lines(mt.confusion_counts(ad.scored(spark, sf)))
 
 
+def _text_model(spark, sf):
+    return ft.fit_text(ad.labelled_documents(spark, sf), features=1 << 14, max_iter=5)
+
+
 @query
 def model_roundtrip(spark, sf):
-    docs = ad.labelled_documents(spark, sf)
-    model = ft.fit_text(docs, features=1 << 14, max_iter=5)
+    docs, model = ad.labelled_documents(spark, sf), _text_model(spark, sf)
     path = _scratch(spark, "model")
     sk.save_model(model, path)
     loaded = sk.load_model(path)
@@ -399,13 +402,10 @@ def confidence(spark, sf):
 
 @query
 def score_one(spark, sf):
-    """One vector through a head fitted on the whole table."""
-    rows = ad.vectors(spark, sf)
-    model = ft.fit_head(rows, max_iter=5)
-    head = [(model.coefficientMatrix.toArray(), model.interceptVector.toArray())]
-    one = sm.sample_rows(rows, 1)
-    named = sc.add_predictions(sc.score_batches(one, sc.layered_scorer(spark, head), ad.DIMS))
-    return named.select("row_id", "pred", "sentiment", "original_class", "confidence")
+    """One sampled document through a model fitted on all labelled ones."""
+    model = _text_model(spark, sf)
+    one = sm.sample_rows(ad.documents(spark, sf), 1)
+    return sc.predict_texts(one, model, ["low", "high"])
 
 
 @query
@@ -538,8 +538,7 @@ def fit_head(spark, sf):
 
 @query
 def fit_text(spark, sf):
-    docs = ad.labelled_documents(spark, sf)
-    model = ft.fit_text(docs, features=1 << 14, max_iter=5)
+    docs, model = ad.labelled_documents(spark, sf), _text_model(spark, sf)
     return model.transform(docs).select("row_id", F.col("label").alias("y"), F.col("prediction").cast("int").alias("pred"))
 
 
