@@ -326,7 +326,8 @@ def build_vocab(spark, sf):
 
 @query
 def encode_text(spark, sf):
-    docs = _clean_documents(spark, sf)
+    # Vocabulary and encoding both read the cleaned texts, so these are cleaned once and stored.
+    docs = sk.store(_clean_documents(spark, sf), _scratch(spark, "clean"))
     coded = en.encode_text(docs, en.build_vocab(docs, VOCAB_SIZE), MAX_LENGTH)
     return coded.select(
         "row_id", *[F.array_join(c, " ").alias(c) for c in ("input_ids", "attention_mask", "token_type_ids")]
