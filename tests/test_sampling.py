@@ -167,3 +167,16 @@ def test_union_keeps_duplicates(spark):
 def test_order_key_matches_md5(spark):
     row = spark.range(5, 6).select(rk.order_key(F.col("id"), 1).alias("k")).first()
     assert row["k"] == key(5, 1)
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "row_id long, label int")
+    assert sm.stratified_sample(df, 0.5).count() == 0
+    assert sm.train_test_split(df).count() == 0
+    assert sm.epoch_order(df).count() == 0
+    assert sm.shard_rows(sm.with_natural_order(df), 3, "pad").count() == 0
+
+
+def test_large_sample_of_text_labels(spark):
+    df = spark.range(100).select(F.col("id").alias("row_id"), F.concat(F.lit("c"), F.col("id") % 2).alias("label"))
+    assert Counter(r["label"] for r in sm.stratified_sample(df, 0.3).collect()) == {"c0": 15, "c1": 15}

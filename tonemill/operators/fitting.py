@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -185,8 +186,11 @@ def validate(val: DataFrame, params: np.ndarray, dims: int) -> dict[str, float]:
         .groupBy("y", "pred")
         .agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
     )
-    counts, _ = settle(cells)
-    loss, hits, n = counts.agg(F.sum("loss"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")).first()
+    counts, table = settle(cells)
+    if table is None:
+        raise ValueError("too many classes to validate against")
+    hits = pc.sum(pc.if_else(pc.equal(table["y"], table["pred"]), table["n"], 0)).as_py()
+    loss, n = pc.sum(table["loss"]).as_py(), pc.sum(table["n"]).as_py()
     scores = weighted_prf(counts).first().asDict()
     return {"val_loss": loss, "accuracy": hits / n, **scores}
 

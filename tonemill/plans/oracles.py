@@ -192,6 +192,26 @@ ORACLES: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key('42')}, row_id) AS rn,
                    count(*) OVER (PARTITION BY label) AS size FROM labelled)
         WHERE rn <= round_even(CAST(0.1 AS DOUBLE) * size, 0)"""),
+    "eval_report_json": _with("cells per_class", """
+        , overall AS (
+            SELECT sum(hits) / sum(support) AS accuracy, sum(precision * support) / sum(support) AS p,
+                   sum(recall * support) / sum(support) AS r, sum(f1 * support) / sum(support) AS f,
+                   avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf, sum(support) AS n FROM per_class),
+        filled AS (
+            SELECT a.c AS y, b.c AS pred, coalesce(n, 0) AS n
+            FROM (SELECT unnest(range(3)) AS c) a, (SELECT unnest(range(3)) AS c) b
+            LEFT JOIN cells ON cells.y = a.c AND cells.pred = b.c),
+        matrix AS (
+            SELECT string_agg(line, ';' ORDER BY y) AS conf_matrix
+            FROM (SELECT y, string_agg(CAST(n AS VARCHAR), ',' ORDER BY pred) AS line FROM filled GROUP BY 1)),
+        entries AS (
+            SELECT CAST(cls AS VARCHAR) AS entry, precision AS ep, recall AS er, f1 AS ef, support AS n FROM per_class
+            UNION ALL SELECT 'macro avg', mp, mr, mf, n FROM overall
+            UNION ALL SELECT 'weighted avg', p, r, f, n FROM overall)
+        SELECT round(accuracy, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, conf_matrix,
+               entry, round(ep, 6) AS entry_precision, round(er, 6) AS entry_recall, round(ef, 6) AS entry_f1,
+               entries.n AS entry_support
+        FROM overall, matrix, entries"""),
     "eval_summary": _with("cells per_class", """
         , report AS (
             SELECT sum(hits) / sum(support) AS accuracy, sum(precision * support) / sum(support) AS p,

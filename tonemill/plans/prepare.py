@@ -45,12 +45,13 @@ def cached_fraction(
     seed: int = fixed.DEFAULT_SEED,
     version: str = "1",
 ) -> dict[str, DataFrame]:
-    """A class-wise fraction of every split, computed once per sources, fraction, seed and version.
+    """A class-wise fraction of every split (all of it without one), computed once per sources, fraction, seed and
+    version.
 
     ``version`` is to be changed when the sources change in place.
     """
     def build() -> Mapping[str, DataFrame]:
-        if fraction is None:
+        if not fraction:
             return splits
         return {name: stratified_sample(df, fraction, seed) for name, df in splits.items()}
 

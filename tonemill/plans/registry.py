@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,7 @@ def query(fn: Query) -> Query:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{spark.sparkContext.applicationId}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Sources and sinks
@@ -78,9 +79,28 @@ def prepared_cache(spark, sf):
     return read()["train"]
 
 
+REPORT = """accuracy double, precision double, recall double, f1 double, conf_matrix array<array<bigint>>,
+    class_report map<string, struct<precision: double, recall: double, `f1-score`: double, support: double>>"""
+
+
 @query
 def eval_report_json(spark, sf):
-    return sk.report_json(mt.confusion_counts(ad.scored(spark, sf)), 3)
+    """The result document, written and read back: overall scores, matrix rows and one row per report entry."""
+    path = _scratch(spark, "report")
+    sk.write_json(sk.report_json(mt.confusion_counts(ad.scored(spark, sf)), 3), path)
+    document = spark.read.text(path).select(F.from_json("value", REPORT).alias("d")).select("d.*")
+    rows = F.transform("conf_matrix", lambda row: F.array_join(row.cast("array<string>"), ","))
+    entries = document.select(
+        "accuracy", "precision", "recall", "f1", F.array_join(rows, ";").alias("conf_matrix"),
+        F.explode("class_report").alias("entry", "scores"),
+    )
+    return rounded(
+        entries.select(
+            "accuracy", "precision", "recall", "f1", "conf_matrix", "entry",
+            F.col("scores.precision").alias("entry_precision"), F.col("scores.recall").alias("entry_recall"),
+            F.col("scores").getField("f1-score").alias("entry_f1"), F.col("scores.support").alias("entry_support"),
+        )
+    )
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,15 @@ def scratch_dir(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="tonemill-")
+        return _local_scratch(spark.sparkContext.applicationId)
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+@cache
+def _local_scratch(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tonemill-{application}-")
+
+
 def bucket_count(spark: SparkSession) -> int:
     """Order buckets to cut a table into: as many as the user gives shuffles partitions.
 
