@@ -60,6 +60,10 @@ def test_labels(spark):
     assert mapped(column(spark, [-1, -2], "int"), lb.class_name(F.col("v"))) == ["Unknown", "Unknown"]
 
 
+def test_class_names_from_a_list():
+    assert lb.names_from_list("Negative, Neutral,Positive") == ["Negative", "Neutral", "Positive"]
+
+
 def test_prepare_reviews(spark):
     rows = [(1, 5, None, "Great!"), (2, None, "t", "x"), (3, 1, "T", None), (4, 3, "", "So-So")]
     df = spark.createDataFrame(rows, "row_id long, class_index int, review_title string, review_text string")

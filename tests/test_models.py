@@ -184,8 +184,9 @@ def test_training_learns_and_is_saved(spark, vectors, tmp_path):
     assert spark.read.parquet(str(tmp_path / "history")).count() == 4
 
 
-def test_training_stops_early(vectors):
-    settings = ft.EpochSettings(epochs=6, learning_rate=0.0, patience=2)
+@pytest.mark.parametrize("metric", ["accuracy", "loss"])
+def test_training_stops_early(vectors, metric):
+    settings = ft.EpochSettings(epochs=6, learning_rate=0.0, patience=2, stop_metric=metric)
     assert len(train_head(vectors, 3, 4, settings).history) == 3
 
 

@@ -29,6 +29,23 @@ def test_csv_roundtrip(spark, tmp_path):
     assert [r["text"] for r in rows] == CELLS
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_read_split_with_a_fixed_schema(spark, tmp_path, fmt):
+    df = spark.createDataFrame([(1, 0, "a"), (2, 1, None)], rd.MODEL_SCHEMA)
+    path = str(tmp_path / fmt)
+    sk.write_csv(df, path) if fmt == "csv" else df.write.format(fmt).save(path)
+    back = rd.read_split(spark, path, rd.MODEL_SCHEMA, fmt)
+    assert back.schema == rd.MODEL_SCHEMA
+    assert sorted(map(tuple, back.collect())) == [(1, 0, "a"), (2, 1, None)]
+
+
+def test_splits_are_pruned(spark, tmp_path):
+    df = wide(spark, tmp_path)
+    both = rd.load_splits({"train": df, "test": df.limit(0)})
+    assert [(r["split"], r["n"]) for r in pf.split_counts(both).collect()] == [("train", 3000)]
+    assert "Union" not in plan(both.where(F.col("split") == "train"))
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "row_id long, v string")
     assert [(r["value"], r["n"]) for r in pf.value_counts(df, "v").collect()] == [("a", 2), ("b", 1)]

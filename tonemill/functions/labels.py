@@ -15,6 +15,11 @@ def sentiment_of_stars(stars: Column) -> Column:
     return F.when(stars.isin(4, 5), 2).when(stars == 3, 1).otherwise(0)
 
 
+def names_from_list(text: str) -> list[str]:
+    """Class names from a comma list; their number is the number of classes."""
+    return [name.strip() for name in text.split(",")]
+
+
 def class_name(pred: Column, names: Sequence[str] = fixed.CLASS_NAMES) -> Column:
     """Name of a class index; an index outside the list is ``Unknown``."""
     return F.coalesce(

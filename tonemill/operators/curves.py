@@ -100,6 +100,12 @@ def curve_counts(points: DataFrame) -> DataFrame:
     return running_counts(score_counts(points), points)
 
 
+def all_curve_counts(points: DataFrame) -> DataFrame:
+    """``curve_counts`` of every class and of all pairs pooled, from one count of the points."""
+    counts = score_counts(points)
+    return running_counts(counts.unionByName(pooled_counts(counts)), points)
+
+
 def roc_curve(run: DataFrame) -> DataFrame:
     """``(cls, threshold, fpr, tpr)``: corner points only, with (0, 0) at threshold infinity.
 

@@ -86,6 +86,7 @@ class EpochSettings:
     batch_size: int = 512
     patience: int = fixed.DEFAULT_PATIENCE
     delta: float = fixed.DEFAULT_DELTA
+    # One of loss, accuracy, precision, recall, f1.
     stop_metric: str = "accuracy"
 
 
@@ -230,8 +231,8 @@ def fit_epochs(train: DataFrame, val: DataFrame, classes: int, dims: int, settin
             result.history.append((epoch, train_loss, metrics["val_loss"], metrics["accuracy"], metrics["precision"], metrics["recall"], metrics["f1"]))
             if metrics["f1"] > best_f1:
                 best_f1, result.best = metrics["f1"], (params[:, :-1].copy(), params[:, -1].copy())
-            mode = "min" if settings.stop_metric == "val_loss" else "max"
-            verdict = early_stop(result.history_table(spark), settings.stop_metric, settings.patience, settings.delta, mode).first()
+            metric, mode = ("val_loss", "min") if settings.stop_metric == "loss" else (settings.stop_metric, "max")
+            verdict = early_stop(result.history_table(spark), metric, settings.patience, settings.delta, mode).first()
             if verdict["stop_epoch"] is not None:
                 break
         result.last = (params[:, :-1], params[:, -1])

@@ -487,7 +487,7 @@ def _run(spark, sf, micro=False):
 
 
 def _both(spark, sf):
-    return _run(spark, sf).unionByName(_run(spark, sf, micro=True))
+    return cv.all_curve_counts(cv.class_points(ad.scored(spark, sf)))
 
 
 @query
