@@ -172,6 +172,18 @@ def test_gradient_equals_numpy(vectors):
     assert grad == pytest.approx(p.T @ x)
 
 
+@pytest.mark.parametrize("size", [7, 240, 1000])
+def test_validation_loss_is_the_mean_of_batch_means(spark, vectors, size):
+    params = np.random.default_rng(9).normal(size=(3, 5))
+    got = ft.validate(ft.validation_table(vectors, size), params, 4)
+    rows = vectors.orderBy("row_id").collect()
+    z = np.array([[*r["vec"], 1.0] for r in rows]) @ params.T
+    y = np.array([r["label"] for r in rows])
+    losses = np.log(np.exp(z).sum(1)) - z[np.arange(240), y]
+    assert got["val_loss"] == pytest.approx(np.mean([losses[i : i + size].mean() for i in range(0, 240, size)]))
+    assert got["accuracy"] == pytest.approx((z.argmax(1) == y).mean())
+
+
 def test_training_learns_and_is_saved(spark, vectors, tmp_path):
     settings = ft.EpochSettings(epochs=4, steps_per_epoch=3, learning_rate=0.3, accumulate=2, batch_size=16)
     result = train_head(vectors, 3, 4, settings)

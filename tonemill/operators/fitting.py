@@ -21,8 +21,6 @@ from tonemill import fixed_values as fixed
 from tonemill.functions import vectors as vx
 from tonemill.operators.history import early_stop
 from tonemill.operators.metrics import weighted_prf
-from tonemill.operators.sampling import batch_rows
-from tonemill.operators.ranking import with_positions
 from tonemill.operators.scoring import layered_scorer, score_batches
 from tonemill.session import settle
 
@@ -170,11 +168,20 @@ class _AdamW:
 
 
 def validation_table(val: DataFrame, batch_size: int) -> DataFrame:
-    """Validation rows with the weight each has in the mean of batch means."""
-    batched = batch_rows(with_positions(val.select("row_id", "vec", "label")), batch_size, drop_last=False)
-    batches = F.ceil(F.col("total") / batch_size)
-    in_batch = F.least(F.lit(batch_size), F.col("total") - F.col("batch_id") * batch_size)
-    return batched.select("vec", F.col("label").alias("y"), (1.0 / (batches * in_batch)).alias("weight"))
+    """Validation rows with the weight each has in the mean of batch means.
+
+    Batches follow ``row_id``, so only the short last one weighs differently. Its first id is the smallest of
+    a top-n of at most ``batch_size`` ids; the vectors are not moved.
+    """
+    rows = val.select("row_id", "vec", F.col("label").alias("y"))
+    total = rows.count()
+    short = total % batch_size
+    batches = max(1, -(-total // batch_size))
+    weight = F.lit(1.0 / (batches * batch_size))
+    if short:
+        first = rows.select("row_id").orderBy(F.desc("row_id")).limit(short).agg(F.min("row_id")).first()[0]
+        weight = F.when(F.col("row_id") >= first, 1.0 / (batches * short)).otherwise(weight)
+    return rows.select("vec", "y", weight.alias("weight"))
 
 
 def validate(val: DataFrame, params: np.ndarray, dims: int) -> dict[str, float]:
