@@ -18,6 +18,7 @@ SHARDS = 16
 BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 1 << 15
 OFFSET_GROUP = 1024  # buckets whose sizes one window adds up
+SMALL_OFFSETS = 200_000  # buckets whose offsets, two numbers each, may be broadcast; more are joined by shuffle
 
 
 def shuffled_buckets(rows: DataFrame, size: str, seed: int = 29, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -52,7 +53,10 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 29, bucket
     groups = groups.select("_group", F.coalesce(F.sum("_n").over(before("_all").orderBy("_group")), F.lit(0)).alias("_start"))
     offsets = counts.withColumn("_in", F.coalesce(F.sum("_n").over(before("_group").orderBy("_bucket")), F.lit(0)))
     offsets = offsets.join(groups, "_group").select("_bucket", (F.col("_start") + F.col("_in")).alias("_start"))
-    n = max(1, placed.count())
+    totals = counts.agg(F.sum("_n").alias("n"), F.count("*").alias("b")).first()
+    n = max(1, totals["n"] or 0)
+    if totals["b"] <= SMALL_OFFSETS:
+        offsets = F.broadcast(offsets)
     position = F.col("_start") + F.col("_place")
     first = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
     return (
