@@ -27,18 +27,28 @@ from tonemill.llm.winnow import WordHashes, gram_hashes
 SHINGLE = 5
 PERCENT = 80
 SKETCH = 1 << 18  # counters that order shingles from rare to frequent
-SLOTS, ROUNDS = 8, 2  # minimum hashes per set; choices of the member that copies are linked to
-BIT_WORDS = 8  # signature of 512 bits
+SLOTS = 4  # minimum hashes per set
+BIT_WORDS = 8  # signature of 512 bits, carried by tiles
+WIDE_WORDS = 32  # signature of 2,048 bits, for pairs that pass the first
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, an empty one has none."""
+def shingle_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """64-bit hashes of a text's shingles in order; a shorter text is one shingle, an empty one has none."""
     words = split_words(text)
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-    return np.unique(gram_hashes(h, min(SHINGLE, len(words))))
+    return gram_hashes(h, min(SHINGLE, len(words)))
+
+
+def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(shingle_hashes(text, hashes))
+
+
+def _sketch_place(shingles: np.ndarray) -> np.ndarray:
+    return ((shingles >> np.uint64(20)) % np.uint64(SKETCH)).astype(np.int64)
 
 
 def prefix_length(n: int) -> int:
@@ -47,16 +57,23 @@ def prefix_length(n: int) -> int:
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How many sets have a shingle in each of ``SKETCH`` hash classes, over all documents.
+    """How many shingles fall in each of ``SKETCH`` hash classes, over all documents.
 
     Any order of shingles is right for the prefix; this one keeps frequent passages out of it.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, total = WordHashes(), np.zeros(SKETCH, np.int64)
+        held: list[np.ndarray] = []
+        waiting = 0
         for b in batches:
             for t in b["text"]:
-                total += np.bincount((shingle_set(t, hashes) >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
+                held.append(_sketch_place(shingle_hashes(t, hashes)))
+                waiting += len(held[-1])
+                if waiting > 4 * SKETCH:
+                    total += np.bincount(np.concatenate(held), minlength=SKETCH)
+                    held, waiting = [], 0
+        total += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=SKETCH)
         yield pd.DataFrame({"k": np.arange(0, SKETCH, 1024), "n": [part.tolist() for part in total.reshape(-1, 1024)]})
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,32 +104,37 @@ def describe_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 for doc_id, text in zip(part["doc_id"], part["text"]):
                     s = shingle_set(text, hashes)
                     if not len(s):
-                        rows.append((doc_id, 0, None, None, None, None))
+                        rows.append((doc_id, 0, None, None, None, None, None))
                         continue
                     key = xxhash.xxh3_64_intdigest(s.tobytes(), seed=5)
                     mins = [int(((s * odd) ^ ((s * odd) >> np.uint64(31))).min()) for odd in _ODD]
-                    bits = np.zeros(BIT_WORDS * 64, np.uint8)
-                    bits[(s & np.uint64(BIT_WORDS * 64 - 1)).astype(np.int64)] = 1
-                    order = np.lexsort((s, shared.value[(s >> np.uint64(20)).astype(np.int64) % SKETCH]))
+                    wide = np.zeros(WIDE_WORDS * 64, np.uint8)
+                    wide[(s & np.uint64(WIDE_WORDS * 64 - 1)).astype(np.int64)] = 1
+                    bits = wide.reshape(-1, BIT_WORDS * 64).max(0)
+                    order = np.argsort(shared.value[_sketch_place(s)], kind="stable")  # equal counts: by hash
                     prefix = s[order[: prefix_length(len(s))]].view(np.int64)
-                    signature = np.packbits(bits, bitorder="little").view(np.int64)
-                    rows.append((doc_id, len(s), np.uint64(key).astype(np.int64), np.array(mins, np.uint64).view(np.int64), signature, prefix))
-                frame = pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "mins", "bits", "prefix"])
+                    signature, broad = (np.packbits(v, bitorder="little").view(np.int64) for v in (bits, wide))
+                    rows.append((doc_id, len(s), np.uint64(key).astype(np.int64), np.array(mins, np.uint64).view(np.int64), signature, broad, prefix))
+                frame = pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "mins", "bits", "wide", "prefix"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 frame["set_key"] = frame["set_key"].astype("Int64")
                 yield frame
 
-    kind = "doc_id long, n long, set_key long, mins array<long>, bits array<long>, prefix array<long>"
+    kind = "doc_id long, n long, set_key long, mins array<long>, bits array<long>, wide array<long>, prefix array<long>"
     return docs.select("doc_id", "text").mapInPandas(describe, kind)
 
 
-def may_link(n1: str, n2: str, bits: list[tuple[str, str]]) -> Column:
+def may_link(n1: str, n2: str, differing: Column) -> Column:
     """Whether sizes and signatures leave room for a link: differing bits are differing shingles."""
-    differing = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in bits[1:]), F.bit_count(F.col(bits[0][0]).bitwiseXOR(F.col(bits[0][1]))))
     room = (F.col(n1) + F.col(n2)) * (100 - PERCENT) - differing * (100 + PERCENT) >= 0
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & room
 
 
+def differing_bits(pairs: list[tuple[str, str]]) -> Column:
+    counts = [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in pairs]
+    return sum(counts[1:], counts[0])
+
+
 def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of set keys whose sets are linked, by intersection of their sorted shingle arrays.
 
@@ -155,55 +177,67 @@ def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame
     return whole.mapInPandas(intersect, "a long, b long")
 
 
-def star_pairs(sets: DataFrame) -> DataFrame:
-    """Every set with one member of each group that shares a minimum hash, where signatures leave room for a link."""
-    keys = sets.select("set_key", "n", *_BITS, F.posexplode("mins").alias("slot", "least"))
-    out = None
-    for r in range(ROUNDS):
-        pick = F.min(F.struct(F.xxhash64("set_key", F.lit(r)).alias("o"), F.col("set_key").alias("a"), F.col("n").alias("na"), *[F.col(c).alias("a" + c) for c in _BITS]))
-        centre = keys.groupBy("slot", "least").agg(pick.alias("c")).select("slot", "least", "c.*")
-        met = keys.join(centre, ["slot", "least"]).where(F.col("a") != F.col("set_key"))
-        near = met.where(may_link("n", "na", [(c, "a" + c) for c in _BITS])).select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b"))
-        out = near if out is None else out.union(near)
-    return out.distinct()
+_BITS = [f"w{k}" for k in range(BIT_WORDS)]
 
 
-_BITS = [f"w{k}" for k in range(BIT_WORDS)]
+def near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` whose sizes and wide signatures leave room for a link."""
+    side = lambda k: signatures.select(F.col("set_key").alias(k), F.col("n").alias("n" + k), F.col("wide").alias("w" + k))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return both.where(may_link("na", "nb", differing)).select("a", "b")
 
 
-def tile_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that share a tile and pass the bit-count bound.
+def star_pairs(described: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Every set with one member of each group that shares a minimum hash, where signatures leave room for a link."""
+    keys = described.select("set_key", F.posexplode("mins").alias("slot", "least")).distinct()
+    pick = F.min(F.struct(F.xxhash64("set_key").alias("o"), "set_key"))["set_key"]
+    centres = keys.groupBy("slot", "least").agg(pick.alias("c"), F.count("*").alias("k")).where("k > 1")
+    met = keys.join(centres.select("slot", "least", "c"), ["slot", "least"]).where(F.col("c") != F.col("set_key"))
+    return near_pairs(met.select(F.least("c", "set_key").alias("a"), F.greatest("c", "set_key").alias("b")).distinct(), signatures)
 
-    parts: ``(node, root)`` of sets that are linked already.
-    """
-    with_part = sets.join(parts.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("part", F.coalesce("root", "set_key")).drop("root", "mins")
-    shingles = with_part.select("part", F.explode("prefix").alias("shingle"))
-    mixed = shingles.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
-    mixed = stage(mixed, "tiles")
-    # a bitmap of fixed size spares the shuffle of shingles that no tile needs; the join decides
-    shared = sets.sparkSession.sparkContext.broadcast(key_bitmap(mixed, "shingle"))
+
+def shared_shingles(described: DataFrame) -> DataFrame:
+    """``(shingle, set_key)`` of prefix shingles that occur in the prefixes of two sets or more."""
+    everywhere = described.select("set_key", F.explode("prefix").alias("shingle"))
+    common = everywhere.groupBy("shingle").agg(F.min("set_key").alias("p"), F.max("set_key").alias("q")).where("p < q").select("shingle")
+    common = stage(common, "common")
+    # a bitmap of fixed size keeps most other shingles out of the shuffle; the join decides
+    shared = described.sparkSession.sparkContext.broadcast(key_bitmap(common, "shingle"))
 
     @F.pandas_udf("array<long>")
     def useful(prefix: pd.Series) -> pd.Series:
         kept = [np.asarray(p, np.int64) for p in prefix]
         return pd.Series([p[in_bitmap(shared.value, p)] for p in kept], dtype=object)
 
-    rows = with_part.select("set_key", "part", "n", *_BITS, F.explode(useful("prefix")).alias("shingle")).join(mixed, "shingle")
+    held = described.select("set_key", useful("prefix").alias("prefix")).select("set_key", F.explode("prefix").alias("shingle")).distinct()
+    return held.join(common, "shingle", "left_semi")
+
+
+def tile_pairs(described: DataFrame, signatures: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs of sets of different components that share a tile and pass the bit-count bound.
+
+    parts: ``(node, root)`` of sets that are linked already. A tile is a prefix shingle and a size band.
+    """
+    rows = shared_shingles(described).join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")
+    rows = stage(rows.select("shingle", "set_key", F.coalesce("root", "set_key").alias("part")), "members")
+    mixed = rows.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
+    rows = rows.join(mixed, "shingle", "left_semi").join(signatures.drop("wide"), "set_key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    rows = stage(rows.withColumn("band", band), "members")
+    rows = stage(rows.withColumn("band", band), "tiles")
     small = rows.select("shingle", "band", F.col("set_key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), *[F.col(c).alias("a" + c) for c in _BITS])
-    # a set reaches up to the next size band: it meets smaller sets of its own band and of the two below (rounding)
+    # linked sizes differ by a quarter at most: a set meets smaller sets of its band and of the two below (rounding)
     large = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") - 2)))
     met = small.join(large, ["shingle", "band"]).where(
         (F.col("pa") != F.col("part"))
         & ((F.col("na") < F.col("n")) | ((F.col("na") == F.col("n")) & (F.col("a") < F.col("set_key"))))
-        & may_link("n", "na", [(c, "a" + c) for c in _BITS])
+        & may_link("na", "n", differing_bits([("a" + c, c) for c in _BITS]))
     )
-    return met.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct()
+    return near_pairs(met.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct(), signatures)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, n_links (of its set with other sets), component_id.
+    """One row per document: doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id reachable by links. Null and empty texts have no shingles and link with
     nothing, not even each other. Repeated rows and rows with a null id stay; a null id is never a component's id
@@ -211,23 +245,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     described = describe_sets(rows, shingle_counts(rows))
-    described = stage(described.select("doc_id", "n", "set_key", "mins", "prefix", *[F.col("bits")[k].alias(c) for k, c in enumerate(_BITS)]), "sets")
+    described = stage(described.select("doc_id", "n", "set_key", "mins", "wide", "prefix", *[F.col("bits")[k].alias(c) for k, c in enumerate(_BITS)]), "sets")
     full = described.where("n > 0")
-    # one row per distinct set; copies collapse in every task before the shuffle
-    sets = stage(
-        full.groupBy("set_key").agg(F.min(F.struct("n", *_BITS, "mins", "prefix")).alias("s")).select("set_key", "s.*"),
-        "distinct-sets",
-    )
-    stars = stage(verify(stage(star_pairs(sets), "stars"), rows, full), "links")
+    signatures = stage(full.select("set_key", "n", "wide", *_BITS).distinct(), "signatures")
+    stars = stage(verify(stage(star_pairs(full, signatures), "stars"), rows, full), "links")
     parts = stage(connected_components(stars), "parts")
-    tiles = verify(stage(tile_pairs(sets, parts), "pairs"), rows, full)
-    links = stage(stars.union(tiles).distinct(), "links")
-    roots = connected_components(links)
-    degree = links.select(F.col("a").alias("set_key")).union(links.select("b")).groupBy("set_key").agg(F.count("*").alias("n_links"))
+    tiles = verify(stage(tile_pairs(full, signatures, parts), "pairs"), rows, full)
+    roots = connected_components(stage(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(tiles), "links"))
     smallest = full.groupBy("set_key").agg(F.min("doc_id").alias("least"))
     rooted = smallest.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").join(degree, "set_key", "left").select("set_key", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = rooted.join(least, "root").select("set_key", "component_id")
     out = described.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(named, "set_key", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"))

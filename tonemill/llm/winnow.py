@@ -21,7 +21,7 @@ from tonemill.llm.common import in_bitmap, key_bitmap, stage
 WINDOW = 10
 K = 5
 SALTS = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 # A-Z to a-z; every other ASCII character that is no letter or digit to a blank
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
