@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -84,6 +85,18 @@ def splitter(definition: str) -> WordSplitter:
     return WordSplitter(definition)
 
 
+_HELD: dict[tuple[str, str], object] = {}
+
+
+def held(call: str, what: str, make):
+    """A table built once per Python worker and call, from what was broadcast; tables of earlier calls are let go."""
+    if (call, what) not in _HELD:
+        for key in [k for k in _HELD if k[0] != call]:
+            del _HELD[key]
+        _HELD[call, what] = make()
+    return _HELD[call, what]
+
+
 def pack(ranks: np.ndarray) -> bytes:
     """Numbers below 2^28 as one to four bytes, seven bits each, frequent words shortest; then compressed."""
     size = 1 + (ranks >= 1 << 7) + (ranks >= 1 << 14) + (ranks >= 1 << 21)
@@ -142,10 +155,12 @@ def encode_documents(docs: DataFrame, definition: str, keep: list[str] | None =
     names = context.broadcast(often["word"].to_pylist())
     encoded = context.broadcast([bytes(i) for i in often["ids"].to_pylist()])
     limit = often.num_rows
+    call = uuid.uuid4().hex
+    rank_of = lambda: {w: k for k, w in enumerate(names.value)}
     rows = docs.select(F.struct(*cols).alias("_doc"), F.xxhash64("doc_id", "text").alias("_u"), F.xxhash64("text", F.lit(3)).alias("_v"), F.col("text").alias("_text"))
 
     def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, split = set(names.value), splitter(definition).words
+        known, split = held(call, "ranks", rank_of), splitter(definition).words
         for b in batches:
             for start in range(0, len(b), SLICE):
                 part = b.iloc[start : start + SLICE]
@@ -161,7 +176,7 @@ def encode_documents(docs: DataFrame, definition: str, keep: list[str] | None =
                 )
 
     def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, split = {w: k for k, w in enumerate(names.value)}, splitter(definition).words
+        known, split = held(call, "ranks", rank_of), splitter(definition).words
         for b in batches:
             out = []
             for t in b["_text"]:
@@ -184,7 +199,7 @@ def encode_documents(docs: DataFrame, definition: str, keep: list[str] | None =
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = splitter(definition).pieces()
         ids = encoded.value
-        text = [None] * len(ids)
+        text = held(call, "text", lambda: [None] * len(ids))
 
         def decoded(data: bytes) -> str:
             return " ".join(pieces[i] for i in np.frombuffer(data, "<u4"))

@@ -111,7 +111,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.n
             n[a, :] -= r
             n[:, a] -= b
             n[a, a] -= self_n
-            rows, cols = n.sum(1), n.sum(0)
+            rows, cols = n.sum(1) + b, n.sum(0) + r  # what w's neighbours count wherever it goes
             # gain of putting it into each class c
             gain = (_xlogx(n + r[None, :]) - _xlogx(n)).sum(1) + (_xlogx(n + b[:, None]) - _xlogx(n)).sum(0)
             diag = np.diagonal(n)
@@ -245,13 +245,10 @@ def score_brown(docs: DataFrame) -> DataFrame:
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"
     scored = stage(marked.mapInPandas(first, kind).withColumn("row", F.monotonically_increasing_id()), "scored")
-    classes = sorted((int(f), int(model.cls[len(model.clustered) + f])) for f in range(FORMS))
-    form_class = np.array([c for _, c in classes])
-
     @F.pandas_udf("struct<base:double,score:double>")
     def unseen(word: pd.Series, n: pd.Series) -> pd.DataFrame:
         m = shared.value[0]
-        k = form_class[[form_of(w) for w in word]] if len(word) else np.zeros(0, np.int64)
+        k = np.array([m.class_of(w) for w in word], np.int64)
         c = n.to_numpy(float)
         return pd.DataFrame({"base": m.base(c), "score": m.emission(c, k)})
 

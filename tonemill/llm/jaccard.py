@@ -116,8 +116,8 @@ def describe_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     signature, broad = (np.packbits(v, bitorder="little").view(np.int64) for v in (bits, wide))
                     rows.append((doc_id, len(s), np.uint64(key).astype(np.int64), np.array(mins, np.uint64).view(np.int64), signature, broad, prefix))
                 frame = pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "mins", "bits", "wide", "prefix"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                frame["set_key"] = frame["set_key"].astype("Int64")
+                # a plain column of numbers and nulls would become floating point and lose digits
+                frame["set_key"] = pd.array([None if r[2] is None else int(r[2]) for r in rows], dtype="Int64")
                 yield frame
 
     kind = "doc_id long, n long, set_key long, mins array<long>, bits array<long>, wide array<long>, prefix array<long>"
