@@ -96,7 +96,8 @@ def test_golden_files(golden, spark, tmp_path):
     assert doc["conf_matrix"] == GOLDEN
     for name, value in GOLDEN_SCORES.items():
         assert doc[name] == pytest.approx(value, abs=1e-12)
-    assert set(doc["class_report"]) == set(GOLDEN_REPORT)
+    assert set(doc["class_report"]) == {*GOLDEN_REPORT, "accuracy"}
+    assert doc["class_report"]["accuracy"] == pytest.approx(GOLDEN_SCORES["accuracy"], abs=1e-12)
     assert doc["class_report"]["1"]["f1-score"] == pytest.approx(GOLDEN_REPORT["1"][2], abs=1e-12)
 
 

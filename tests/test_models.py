@@ -25,6 +25,21 @@ def test_vocab_order_and_ids(spark, docs):
     assert [(r["token"], r["n"], r["id"]) for r in rows] == [("a", 53, 4), ("q", 3, 5), ("b", 2, 6)]
 
 
+@pytest.mark.parametrize("carried", [True, False])
+def test_encode_awkward_rows(spark, docs, carried, monkeypatch):
+    if not carried:
+        monkeypatch.setattr(en, "MAX_CARRIED_VOCAB", 1)
+    vocab = en.build_vocab(docs, 3)
+    rows = spark.createDataFrame([(1, "a b"), (1, "q"), (None, "a"), (2, None), (3, ""), (3, "a b")], "row_id long, text string")
+    got = sorted((str(r["row_id"]), str(r["text"]), str(r["input_ids"])) for r in en.encode_text(rows, vocab, 4).collect())
+    assert got == sorted(
+        [
+            ("1", "a b", "[2, 4, 6, 3]"), ("1", "q", "[2, 5, 3, 0]"), ("None", "a", "[2, 4, 3, 0]"),
+            ("2", "None", "None"), ("3", "", "[2, 3, 0, 0]"), ("3", "a b", "[2, 4, 6, 3]"),
+        ]
+    )
+
+
 @pytest.mark.parametrize("length", [2, 3, 8])
 @pytest.mark.parametrize("carried", [True, False])
 def test_encode(spark, docs, length, carried, monkeypatch):

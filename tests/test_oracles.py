@@ -7,10 +7,11 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as driver
+from tonemill.plans import oracles, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = [p.stem for p in sorted(Path(FOLDER).glob("*.parquet"))]
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = registry.QUERIES, oracles.ORACLES
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
 
 pytestmark = pytest.mark.skipif(not TABLES, reason="the given tables are not here")
@@ -50,7 +51,8 @@ def test_query_without_sql_has_rows(spark, name):
 
 
 def test_every_sql_has_its_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(driver.oracle_sql()) <= set(driver.queries())
+    assert set(QUERIES) <= set(driver.queries())
 
 
 def test_entry(spark):

@@ -150,12 +150,10 @@ def test_batches(spark):
     assert Counter(r["batch_id"] for r in sm.batch_rows(df, 4, drop_last=False).collect()) == {0: 4, 1: 4, 2: 2}
 
 
-def test_sample_rows_small_and_large_agree(spark, monkeypatch):
+def test_sample_rows(spark):
     df, _ = table(spark, {0: 300})
     want = {i for _, i in sorted((key(i, 42), i) for i in range(300))[:50]}
     assert ids(sm.sample_rows(df, 50)) == want
-    monkeypatch.setattr(sm, "TOP_N_ROWS", 10)
-    assert ids(sm.sample_rows(df, 50)) == want
     assert len(ids(sm.sample_rows(df, 1000))) == 300
 
 

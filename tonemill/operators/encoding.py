@@ -76,23 +76,25 @@ def _lookup(words: Column, pairs: DataFrame, size: int) -> Column:
     return F.transform(words, id_of)
 
 
-def _join_lookup(df: DataFrame, words: Column, pairs: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Token ids by joining the exploded tokens; at most ``max_length`` of them come back per row.
+def _join_lookup(df: DataFrame, words: Column, pairs: DataFrame) -> DataFrame:
+    """Token ids by joining the exploded tokens of each distinct token sequence.
 
-    Frequent tokens skew the join key; the adaptive skew join splits them.
+    The sequence itself is the key, so ids may be missing or repeated, no row is lost and null texts stay null. Frequent
+    tokens skew the join key; the adaptive skew join splits them.
     """
-    exploded = df.select(F.col(id_col), F.posexplode_outer(words).alias("pos", "token"))
+    wide = df.withColumn("__words", words)
+    exploded = wide.select("__words").where(F.col("__words").isNotNull()).distinct().select("__words", F.posexplode_outer("__words").alias("pos", "token"))
     coded = (
         exploded.join(pairs, "token", "left")
-        .groupBy(id_col)
+        .groupBy("__words")
         .agg(
             F.array_sort(
                 F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(fixed.UNK_ID)).alias("id"))))
             ).alias("__pairs")
         )
-        .select(id_col, F.transform("__pairs", lambda p: p["id"]).alias("__ids"))
+        .select("__words", F.transform("__pairs", lambda p: p["id"]).alias("__ids"))
     )
-    return df.join(coded, id_col)
+    return wide.join(coded, "__words", "left").drop("__words")
 
 
 def _pad(coded: DataFrame, max_length: int) -> DataFrame:

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tonemill import fixed_values as fixed
 from tonemill.operators import ranking as rk
 
-# Samples up to this size are taken as a plain top-n; larger ones by the cut search.
-TOP_N_ROWS = 10_000
-
 
 def balance_classes(
     df: DataFrame,
@@ -128,8 +125,6 @@ def batch_rows(df: DataFrame, size: int, drop_last: bool = True) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, seed: int = fixed.DEFAULT_SEED, id_col: str = "row_id") -> DataFrame:
     """``n`` rows without replacement, or all if there are fewer."""
-    if n <= TOP_N_ROWS:
-        return df.orderBy(rk.order_key(F.col(id_col), seed), id_col).limit(n)
     return rk.smallest_per_group(
         df, None, lambda sizes: sizes.withColumn("quota", F.least(F.lit(n), F.col("size"))), seed, id_col
     )

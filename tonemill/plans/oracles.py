@@ -207,7 +207,8 @@ ORACLES: dict[str, str] = {
         entries AS (
             SELECT CAST(cls AS VARCHAR) AS entry, precision AS ep, recall AS er, f1 AS ef, support AS n FROM per_class
             UNION ALL SELECT 'macro avg', mp, mr, mf, n FROM overall
-            UNION ALL SELECT 'weighted avg', p, r, f, n FROM overall)
+            UNION ALL SELECT 'weighted avg', p, r, f, n FROM overall
+            UNION ALL SELECT 'accuracy', NULL, NULL, accuracy, NULL FROM overall)
         SELECT round(accuracy, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, conf_matrix,
                entry, round(ep, 6) AS entry_precision, round(er, 6) AS entry_recall, round(ef, 6) AS entry_f1,
                entries.n AS entry_support

@@ -80,7 +80,8 @@ def prepared_cache(spark, sf):
 
 
 REPORT = """accuracy double, precision double, recall double, f1 double, conf_matrix array<array<bigint>>,
-    class_report map<string, struct<precision: double, recall: double, `f1-score`: double, support: double>>"""
+    class_report map<string, string>"""
+ENTRY = "precision double, recall double, `f1-score` double, support double"
 
 
 @query
@@ -92,13 +93,14 @@ def eval_report_json(spark, sf):
     rows = F.transform("conf_matrix", lambda row: F.array_join(row.cast("array<string>"), ","))
     entries = document.select(
         "accuracy", "precision", "recall", "f1", F.array_join(rows, ";").alias("conf_matrix"),
-        F.explode("class_report").alias("entry", "scores"),
-    )
+        F.explode("class_report").alias("entry", "said"),
+    ).withColumn("scores", F.when(F.col("entry") != "accuracy", F.from_json("said", ENTRY)))
+    alone = F.when(F.col("entry") == "accuracy", F.expr("try_cast(said AS double)"))
     return rounded(
         entries.select(
             "accuracy", "precision", "recall", "f1", "conf_matrix", "entry",
             F.col("scores.precision").alias("entry_precision"), F.col("scores.recall").alias("entry_recall"),
-            F.col("scores").getField("f1-score").alias("entry_f1"), F.col("scores.support").alias("entry_support"),
+            F.coalesce(F.col("scores").getField("f1-score"), alone).alias("entry_f1"), F.col("scores.support").alias("entry_support"),
         )
     )
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,22 +33,9 @@ def build_session(app_name: str = "tonemill", master: str | None = None, **conf:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates.
-
-    It is the folder the cluster names in ``spark.checkpoint.dir``. Only a local master, where
-    every task sees the same disk, may fall back to a temporary folder.
-    """
+    """The shared folder for written intermediates: ``spark.checkpoint.dir``, else a folder below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return _local_scratch(spark.sparkContext.applicationId)
-    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-
-
-@cache
-def _local_scratch(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"tonemill-{application}-")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/tonemill-scratch").rstrip("/")
 
 
 def bucket_count(spark: SparkSession) -> int:
