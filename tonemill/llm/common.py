@@ -85,9 +85,9 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = KEY_BITS) -> np.ndarray
     """
     at = keys.select(F.pmod(column, F.lit(bits)).alias("bit"))
     mask = F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int))) AS mask")
-    rows = at.groupBy(F.shiftright("bit", 5).alias("word")).agg(mask).toPandas()
+    rows = at.groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(mask).toArrow()  # columns: row objects would fill the driver
     words = np.zeros(bits // 32, np.uint32)
-    words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.uint64).astype(np.uint32)
+    words[rows["word"].to_numpy()] = rows["mask"].to_numpy().astype(np.uint32)
     return words
 
 

@@ -84,10 +84,10 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"k": [key[0]], "n": [total.tolist()]})
 
     parts = docs.select("text").mapInPandas(count, "k long, n array<long>")
-    rows = parts.groupBy("k").applyInPandas(add, "k long, n array<long>").toPandas()
+    rows = parts.groupBy("k").applyInPandas(add, "k long, n array<long>").toArrow()
     out = np.zeros(SKETCH, np.int64)
-    for k, n in zip(rows["k"], rows["n"]):
-        out[k : k + 1024] = n
+    for k, n in zip(rows["k"].to_pylist(), rows["n"]):
+        out[k : k + 1024] = n.values.to_numpy()
     return out
 
 
