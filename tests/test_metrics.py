@@ -251,3 +251,22 @@ def test_misclassified_samples(spark):
     assert mt.misclassified_sample(df, 5).count() == 3
     with pytest.raises(ValueError):
         mt.misclassified_sample(df, by="size")
+
+
+@pytest.mark.parametrize("bad", [None, math.nan, math.inf, -math.inf])
+@pytest.mark.parametrize("partitions", ["1", "8", "64"])
+def test_scores_that_are_no_numbers_are_refused(spark, bad, partitions):
+    rows = spark.createDataFrame([(i, i % 2, [i / 40, bad if i == 7 else 0.5]) for i in range(40)], "row_id long, y int, probs array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        with pytest.raises(Exception, match="finite number"):
+            cv.roc_auc(cv.curve_counts(cv.class_points(rows))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_matrix_of_the_classes_seen(spark):
+    counts = spark.createDataFrame([(3, 70000, 2), (3, 3, 1)], "y int, pred int, n long")
+    got = {(r["y"], r["pred"]): r["n"] for r in mt.confusion_matrix(counts).collect()}
+    assert got == {(3, 3): 1, (3, 70000): 2, (70000, 3): 0, (70000, 70000): 0}

@@ -177,3 +177,21 @@ def test_scan_reads_only_needed_columns(spark, tmp_path):
     text = plan(pf.value_counts(df, "label"))
     assert "ReadSchema: struct<label:int>" in text
     assert "ReadSchema: struct<text:string>" in plan(df.select(tx.clean_text(F.col("text"))))
+
+
+def test_a_wrong_header_fails(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "good, or not"), (2, "line\nbreak")], "label int, text string")
+    sk.write_csv(rows, str(tmp_path / "csv"))
+    with pytest.raises(Exception, match="(?i)header"):
+        rd.read_csv(spark, str(tmp_path / "csv")).collect()
+    raw = rd.read_csv(spark, str(tmp_path / "csv"), rd.RAW_MODEL_SCHEMA)
+    assert raw.count() == 2 and sorted(r["text"] for r in raw.select("text").collect()) == ["good, or not", "line\nbreak"]
+    numbered = sk.number_rows(raw, str(tmp_path / "numbered"))
+    assert numbered.columns == ["row_id", "label", "text"]
+    assert len({r["row_id"] for r in numbered.collect()}) == 2 and numbered.collect() == numbered.collect()
+
+
+def test_single_line_csv_is_cut_into_tasks(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id").alias("row_id"), F.lit(1).alias("label"), F.lit("a, b").alias("text"))
+    sk.write_csv(rows, str(tmp_path / "csv"))
+    assert sorted(map(tuple, rd.read_csv(spark, str(tmp_path / "csv"), multi_line=False).collect())) == [(i, 1, "a, b") for i in range(200)]

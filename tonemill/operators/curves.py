@@ -18,10 +18,16 @@ MICRO = "micro"
 
 
 def class_points(scored: DataFrame, micro: bool = False) -> DataFrame:
-    """``(cls, score, pos)`` to draw curves from: per class, or all pairs pooled under ``micro``."""
+    """``(cls, score, pos)`` to draw curves from: per class, or all pairs pooled under ``micro``.
+
+    A null, NaN or infinite score fails the job, whatever the partitions; ``guard_nan`` keeps such rows out. Rows without
+    a class or without scores take no part.
+    """
     pairs = one_vs_rest(scored)
     cls = F.lit(MICRO) if micro else F.col("cls").cast("string")
-    return pairs.select(cls.alias("cls"), "score", "pos")
+    refused = F.raise_error(F.lit("a score of a curve must be a finite number")).cast("double")
+    score = F.when(F.abs("score") < float("inf"), F.col("score")).otherwise(refused)
+    return pairs.where(F.col("pos").isNotNull()).select(cls.alias("cls"), score.alias("score"), "pos")
 
 
 def score_counts(points: DataFrame) -> DataFrame:

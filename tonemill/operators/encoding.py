@@ -19,12 +19,16 @@ def build_vocab(df: DataFrame, size: int, column: str = "text") -> DataFrame:
     """The ``size`` most frequent tokens with their counts and ids, ties by token.
 
     Tokens are counted map-side first, so a token that makes up a third of the corpus costs each task
-    one row. Only the ``size`` rows of the result are numbered in one place.
+    one row. The number of tokens per count gives the smallest count that can be in the result; only tokens
+    that reach it are put in order, and only the ``size`` rows of the result are numbered in one place.
     """
     counted = df.select(F.explode(tx.tokens(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    more_frequent = F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"))) - F.col("tokens")
+    per_count = counted.groupBy("n").agg(F.count("*").alias("tokens")).withColumn("above", more_frequent)
+    least = per_count.where(F.col("above") < size).agg(F.min("n").alias("n")).scalar()
     by_rank = [F.desc("n"), F.asc("token")]
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by_rank))
-    return counted.orderBy(*by_rank).limit(size).select(
+    return counted.where(F.col("n") >= least).orderBy(*by_rank).limit(size).select(
         "token", "n", (number + (fixed.FIRST_TOKEN_ID - 1)).cast("int").alias("id")
     )
 

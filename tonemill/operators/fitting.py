@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -22,7 +21,6 @@ from tonemill.functions import vectors as vx
 from tonemill.operators.history import early_stop
 from tonemill.operators.metrics import weighted_prf
 from tonemill.operators.scoring import layered_scorer, score_batches
-from tonemill.session import settle
 
 HISTORY_SCHEMA = "epoch int, train_loss double, val_loss double, accuracy double, precision double, recall double, f1 double"
 # Number of the bias among the weights of a class.
@@ -185,7 +183,7 @@ def validation_table(val: DataFrame, batch_size: int) -> DataFrame:
 
 
 def validate(val: DataFrame, params: np.ndarray, dims: int) -> dict[str, float]:
-    """Loss, accuracy and weighted scores of a head in one pass; the driver gets classes x classes rows."""
+    """Loss, accuracy and weighted scores of a head in one pass over the rows; the driver gets single rows."""
     spark = val.sparkSession
     scored = score_batches(val, layered_scorer(spark, [(params[:, :-1], params[:, -1])]), dims)
     cells = (
@@ -193,14 +191,15 @@ def validate(val: DataFrame, params: np.ndarray, dims: int) -> dict[str, float]:
         .withColumn("loss", vx.cross_entropy(F.col("logits"), F.col("y")) * F.col("weight"))
         .groupBy("y", "pred")
         .agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    counts, table = settle(cells)
-    if table is None:
-        raise ValueError("too many classes to validate against")
-    hits = pc.sum(pc.if_else(pc.equal(table["y"], table["pred"]), table["n"], 0)).as_py()
-    loss, n = pc.sum(table["loss"]).as_py(), pc.sum(table["n"]).as_py()
-    scores = weighted_prf(counts).first().asDict()
-    return {"val_loss": loss, "accuracy": hits / n, **scores}
+    hits = F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0))
+    try:
+        total = cells.agg(F.sum("loss").alias("val_loss"), (hits / F.sum("n")).alias("accuracy")).first().asDict()
+        scores = weighted_prf(cells).first().asDict()
+    finally:
+        cells.unpersist()
+    return {**total, **scores}
 
 
 def fit_epochs(train: DataFrame, val: DataFrame, classes: int, dims: int, settings: EpochSettings = EpochSettings()) -> FitResult:

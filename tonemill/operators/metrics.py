@@ -16,9 +16,6 @@ from tonemill.functions import labels as lb
 from tonemill.functions import vectors as vx
 from tonemill.operators.sampling import sample_rows
 
-# A dense matrix needs all its classes at hand; longer class lists are served by the sparse counts.
-MAX_DENSE_CLASSES = 10_000
-
 
 def _ratio(top: Column, bottom: Column) -> Column:
     """top / bottom, and 0 where there is nothing to divide by."""
@@ -33,24 +30,24 @@ def accuracy(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
 
 
-def _class_list(counts: DataFrame) -> list[int]:
-    rows = counts.select(F.explode(F.array("y", "pred")).alias("c")).distinct().limit(MAX_DENSE_CLASSES + 1).collect()
-    if len(rows) > MAX_DENSE_CLASSES:
-        raise ValueError("too many classes for a dense matrix; use confusion_counts")
-    return sorted(r["c"] for r in rows)
+def _seen_grid(counts: DataFrame) -> DataFrame:
+    """Every pair of the classes seen on either side, from one row with the class list."""
+    seen = counts.select(F.explode(F.array("y", "pred")).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("classes"))
+    return seen.select("classes", F.explode("classes").alias("y")).select("y", F.explode("classes").alias("pred"))
 
 
 def confusion_matrix(counts: DataFrame, classes: Sequence[int] | int | None = None) -> DataFrame:
     """Every (y, pred) cell with its count, zeros included. Classes default to all labels seen."""
     if classes is None:
-        classes = _class_list(counts)
-    labels = list(range(classes)) if isinstance(classes, int) else list(classes)
-    k = len(labels)
-    names = F.lit(labels).cast("array<int>")
-    cell = F.col("id")
-    grid = counts.sparkSession.range(k * k).select(
-        F.get(names, F.floor(cell / k).cast("int")).alias("y"), F.get(names, (cell % k).cast("int")).alias("pred")
-    )
+        grid = _seen_grid(counts)
+    else:
+        labels = list(range(classes)) if isinstance(classes, int) else list(classes)
+        k = len(labels)
+        names = F.lit(labels).cast("array<int>")
+        cell = F.col("id")
+        grid = counts.sparkSession.range(k * k).select(
+            F.get(names, F.floor(cell / k).cast("int")).alias("y"), F.get(names, (cell % k).cast("int")).alias("pred")
+        )
     return grid.join(counts, ["y", "pred"], "left").select("y", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 

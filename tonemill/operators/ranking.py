@@ -36,10 +36,6 @@ def order_key(row_id: Column, seed: int | str) -> Column:
     return F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
-def group_sizes(df: DataFrame, group: str) -> DataFrame:
-    return df.groupBy(group).agg(F.count("*").alias("size"))
-
-
 def mark_smallest_per_group(
     df: DataFrame,
     group: str | None,
@@ -115,9 +111,14 @@ def mark_smallest_per_group(
             F.col("last_id"),
         )
     )
-    limits, _ = settle(limits)
-
     key = order_key(F.col(id_col), seed)
+    if group is None:  # one limit at most: constants of the plan, no join
+        last = limits.first()
+        if last is None:
+            return df.withColumn(flag, F.lit(False))
+        bound = F.struct(F.lit(last["last_key"]), F.lit(last["last_id"]).cast(df.schema[id_col].dataType))
+        return df.withColumn(flag, F.coalesce(F.struct(key, F.col(id_col)) <= bound, F.lit(False)))
+    limits, _ = settle(limits)
     joined = df.join(limits.withColumnsRenamed({"grp": "__grp", "last_key": "__key", "last_id": "__id"}),
                      grp.eqNullSafe(F.col("__grp")), "left")
     # As one comparison of pairs the key is computed once per row.
@@ -172,8 +173,8 @@ def with_positions(df: DataFrame, id_col: str = "row_id", seed: int | str | None
     """Add ``pos`` (0-based place in the total order) and ``total`` (row count).
 
     With a seed the order is the seeded shuffle, else it is ``id_col`` itself (numeric). The one
-    shuffle of wide rows is by bucket, which is what a total reordering needs anyway. The table of
-    bucket offsets has at most ``MAX_BUCKETS`` rows and is broadcast.
+    shuffle of wide rows is by bucket, which is what a total reordering needs anyway; the bucket offsets
+    are joined on that partitioning.
     """
     buckets = bucket_count(df.sparkSession)
     if seed is None:
@@ -199,7 +200,7 @@ def with_positions(df: DataFrame, id_col: str = "row_id", seed: int | str | None
     inside = Window.partitionBy("__bucket").orderBy(*order)
     return (
         placed.withColumn("__place", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), F.col("__bucket") == F.col("__b"))
+        .join(offsets, F.col("__bucket") == F.col("__b"))
         .withColumn("pos", F.col("__offset") + F.col("__place"))
         .drop("__key", "__bucket", "__b", "__n", "__offset", "__place")
     )

@@ -96,7 +96,7 @@ VIEWS["clean"] = rf"""
 VIEWS["vocab"] = """
         SELECT token, n, CAST(3 + row_number() OVER (ORDER BY n DESC, token) AS INTEGER) AS id
         FROM (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS token FROM clean)
-              WHERE token <> '' GROUP BY 1 ORDER BY n DESC, token LIMIT 2000)"""
+              WHERE token <> '' GROUP BY 1 ORDER BY n DESC, token LIMIT 30000)"""
 VIEWS["losses"] = """
         SELECT row_id, ln(exp(l0 - m) + exp(l1 - m) + exp(l2 - m)) + m - CASE y WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END AS loss
         FROM (SELECT *, greatest(l0, l1, l2) AS m FROM scored)"""
@@ -187,6 +187,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT item_id, text, 'test' FROM benchmark""",
     "csv_scan": "SELECT doc_id AS row_id, CAST(doc_id % 3 AS INTEGER) AS label, text FROM documents",
     "csv_roundtrip": _with("reviews", "SELECT * FROM reviews"),
+    "csv_reviews": _with("reviews", "SELECT class_index, review_title, review_text, CAST(1 AS BIGINT) AS rows_of_id FROM reviews"),
     "prepared_cache": _with("labelled", f"""
         SELECT row_id, label FROM (
             SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key('42')}, row_id) AS rn,
@@ -320,14 +321,14 @@ ORACLES: dict[str, str] = {
     # Encoding and vectors
     "build_vocab": _with("vocab", "SELECT token, n, id FROM vocab"),
     "encode_text": _with("vocab", """
-        , words AS (SELECT row_id, ([t FOR t IN string_split(text, ' ') IF t <> ''])[1:126] AS ws FROM clean),
+        , words AS (SELECT row_id, ([t FOR t IN string_split(text, ' ') IF t <> ''])[1:510] AS ws FROM clean),
         spread AS (SELECT row_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM words),
         coded AS (SELECT row_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM spread LEFT JOIN vocab USING (token) GROUP BY 1),
         marked AS (SELECT row_id, [2] || coalesce(ids, []) || [3] AS ids FROM words LEFT JOIN coded USING (row_id))
         SELECT row_id,
-               array_to_string(ids || [0 FOR x IN range(128 - len(ids))], ' ') AS input_ids,
-               array_to_string([CASE WHEN x < len(ids) THEN 1 ELSE 0 END FOR x IN range(128)], ' ') AS attention_mask,
-               array_to_string([0 FOR x IN range(128)], ' ') AS token_type_ids
+               array_to_string(ids || [0 FOR x IN range(512 - len(ids))], ' ') AS input_ids,
+               array_to_string([CASE WHEN x < len(ids) THEN 1 ELSE 0 END FOR x IN range(512)], ' ') AS attention_mask,
+               array_to_string([0 FOR x IN range(512)], ' ') AS token_type_ids
         FROM marked"""),
     "max_pool": _with("tokens", """
         SELECT row_id, dim, round(max(CASE WHEN mask = 1 THEN CAST(value AS DOUBLE) ELSE -1e9 END), 6) AS value

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 # Longer tables stay distributed and are joined by shuffle.
 SMALL_TABLE_ROWS = 200_000
 
-# Upper bound on order buckets; also bounds the bucket-offset tables that are broadcast.
-MAX_BUCKETS = 65_536
-
 
 def build_session(app_name: str = "tonemill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for; ``conf`` wins over them."""
@@ -44,8 +41,7 @@ def bucket_count(spark: SparkSession) -> int:
     A bucket is ordered inside one task, so it must be what a shuffle partition is: a size the
     executors handle. Both then grow with the one setting that is sized to the data.
     """
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(partitions, MAX_BUCKETS))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def settle(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, pa.Table | None]:

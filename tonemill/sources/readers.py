@@ -26,6 +26,9 @@ MODEL_SCHEMA = T.StructType(
         T.StructField("text", T.StringType()),
     ]
 )
+# The same files as published, without a row number; ``sinks.number_rows`` adds one.
+RAW_REVIEW_SCHEMA = T.StructType([f for f in REVIEW_SCHEMA if f.name != "row_id"])
+RAW_MODEL_SCHEMA = T.StructType([f for f in MODEL_SCHEMA if f.name != "row_id"])
 
 # Shared by reader and writer, so that blank text, missing values, padding, quotes, commas, line breaks and
 # backslashes come back as they were.
@@ -38,9 +41,14 @@ CSV_OPTIONS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = MODEL_SCHEMA) -> DataFrame:
-    """CSV with quoted line breaks. Such a file is one task, so large sets are written as many files."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = MODEL_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """CSV whose header names the columns of ``schema`` in their order; any other header fails the job.
+
+    A file with quoted line breaks is one task, so large sets are written as many files. Files known to hold none can be
+    cut into many tasks with ``multi_line=False``.
+    """
+    options = {**CSV_OPTIONS, "enforceSchema": "false", "multiLine": str(multi_line).lower()}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def read_split(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:

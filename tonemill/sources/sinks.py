@@ -24,6 +24,14 @@ def store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, path: str, id_col: str = "row_id") -> DataFrame:
+    """Add a row number and store the rows, so that every later read sees the same numbers.
+
+    Numbers are unique, as each task numbers within its own range, but not gapless.
+    """
+    return store(df.select(F.monotonically_increasing_id().alias(id_col), "*"), path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(**CSV_OPTIONS, maxRecordsPerFile=CSV_ROWS_PER_FILE).mode("overwrite").csv(path)
 
