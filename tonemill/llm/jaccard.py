@@ -3,10 +3,10 @@
 Candidates meet in tiles of one prefix shingle and one size band. Inside a tile, bit counts of hashed bitmap
 signatures bound the overlap from above; pairs that pass are decided by exact intersection of sorted arrays.
 
-Equal sets are one entry. Copies that agree on a minimum hash are linked first, to one member each and only after
-exact verification, and tiles whose entries belong to one component need no comparison. So a large group of near
-copies costs links in proportion to its size, and nothing is lost: prefix filtering still brings every other pair
-of linked sets together in some tile.
+Equal sets are one entry. Every member of a tile is compared first with one member of it, chosen by a hash, and linked
+only after exact verification. That decides tiles of two; larger tiles whose entries then belong to one component need
+no comparison. So a large group of near copies costs links in proportion to its size, and nothing is lost: linked sets
+share a prefix shingle, and where a tile holds several components its pairs are compared across them.
 """
 
 from __future__ import annotations
@@ -27,10 +27,9 @@ from tonemill.llm.winnow import WordHashes, gram_hashes
 SHINGLE = 5
 PERCENT = 80
 SKETCH = 1 << 18  # counters that order shingles from rare to frequent
-SLOTS = 4  # minimum hashes per set
+CENTRES = 4  # orders in which tiles choose the member that others are compared with first
 BIT_WORDS = 8  # signature of 512 bits, carried by tiles
 WIDE_WORDS = 32  # signature of 2,048 bits, for pairs that pass the first
-_ODD = np.random.default_rng(11).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -92,7 +91,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row per document: doc_id, n, set key, minimum hashes, signature words and prefix shingles."""
+    """One row per document: doc_id, n, set key, signature words and prefix shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,23 +103,22 @@ def describe_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 for doc_id, text in zip(part["doc_id"], part["text"]):
                     s = shingle_set(text, hashes)
                     if not len(s):
-                        rows.append((doc_id, 0, None, None, None, None, None))
+                        rows.append((doc_id, 0, None, None, None, None))
                         continue
                     key = xxhash.xxh3_64_intdigest(s.tobytes(), seed=5)
-                    mins = [int(((s * odd) ^ ((s * odd) >> np.uint64(31))).min()) for odd in _ODD]
                     wide = np.zeros(WIDE_WORDS * 64, np.uint8)
                     wide[(s & np.uint64(WIDE_WORDS * 64 - 1)).astype(np.int64)] = 1
                     bits = wide.reshape(-1, BIT_WORDS * 64).max(0)
                     order = np.argsort(shared.value[_sketch_place(s)], kind="stable")  # equal counts: by hash
                     prefix = s[order[: prefix_length(len(s))]].view(np.int64)
                     signature, broad = (np.packbits(v, bitorder="little").view(np.int64) for v in (bits, wide))
-                    rows.append((doc_id, len(s), np.uint64(key).astype(np.int64), np.array(mins, np.uint64).view(np.int64), signature, broad, prefix))
-                frame = pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "mins", "bits", "wide", "prefix"])
+                    rows.append((doc_id, len(s), np.uint64(key).astype(np.int64), signature, broad, prefix))
+                frame = pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "bits", "wide", "prefix"])
                 # a plain column of numbers and nulls would become floating point and lose digits
                 frame["set_key"] = pd.array([None if r[2] is None else int(r[2]) for r in rows], dtype="Int64")
                 yield frame
 
-    kind = "doc_id long, n long, set_key long, mins array<long>, bits array<long>, wide array<long>, prefix array<long>"
+    kind = "doc_id long, n long, set_key long, bits array<long>, wide array<long>, prefix array<long>"
     return docs.select("doc_id", "text").mapInPandas(describe, kind)
 
 
@@ -188,17 +186,8 @@ def near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.where(may_link("na", "nb", differing)).select("a", "b")
 
 
-def star_pairs(described: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Every set with one member of each group that shares a minimum hash, where signatures leave room for a link."""
-    keys = described.select("set_key", F.posexplode("mins").alias("slot", "least")).distinct()
-    pick = F.min(F.struct(F.xxhash64("set_key").alias("o"), "set_key"))["set_key"]
-    centres = keys.groupBy("slot", "least").agg(pick.alias("c"), F.count("*").alias("k")).where("k > 1")
-    met = keys.join(centres.select("slot", "least", "c"), ["slot", "least"]).where(F.col("c") != F.col("set_key"))
-    return near_pairs(met.select(F.least("c", "set_key").alias("a"), F.greatest("c", "set_key").alias("b")).distinct(), signatures)
-
-
 def shared_shingles(described: DataFrame) -> DataFrame:
-    """``(shingle, set_key)`` of prefix shingles that occur in the prefixes of two sets or more."""
+    """``(shingle, set_key, n)`` of prefix shingles that occur in the prefixes of two sets or more."""
     everywhere = described.select("set_key", F.explode("prefix").alias("shingle"))
     common = everywhere.groupBy("shingle").agg(F.min("set_key").alias("p"), F.max("set_key").alias("q")).where("p < q").select("shingle")
     common = stage(common, "common")
@@ -210,17 +199,36 @@ def shared_shingles(described: DataFrame) -> DataFrame:
         kept = [np.asarray(p, np.int64) for p in prefix]
         return pd.Series([p[in_bitmap(shared.value, p)] for p in kept], dtype=object)
 
-    held = described.select("set_key", useful("prefix").alias("prefix")).select("set_key", F.explode("prefix").alias("shingle")).distinct()
+    held = described.select("set_key", "n", useful("prefix").alias("prefix")).select("set_key", "n", F.explode("prefix").alias("shingle")).distinct()
     return held.join(common, "shingle", "left_semi")
 
 
-def tile_pairs(described: DataFrame, signatures: DataFrame, parts: DataFrame) -> DataFrame:
+def tile_centres(members: DataFrame) -> DataFrame:
+    """Per shingle its number of sets ``k`` and one of them: centre, centre_n.
+
+    Shingles are dealt over ``CENTRES`` orders, so a group meets a few centres and one odd member cannot part it.
+    """
+    order = F.xxhash64("set_key", F.pmod("shingle", F.lit(CENTRES)))
+    pick = F.min(F.struct(order.alias("o"), "set_key", "n"))
+    chosen = members.groupBy("shingle").agg(F.count("*").alias("k"), pick.alias("c"))
+    return chosen.select("shingle", "k", F.col("c.set_key").alias("centre"), F.col("c.n").alias("centre_n"))
+
+
+def star_pairs(members: DataFrame, centres: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Every set with the centres of its tiles, where sizes and signatures leave room for a link."""
+    met = members.join(centres.drop("k"), "shingle").where((F.col("centre") != F.col("set_key")) & may_link("n", "centre_n", F.lit(0)))
+    return near_pairs(met.select(F.least("centre", "set_key").alias("a"), F.greatest("centre", "set_key").alias("b")).distinct(), signatures)
+
+
+def tile_pairs(members: DataFrame, centres: DataFrame, signatures: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of sets of different components that share a tile and pass the bit-count bound.
 
-    parts: ``(node, root)`` of sets that are linked already. A tile is a prefix shingle and a size band.
+    parts: ``(node, root)`` of sets that are linked already. A tile is a prefix shingle and a size band. A shingle of
+    two sets is left out: ``star_pairs`` has that pair.
     """
-    rows = shared_shingles(described).join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")
-    rows = stage(rows.select("shingle", "set_key", F.coalesce("root", "set_key").alias("part")), "members")
+    rows = members.join(centres.where("k > 2").select("shingle"), "shingle", "left_semi")
+    rows = rows.join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")
+    rows = stage(rows.select("shingle", "set_key", F.coalesce("root", "set_key").alias("part")), "mixed")
     mixed = rows.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
     rows = rows.join(mixed, "shingle", "left_semi").join(signatures.drop("wide"), "set_key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
@@ -245,12 +253,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     described = describe_sets(rows, shingle_counts(rows))
-    described = stage(described.select("doc_id", "n", "set_key", "mins", "wide", "prefix", *[F.col("bits")[k].alias(c) for k, c in enumerate(_BITS)]), "sets")
+    described = stage(described.select("doc_id", "n", "set_key", "wide", "prefix", *[F.col("bits")[k].alias(c) for k, c in enumerate(_BITS)]), "sets")
     full = described.where("n > 0")
     signatures = stage(full.select("set_key", "n", "wide", *_BITS).distinct(), "signatures")
-    stars = stage(verify(stage(star_pairs(full, signatures), "stars"), rows, full), "links")
+    members = stage(shared_shingles(full), "members")
+    centres = stage(tile_centres(members), "centres")
+    stars = stage(verify(stage(star_pairs(members, centres, signatures), "stars"), rows, full), "links")
     parts = stage(connected_components(stars), "parts")
-    tiles = verify(stage(tile_pairs(full, signatures, parts), "pairs"), rows, full)
+    tiles = verify(stage(tile_pairs(members, centres, signatures, parts), "pairs"), rows, full)
     roots = connected_components(stage(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(tiles), "links"))
     smallest = full.groupBy("set_key").agg(F.min("doc_id").alias("least"))
     rooted = smallest.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
