@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.llm.brown import split_words
-from tonemill.llm.common import in_bitmap, key_bitmap, stage
+from tonemill.llm.common import in_bitmap, key_bitmap, small_batches, stage
 from tonemill.llm.components import connected_components
 from tonemill.llm.winnow import WordHashes, gram_hashes
 
@@ -83,7 +83,8 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"k": [key[0]], "n": [total.tolist()]})
 
     parts = docs.select("text").mapInPandas(count, "k long, n array<long>")
-    rows = parts.groupBy("k").applyInPandas(add, "k long, n array<long>").toArrow()
+    with small_batches(docs.sparkSession):
+        rows = parts.groupBy("k").applyInPandas(add, "k long, n array<long>").toArrow()
     out = np.zeros(SKETCH, np.int64)
     for k, n in zip(rows["k"].to_pylist(), rows["n"]):
         out[k : k + 1024] = n.values.to_numpy()
