@@ -1,9 +1,13 @@
 """Class-based n-gram language model: Brown classes found by exchange clustering.
 
-P(word | previous word) = P(class | previous class) * P(word | class). The most frequent words are clustered one by
-one; every other word, seen or not, belongs to a form (a hash of its ending), and forms are clustered like words.
-Word counts cover the whole training vocabulary and stay distributed; what travels to tasks is bounded by
-parameters: the clustered words, and a table of frequent words with their counts.
+P(word | previous word) = P(class | previous class) * P(word | class). The most frequent words and the forms (hashes of
+word endings) of all others are clustered on the driver; that is the start. From there every training word is exchanged
+for itself: its neighbours are counted by class and it moves to the class that raises most the mutual information plus
+the log-probability of the classes given the forms (without that, words seen once or twice follow chance and held-out
+texts lose), round after round over the whole vocabulary, until few words move. Only words unseen in training take the
+most common class of their form.
+Words, their counts, neighbours and classes stay distributed; what travels to tasks is bounded by parameters: the class
+pairs, and a table of frequent words with their counts and classes.
 """
 
 from __future__ import annotations
@@ -12,9 +16,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +33,12 @@ FREQUENT_WORDS = 1 << 18  # words whose counts travel to tasks; the others are j
 FREQUENT_BYTES = 40
 ADD = 0.1
 FLUSH = 400_000
+PAIR_FLUSH = 1 << 20
+ROWS = 100_000  # rows of an Arrow batch of numbers
+FEW = 0.01  # exchange ends when at most this share of the words moves,
+LITTLE = 1e-3  # or a round raises the objective by no more than this share of it
+TURNS = 64  # parts of the vocabulary by hash; where all words at once overshoot, fewer parts move
+SELF, OWN = 2 * CLASSES, 2 * CLASSES + 1  # codes of a word's row: class behind, class before, itself, its own tag and class
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -39,6 +51,11 @@ def form_of(word: bytes) -> int:
     return zlib.crc32(word[-3:] + bytes([min(len(word), 6) // 3])) % FORMS
 
 
+def tag_of(word: bytes) -> int:
+    """Form and part of the vocabulary; from the word alone, so that results do not depend on numbering."""
+    return form_of(word) * TURNS + (zlib.crc32(word) >> 16) % TURNS
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word binary, n)`` over all words of ``text``; counts are summed in every task before the shuffle."""
 
@@ -137,9 +154,311 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.n
     return cls
 
 
+def mutual_information(n: np.ndarray) -> float:
+    """Of a table of class pairs, in nats and up to the number of words."""
+    return float(_xlogx(n).sum() - _xlogx(n.sum(1)).sum() - _xlogx(n.sum(0)).sum() + _xlogx(n.sum()))
+
+
+def move_gains(n: np.ndarray, cls: np.ndarray, r: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Gain in mutual information of putting each word, taken out of its class, into each class; the last is the end's.
+
+    ``r`` and ``b`` count the classes behind and before the words, without the ``own`` pairs of a word with itself.
+    """
+    m, size = r.shape
+    row = np.arange(m)
+    gain = np.zeros((m, size))
+    for table, x, y in ((n, r, b), (n.T, b, r)):
+        i, k = np.nonzero(x)
+        v, a = x[i, k], cls[i]
+        cell = table.T[k].astype(float)  # of every class c: table[c, k]
+        home = np.flatnonzero(k == a)
+        cell[home] -= y[i[home]]
+        j = np.arange(len(i))
+        cell[j, a] = table[a, k] - v - np.where(k == a, y[i, a] + own[i], 0)
+        term = _xlogx(cell + v[:, None]) - _xlogx(cell)
+        term[j, k] = 0
+        if len(i):
+            start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            gain[i[start]] += np.add.reduceat(term, start)
+        margin = np.tile(table.sum(1), (m, 1))
+        total = x.sum(1) + own
+        margin[row, cls] -= total
+        gain -= _xlogx(margin + total[:, None]) - _xlogx(margin)
+    both = np.tile(np.diagonal(n), (m, 1))
+    both[row, cls] -= r[row, cls] + b[row, cls] + own
+    gain += _xlogx(both + r + b + own[:, None]) - _xlogx(both)
+    gain[:, -1] = -np.inf
+    return gain
+
+
+@dataclass
+class Vocabulary:
+    """Frequent words by number; all others in ``rare`` (word, n, id), with ids behind the end's."""
+
+    frequent: list[bytes]
+    n: np.ndarray
+    rare: DataFrame
+
+    @property
+    def end(self) -> int:
+        return len(self.frequent)
+
+
+def number_words(counts: DataFrame) -> Vocabulary:
+    often = counts.where(F.length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).toArrow()
+    words = [bytes(w) for w in often["word"].to_pylist()]
+    shared = counts.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[w not in shared.value for w in b["word"]]]
+
+    rare = counts.mapInPandas(others, "word binary, n long")
+    rare = stage(rare.withColumn("id", F.monotonically_increasing_id() + len(words) + 1), "rare", ROWS)
+    return Vocabulary(words, often["n"].to_numpy().astype(np.int64), rare)
+
+
+def neighbours(docs: DataFrame, v: Vocabulary) -> tuple[DataFrame, DataFrame, int]:
+    """``(w, o, side, n)`` of all words and their neighbours: frequent ones or the end, then rare ones; and the empty texts.
+
+    Side 0 is behind the word, side 1 before it, side 2 the word itself.
+    """
+    end = v.end
+    shared = docs.sparkSession.sparkContext.broadcast(v.frequent)
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {w: k for k, w in enumerate(shared.value)}
+        keys, held = [], 0
+        odd: Counter[tuple] = Counter()
+
+        def flush() -> pd.DataFrame:
+            key, n = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_counts=True)
+            k = len(odd)
+            return pd.DataFrame(
+                {
+                    "a": np.append(key // (end + 1), np.array([x[0] for x in odd], np.int64)),
+                    "b": np.append(key % (end + 1), np.array([x[1] for x in odd], np.int64)),
+                    "ra": pd.Series([None] * len(key) + [x[2] for x in odd], dtype=object),
+                    "rb": pd.Series([None] * len(key) + [x[3] for x in odd], dtype=object),
+                    "n": np.append(n, np.fromiter(odd.values(), np.int64, k)),
+                }
+            )
+
+        for b in batches:
+            for t in b["text"]:
+                words = split_words(t)
+                s = np.full(len(words) + 2, end)
+                s[1:-1] = [at.get(w, -1) for w in words]
+                x, y = s[:-1], s[1:]
+                whole = (x >= 0) & (y >= 0)
+                keys.append(x[whole] * (end + 1) + y[whole])
+                for i in np.flatnonzero(~whole):
+                    odd[int(x[i]), int(y[i]), words[i - 1] if x[i] < 0 else None, words[i] if y[i] < 0 else None] += 1
+                held += len(s)
+                if held > PAIR_FLUSH:
+                    yield flush()
+                    keys, held = [], 0
+                    odd.clear()
+        yield flush()
+
+    found = stage(docs.select("text").mapInPandas(pairs, "a long, b long, ra binary, rb binary, n long"), "pairs")
+    first = v.rare.select(F.col("word").alias("ra"), F.col("id").alias("ida"))
+    second = v.rare.select(F.col("word").alias("rb"), F.col("id").alias("idb"))
+    no_a, no_b = F.col("ra").isNull(), F.col("rb").isNull()
+    # split, since null keys would meet in one task
+    numbered = found.where(no_a & no_b).select("a", "b", "n")
+    numbered = numbered.union(found.where(~no_a & no_b).join(first, "ra").select("ida", "b", "n"))
+    numbered = numbered.union(found.where(no_a & ~no_b).join(second, "rb").select("a", "idb", "n"))
+    numbered = numbered.union(found.where(~no_a & ~no_b).join(first, "ra").join(second, "rb").select("ida", "idb", "n"))
+    empty = found.where((F.col("a") == end) & (F.col("b") == end)).agg(F.sum("n")).first()[0] or 0
+    one = lambda w, o, side: F.struct(F.col(w).alias("w"), F.col(o).alias("o"), side.alias("side"), F.col("n"))
+    side = F.when(F.col("a") == F.col("b"), 2).otherwise(0)
+    both = numbered.select(F.explode(F.array(one("a", "b", side), one("b", "a", F.when(F.col("a") == F.col("b"), 3).otherwise(1)))).alias("x")).select("x.*")
+    both = both.where((F.col("w") != end) & (F.col("side") < 3))
+    near = (F.col("o") <= end) | (F.col("side") == 2)
+    # a frequent word's neighbours lie in a few tasks, so that one task counts most of them
+    close = stage(both.where(near).repartition("w", F.pmod("o", F.lit(8))), "near", ROWS)
+    return close, stage(both.where(~near), "far", ROWS), int(empty)
+
+
+def _summed(w: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((code, w))
+    w, code, n = w[order], code[order].astype(np.int64), n[order]
+    start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (code[1:] != code[:-1])))
+    return w[start], code[start], np.add.reduceat(n, start)
+
+
+def class_rows(close: DataFrame, far: DataFrame, classes: np.ndarray, tags: np.ndarray, rare: DataFrame) -> DataFrame:
+    """``(w, k, tag, code, n)`` of every word: its class and the counts of its neighbours' classes, under the given classes."""
+    shared = close.sparkSession.sparkContext.broadcast((np.append(classes, CLASSES - 1), tags))  # the end behind the frequent words
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+        parts: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            w, o, side, n = (np.concatenate(x) for x in zip(*parts))
+            code = np.where(side == 2, SELF, side * CLASSES + known[np.where(side == 2, 0, o)])
+            w, code, n = _summed(w, code, n)
+            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(code.astype(np.int32)), pa.array(n)], ["w", "code", "n"])
+
+        held = 0
+        for b in batches:
+            parts.append(tuple(b.column(c).to_numpy() for c in ("w", "o", "side", "n")))
+            held += len(b)
+            if held > PAIR_FLUSH:
+                yield flush()
+                parts, held = [], 0
+        if held:
+            yield flush()
+
+    rows = close.mapInArrow(look_up, "w long, code int, n long")
+    kept = rare.select("id", "k", "tag")
+    rows = rows.union(far.join(kept.select(F.col("id").alias("o"), "k"), "o").groupBy("w", (F.col("side") * CLASSES + F.col("k")).alias("code")).agg(F.sum("n").alias("n")).select("w", "code", "n"))
+    rows = rows.union(kept.select("id", (F.col("tag") * CLASSES + F.col("k") + OWN).alias("code"), F.lit(0).cast("long")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, tag_known = shared.value
+        left = tuple(np.zeros(0, np.int64) for _ in range(3))
+
+        def out(w: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            w, code, n = _summed(w, code, n)
+            word, start = np.unique(w, return_index=True)
+            k, tag = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+            often = word < len(tag_known)
+            k[often], tag[often] = known[word[often]], tag_known[word[often]]
+            is_own = code >= OWN
+            mine = np.searchsorted(word, w[is_own])
+            k[mine], tag[mine] = (code[is_own] - OWN) % CLASSES, (code[is_own] - OWN) // CLASSES
+            w, code, n = w[~is_own], code[~is_own], n[~is_own]
+            offsets = pa.array(np.append(np.searchsorted(w, word), len(w)).astype(np.int32))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(word), pa.array(k.astype(np.int32)), pa.array(tag.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(code.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(n))],
+                ["w", "k", "tag", "code", "n"],
+            )
+
+        for b in batches:
+            w, code, n = (np.append(x, b.column(c).to_numpy()) for x, c in zip(left, ("w", "code", "n")))
+            done = np.searchsorted(w, w[-1]) if len(w) else 0  # the last word may go on
+            if done:
+                yield out(w[:done], code[:done], n[:done])
+            left = w[done:], code[done:], n[done:]
+        if len(left[0]):
+            yield out(*left)
+
+    packed = rows.repartition("w").sortWithinPartitions("w").mapInArrow(pack, "w long, k int, tag int, code array<int>, n array<long>")
+    return stage(packed, "classed", ROWS)
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    code, n = b.column("code"), b.column("n")
+    length = np.diff(code.offsets.to_numpy())
+    return b.column("w").to_numpy(), b.column("k").to_numpy().astype(np.int64), np.repeat(np.arange(len(b)), length), code.flatten().to_numpy(), n.flatten().to_numpy()
+
+
+def class_pairs(rows: DataFrame, empty: int) -> np.ndarray:
+    """Counts of neighbouring classes over all training texts."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            _, k, at, code, n = _unpacked(b)
+            own = k[at]
+            for chosen, cell in (
+                (code < CLASSES, own * CLASSES + code),
+                (code == SELF, own * CLASSES + own),
+                (code == 2 * CLASSES - 1, (CLASSES - 1) * CLASSES + own),  # the end before a word
+            ):
+                np.add.at(total, cell[chosen], n[chosen])
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["cell", "n"])
+
+    got = rows.mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES * CLASSES)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    out[-1] += empty
+    return out.reshape(CLASSES, CLASSES)
+
+
+def form_classes(rows: DataFrame) -> np.ndarray:
+    """Number of words of every form in every class."""
+    got = rows.groupBy(F.floor(F.col("tag") / TURNS).alias("form"), "k").agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros((FORMS, CLASSES))
+    out[got["form"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def objective(pairs: np.ndarray, forms: np.ndarray) -> float:
+    """Mutual information plus the log-probability of the words' classes given their forms (Dirichlet of 1 / classes)."""
+    return mutual_information(pairs) + sum(lgamma(x + 1 / CLASSES) for x in forms.ravel())
+
+
+def best_classes(rows: DataFrame, pairs: np.ndarray, forms: np.ndarray, parts: int, turn: int) -> DataFrame:
+    """``(w, k, tag, moved)``: the best class of the words in ``parts`` parts of the vocabulary; the others stay."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 4096):
+                b = whole.slice(start, 4096)
+                w, k, at, code, n = _unpacked(b)
+                tag = b.column("tag").to_numpy()
+                x = np.zeros((len(w), OWN))
+                x[at, code] = n
+                row = np.arange(len(w))
+                prior = forms[tag // TURNS]
+                prior[row, k] -= 1
+                gain = move_gains(pairs, k, x[:, :CLASSES], x[:, CLASSES:SELF], x[:, SELF]) + np.log(prior + 1 / CLASSES)
+                best = gain.argmax(1)
+                may = (tag % TURNS + turn * parts) % TURNS < parts
+                best = np.where(may & (gain[row, best] > gain[row, k] + 1e-9), best, k)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(best.astype(np.int32)), pa.array(tag), pa.array(best != k)], ["w", "k", "tag", "moved"])
+
+    return stage(rows.mapInArrow(move, "w long, k int, tag int, moved boolean"), "moves", ROWS)
+
+
+def exchange_all(docs: DataFrame, v: Vocabulary, start: ClassModel) -> tuple[np.ndarray, DataFrame, np.ndarray, np.ndarray]:
+    """Classes of the frequent words, ``(id, k, tag)`` of all others, class pairs and form classes, exchanged over all words.
+
+    All words are moved at once. Where that lowers the objective the round is taken back and half as many move.
+    """
+    close, far, empty = neighbours(docs, v)
+    shared = docs.sparkSession.sparkContext.broadcast(start)
+
+    @F.pandas_udf("struct<k:int,tag:int>")
+    def first_class(words: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"k": [shared.value.class_of(w) for w in words], "tag": [tag_of(w) for w in words]}, dtype="int32")
+
+    classes = np.array([start.class_of(w) for w in v.frequent], np.int64)
+    tags = np.array([tag_of(w) for w in v.frequent], np.int64)
+    rare = stage(v.rare.select("id", first_class("word").alias("x")).select("id", "x.k", "x.tag"), "rare_classes", ROWS)
+    rows = class_rows(close, far, classes, tags, rare)
+    pairs, forms = class_pairs(rows, empty), form_classes(rows)
+    parts, turn = TURNS, 0
+    while parts >= TURNS // 8:
+        turn += 1
+        moves = best_classes(rows, pairs, forms, parts, turn)
+        words, moved = moves.agg(F.count("*"), F.count_if("moved")).first()
+        if not moved:
+            break
+        often = moves.where(F.col("w") < v.end).select("w", "k").toArrow()  # at most FREQUENT_WORDS
+        new = classes.copy()
+        new[often["w"].to_numpy()] = often["k"].to_numpy()
+        new_rare = moves.where(F.col("w") > v.end).select(F.col("w").alias("id"), "k", "tag")
+        new_rows = class_rows(close, far, new, tags, new_rare)
+        new_pairs, new_forms = class_pairs(new_rows, empty), form_classes(new_rows)
+        before, after = objective(pairs, forms), objective(new_pairs, new_forms)
+        if after <= before:
+            parts //= 2
+            continue
+        classes, rare, rows, pairs, forms = new, new_rare, new_rows, new_pairs, new_forms
+        if moved <= FEW * words * parts / TURNS or after - before <= LITTLE * abs(after) * parts / TURNS:
+            break
+    return classes, rare, pairs, forms
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """Transition table, and what each class's emissions are smoothed with."""
+    """Transition table, and what each class's emissions are smoothed with; ``class_of`` is for unseen words and the start."""
 
     clustered: dict[bytes, int]
     cls: np.ndarray
@@ -161,35 +480,31 @@ class ClassModel:
         return np.log10((c + ADD) / (self.tokens + ADD * (self.types + 1)))
 
 
-def fit_brown(training: DataFrame, counts: DataFrame) -> ClassModel:
-    """Clusters, transitions and class sizes from all training texts and their staged word counts."""
+def fit_brown(training: DataFrame, counts: DataFrame) -> tuple[ClassModel, Vocabulary, np.ndarray, DataFrame]:
+    """Transitions and class sizes from all training texts and their staged word counts; the words and their classes.
+
+    The third item has the classes of the frequent words, the last ``(word, n, k)`` of all others.
+    """
     top = counts.orderBy(F.desc("n"), "word").limit(CLUSTERED_WORDS).toPandas()
     clustered = {bytes(w): k for k, w in enumerate(top["word"])}
-    pairs = symbol_pairs(training, clustered)
-    cls = exchange(pairs)
-    member = np.zeros((len(cls), CLASSES))
-    member[np.arange(len(cls)), cls] = 1
-    n = member.T @ pairs @ member
+    symbols = symbol_pairs(training, clustered)
+    cls = exchange(symbols)
+    start = ClassModel(clustered, cls, np.zeros((CLASSES, CLASSES)), np.zeros(CLASSES), np.zeros(CLASSES), 0, 0)
+    v = number_words(counts)
+    classes, rare, n, forms = exchange_all(training, v, start)
+    of_form = np.where(forms.any(1), forms.argmax(1), cls[len(clustered) : len(clustered) + FORMS])
+    known = stage(v.rare.join(rare, "id").select("word", "n", "k"), "classes")
     arrive = n.sum(0)
     prior = (arrive + 0.5) / (arrive.sum() + 0.5 * CLASSES)
     transition = np.log10((n + 2 * prior) / (n.sum(1, keepdims=True) + 2))
-    model = ClassModel(clustered, cls, transition, np.zeros(CLASSES), np.zeros(CLASSES), 0, 0)
-
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for b in batches:
-            k = np.array([model.class_of(w) for w in b["word"]], np.int64)
-            tokens += np.bincount(k, b["n"].to_numpy(float), CLASSES).astype(np.int64)
-            types += np.bincount(k, minlength=CLASSES)
-        yield pd.DataFrame({"k": np.arange(CLASSES), "tokens": tokens, "types": types})
-
-    rows = counts.mapInPandas(sizes, "k int, tokens long, types long").groupBy("k").agg(F.sum("tokens"), F.sum("types")).toPandas()
-    tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    tokens, types = np.bincount(classes, v.n, CLASSES), np.bincount(classes, minlength=CLASSES).astype(float)
+    rows = known.groupBy("k").agg(F.sum("n"), F.count("*")).toPandas()
     if len(rows):
-        tokens[rows["k"]], types[rows["k"]] = rows.iloc[:, 1], rows.iloc[:, 2]
-    ends = int(pairs[:, -1].sum())
+        tokens[rows["k"]] += rows.iloc[:, 1]
+        types[rows["k"]] += rows.iloc[:, 2]
+    ends = int(n[:, -1].sum())
     tokens[CLASSES - 1], types[CLASSES - 1] = ends, int(ends > 0)
-    return ClassModel(clustered, cls, transition, tokens, types, int(tokens.sum()), int(types.sum()))
+    return ClassModel({}, of_form, transition, tokens, types, int(tokens.sum()), int(types.sum())), v, classes, known
 
 
 def score_brown(docs: DataFrame) -> DataFrame:
@@ -202,17 +517,14 @@ def score_brown(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", in_remainder("doc_id", 10, 0).alias("held_out"))
     training = marked.where(~F.col("held_out"))
     counts = stage(count_words(training), "words")
-    model = fit_brown(training, counts)
-    often = counts.where(F.length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).toArrow()
-    words = [bytes(w) for w in often["word"].to_pylist()]
+    model, v, classes, rare_words = fit_brown(training, counts)
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model, words, often["n"].to_numpy().astype(np.int64)))
+    shared = context.broadcast((model, v.frequent, v.n, classes))
     end = float(model.base(np.array([model.class_tokens[-1]]))[0])
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, frequent, n = shared.value
+        m, frequent, n, classes = shared.value
         at = {w: k for k, w in enumerate(frequent)}
-        classes = np.array([m.class_of(w) for w in frequent], np.int64)
         base, emitted = m.base(n), m.emission(n, classes) if len(n) else np.zeros(0)
         stop = CLASSES - 1
         last = float(m.emission(np.array([m.class_tokens[stop]]), np.array([stop]))[0])
@@ -224,43 +536,58 @@ def score_brown(docs: DataFrame) -> DataFrame:
                 k = np.full(len(tokens) + 2, stop)
                 seen = place >= 0
                 k[1:-1][seen] = classes[place[seen]]
-                rare: Counter[bytes] = Counter()
+                rare: dict[bytes, int] = {}
                 for i in np.flatnonzero(~seen):
-                    w = tokens[i]
-                    rare[w] += 1
-                    k[i + 1] = m.class_of(w)
+                    k[i + 1] = -1 - rare.setdefault(tokens[i], len(rare))
+                whole = (k[:-1] >= 0) & (k[1:] >= 0)
+                beside = k < 0  # rare words and what stands next to them
+                beside[:-1] |= k[1:] < 0
+                beside[1:] |= k[:-1] < 0
                 known = place[seen]
                 out.append(
                     (
                         len(tokens) + 1,
                         len(known) + int(m.class_tokens[stop] > 0),
                         float(base[known].sum()) + end,
-                        float(m.transition[k[:-1], k[1:]].sum() + emitted[known].sum()) + last,
+                        float(m.transition[k[:-1][whole], k[1:][whole]].sum() + emitted[known].sum()) + last,
                         list(rare),
-                        list(rare.values()),
+                        k[beside],
                     )
                 )
-            frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score", "rare", "times"])
+            frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score", "rare", "beside"])
             yield pd.concat([b[["doc_id", "held_out"]].reset_index(drop=True), frame], axis=1)
 
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, beside array<int>"
     scored = stage(marked.mapInPandas(first, kind).withColumn("row", F.monotonically_increasing_id()), "scored")
-    @F.pandas_udf("struct<base:double,score:double>")
-    def unseen(word: pd.Series, n: pd.Series) -> pd.DataFrame:
+    # classes and counts of a text's rare words, in their order in the text
+    asked = scored.select("row", F.posexplode("rare").alias("i", "word")).join(rare_words, "word", "left")
+
+    @F.pandas_udf("int")
+    def unseen(words: pd.Series) -> pd.Series:
         m = shared.value[0]
-        k = np.array([m.class_of(w) for w in word], np.int64)
-        c = n.to_numpy(float)
-        return pd.DataFrame({"base": m.base(c), "score": m.emission(c, k)})
-
-    asked = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    looked_up = asked.join(counts, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"), unseen("word", F.coalesce("n", F.lit(0))).alias("p"))
-    rest = looked_up.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.col("p.base")).alias("base"),
-        F.sum(F.col("times") * F.col("p.score")).alias("more"),
-    )
+        return pd.Series([m.class_of(w) for w in words], dtype="int32")
+
+    found = asked.where(F.col("k").isNotNull()).select("row", "i", "n", "k")
+    found = found.union(asked.where(F.col("k").isNull()).select("row", "i", F.lit(0).cast("long"), unseen("word")))
+    lists = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "n", "k"))).alias("x"))
+
+    @F.pandas_udf("struct<known:long,base:double,score:double>")
+    def rest(beside: pd.Series, n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        m = shared.value[0]
+        out = []
+        for s, c, own in zip(beside, n, k):
+            at = -1 - s[s < 0]
+            c, own = np.asarray(c)[at], np.asarray(own)
+            full = s.astype(np.int64)
+            full[s < 0] = own[at]
+            open_ = (s[:-1] < 0) | (s[1:] < 0)
+            more = m.transition[full[:-1][open_], full[1:][open_]].sum() + m.emission(c, own[at]).sum()
+            out.append((int((c > 0).sum()), float(m.base(c).sum()), float(more)))
+        return pd.DataFrame(out, columns=["known", "base", "score"])
+
+    more = scored.select("row", "beside").join(lists, "row").select("row", rest("beside", "x.n", "x.k").alias("p")).select("row", F.col("p.known").alias("known"), F.col("p.base").alias("base"), F.col("p.score").alias("more"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.join(rest, "row", "left").select(
+    return scored.join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

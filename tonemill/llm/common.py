@@ -28,21 +28,21 @@ BATCH_ROWS = 1000  # rows of an Arrow batch while whole texts or arrays go throu
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, str(BATCH_ROWS))
+    spark.conf.set(setting, str(rows))
     try:
         yield
     finally:
         spark.conf.set(setting, before)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, rows):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
