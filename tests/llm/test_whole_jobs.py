@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from tests.llm.test_llm import frame
-from tonemill.llm import brown
+from tonemill.llm import brown, html_text
 from tonemill.llm.common import stage
 
 
@@ -42,3 +43,19 @@ def test_words_behind_the_most_frequent_are_exchanged_too(spark):
     first, second = ({of[w] for w in of if w.startswith(k)} for k in (b"a", b"b"))
     assert not first & second
     assert model.tokens == sum(r["n"] for r in counts.collect()) + 400
+
+
+@pytest.mark.parametrize("start", ['<a href="/hidden-gems">', '<p title="A hidden truth">', '<article data-hidden="false">', "<div title='aria-hidden=true'>", "<div data-style=\"display:none\">"])
+def test_only_an_attribute_of_its_own_hides(start):
+    assert not any(v.hidden for v in html_text.parse(start + "text"))
+
+
+@pytest.mark.parametrize("start", ["<p hidden>", '<p class="a" HIDDEN="">', "<p aria-hidden=true>", "<p style='color:red; display: none'>"])
+def test_what_is_hidden_stays_hidden(start):
+    assert html_text.parse(start + "text")[1].hidden
+
+
+def test_unclosed_options_do_not_swallow_the_page():
+    nodes = html_text.parse("<form><datalist id=d><option value=a>One<option value=b>Two</datalist></form><p>Story</p>")
+    keep = html_text.decode(nodes, np.ones(len(nodes)))
+    assert html_text.blocks(nodes, keep) == ["Story"]

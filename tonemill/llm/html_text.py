@@ -33,8 +33,8 @@ TREES, DEPTH = 20, 4
 SLICE = 500
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math select option object".split())
-NEVER = RAW | set("head button input form label fieldset canvas audio video map dialog".split())
+RAW = set("script style textarea title noscript template iframe svg math select object".split())
+NEVER = RAW | set("option head button input form label fieldset canvas audio video map dialog".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split()
 )
@@ -49,7 +49,8 @@ BOILER_WORDS = set(
     newsletter subscribe signup login form search comment comments disqus reply replies respond discussion tags meta pagination pager rail toolbar skip legal""".split()
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# every name with its value, one after another, so that no name is found inside a value
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -117,8 +118,8 @@ def parse(page: str | None) -> list[Node]:
                     words.update(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a[2] or a[3] or a[4] or "").lower()))
                 elif name == "style":
                     hidden |= "display:none" in value.replace(" ", "")
-                else:
-                    hidden |= name == "hidden" or value == "true"
+                elif name == "hidden" or name == "aria-hidden" and value == "true":
+                    hidden = True
         parent = open_[-1]
         if tag in ("br", "hr"):
             say(" ")
