@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_llm import frame
-from tonemill.llm import brown, html_text
+from tonemill.llm import brown, html_text, toxicity
 from tonemill.llm.common import stage
 
 
@@ -59,3 +59,15 @@ def test_unclosed_options_do_not_swallow_the_page():
     nodes = html_text.parse("<form><datalist id=d><option value=a>One<option value=b>Two</datalist></form><p>Story</p>")
     keep = html_text.decode(nodes, np.ones(len(nodes)))
     assert html_text.blocks(nodes, keep) == ["Story"]
+
+
+def test_all_that_the_channel_can_change_is_decoded(spark):
+    words = ["stupid", "idiot", "trash", "scum", "the", "ass", "jackass", "worthless", "hello", "little"]
+    model = toxicity.character_model(frame(spark, [" ".join(words) * 50]))
+    cases = {
+        "stuupid": "stupid", "scumm": "scum", "iddiiott": "idiot", "a$$": "ass", "jacka$$": "jackass", "!diot": "idiot", "tras#": "trash",
+        "hello": "hello", "little": "little", "(hello)": "hello", '"stupid!"': "stupid", "the": "the", "2024": "2024",
+    }
+    assert {raw: toxicity.restore(raw, model) for raw in cases} == cases
+    for text in ("s c u m.", '"s c u m"', "s\nc\nu\nm", "s  c  u  m", "s\u3000c u m!", "the s c u m the"):
+        assert "scum" in toxicity.tokens(text, model, {}), text

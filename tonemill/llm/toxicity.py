@@ -1,8 +1,9 @@
 """Toxicity: restore obfuscated words with a noisy-channel Viterbi decoder, then score the restored text.
 
 The source model is a character trigram model counted over all documents. The channel turns letters into look-alike
-characters, puts separators or blanks between letters and repeats letters. A token that the channel cannot have
-changed has a lattice of one path and is its own restoration; every other token is decoded.
+characters, puts separators or white space between letters and repeats letters. A token that the channel cannot have
+changed has a lattice of one path and is its own restoration; every other token is decoded. Punctuation at either end
+may be look-alikes or outer punctuation: both are paths, and the character model chooses.
 """
 
 from __future__ import annotations
@@ -86,10 +87,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return columns
 
 
-def viterbi(token: str, model: np.ndarray) -> str:
-    """The most likely clear text of a token; kept separators come out as blanks."""
+def best_path(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The most likely clear text of a lattice; kept separators come out as blanks."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for options in [*lattice(token), [(" ", 0.0)]]:
+    for options in [*columns, [(" ", 0.0)]]:
         following: dict[tuple[int, int], tuple[float, tuple]] = {}
         for piece, cost in options:
             codes = _classes(piece)
@@ -109,29 +110,74 @@ def viterbi(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out)).strip()
 
 
-# three or more single characters in a row, blanks between
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+def viterbi(token: str, model: np.ndarray) -> str:
+    """The most likely clear text of a token without outer punctuation."""
+    return best_path(lattice(token), model)
+
+
 EDGE = "".join(map(chr, range(33, 48))).replace("@", "") + ":;<=>?[\\]^_`{|}~«»“”‘’…¡¿"
-CHANGED = re.compile(r"[^\W\d_]*(?:[\d@$!|+(€£*#._~'^`/-]+[^\W\d_]+)+[\d@$!|+(€£*]*|[^\W\d_]+[\d@$€£]+|.*(.)\1\1.*", re.S)
+# Look-alikes that are not usual before and behind a word: leaving them out costs as much as keeping a separator.
+ODD_BEFORE, ODD_BEHIND = "!|+$", "#|+$("
+
+
+def edge_lattice(piece: str, odd: str) -> list[list[tuple[str, float]]]:
+    """For every run of equal characters around a word: nothing, or the letters it may stand for."""
+    columns: list[list[tuple[str, float]]] = []
+    for m in re.finditer(r"(.)\1*", piece, re.S):
+        c, n = m[1], len(m[0])
+        options = [("", KEPT * min(n, 2) if c in odd else 0.0)]
+        for letter in LOOKALIKE.get(c, ""):
+            options.append((letter * min(n, 2), SUBSTITUTED * min(n, 2)))
+            if n > 1:
+                options.append((letter, SUBSTITUTED + COLLAPSED))
+        columns.append(options)
+    return columns
 
 
 def restore(token: str, model: np.ndarray) -> str:
-    """Restoration of one lower-case token: outer punctuation goes, then the lattice is decoded if it has a choice."""
+    """Restoration of one lower-case token: its lattice is decoded if it has more than one path."""
     core = token.strip(EDGE)
-    whole = token if token[:1] in "$|(" and len(token) - len(core) == 1 and core[:1].isalpha() else core
-    if not any(c.isalpha() for c in whole) or not CHANGED.fullmatch(whole):
-        return whole
-    return viterbi(whole, model)
+    if not any(c.isalpha() for c in core):
+        return core
+    start = token.index(core)
+    before, behind = edge_lattice(token[:start], ODD_BEFORE), edge_lattice(token[start + len(core) :], ODD_BEHIND)
+    columns = [*before, *lattice(core), *behind]
+    if all(len(options) == 1 for options in columns):
+        return core
+    return best_path(columns, model)
+
+
+def spaced_piece(token: str) -> str | None:
+    """The character of a token of one (repeated) character and outer punctuation; None for any other token."""
+    core = token.strip(EDGE) or token
+    return core if core == core[0] * len(core) else None
+
+
+def spaced_runs(words: list[str]) -> Iterator[list[str]]:
+    """Three or more such pieces in a row, whatever white space parts them."""
+    run: list[str] = []
+    for w in words:
+        # most words have two different letters in front and need no closer look
+        piece = None if len(w) > 1 and w[0] != w[1] and w[0].isalpha() and w[1].isalpha() else spaced_piece(w)
+        if piece is not None:
+            run.append(piece)
+            continue
+        if len(run) > 2:
+            yield run
+        run = []
+    if len(run) > 2:
+        yield run
 
 
 def tokens(text: str | None, model: np.ndarray, cache: dict[str, tuple[str, ...]]) -> set[str]:
     """Distinct restored words of one whole text."""
     low = (text or "").lower()
     found: set[str] = set()
-    for m in SPACED.finditer(low):
-        if any(c.isalpha() for c in m[0]):
-            found.update(viterbi(m[0], model).split())
-    for raw in set(low.split()):
+    words = low.split()
+    for run in spaced_runs(words):
+        if any(c.isalpha() for piece in run for c in piece):
+            found.update(viterbi(" ".join(run), model).split())
+    for raw in set(words):
         known = cache.get(raw)
         if known is None:
             if len(cache) > CACHE_WORDS:
