@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, brown, html_text, jaccard, quality, shards, toxicity, url_lists, vafile, winnow
+from tonemill.llm import bpe, brown, html_text, infill, jaccard, phrases, quality, shards, suffix_dedup, toxicity, url_lists, vafile, winnow
 from tonemill.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -111,6 +111,26 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filter_captures(captures(pages), list_entries(pages))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = moved.withColumns(
+        {
+            "output_sha256": F.sha2(F.col("output").cast("binary"), 256),
+            "restored_sha256": F.sha2(infill.restore(F.col("output"), F.col("form")).cast("binary"), 256),
+        }
+    )
+    return digests.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,6 +148,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shuffle": op8_shuffle,
     "op9_pairwise": op9_pairwise,
     "op10_url_lists": op10_url_lists,
+    "op11_infill": op11_infill,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_phrases": op13_phrases,
     "pipeline": pipeline,
 }
 
@@ -185,4 +208,49 @@ WITH p AS (
 SELECT page_id, url, day, coalesce(lists, '') AS lists,
   CASE WHEN lists IS NULL THEN 'pass' WHEN list_contains(string_split(lists, ','), 'allow') THEN 'allow' ELSE 'block' END AS verdict
 FROM p LEFT JOIN hit USING (page_id)""",
+    "op11_infill": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u,
+    ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4
+  FROM d
+), c AS (
+  SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, range(1, 6) AS r(k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1),
+longer AS (
+  SELECT DISTINCT lang, array_to_string(w[p:p + m - 1], ' ') AS phrase, a
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS p FROM c, range(2, 5) AS r(m) WHERE m < k)
+), free AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.a >= 100 * c.a)),
+cut AS (
+  SELECT free.lang, free.phrase, free.a, i, l.f AS l, r.f AS r, n.n,
+    ((1000::HUGEINT * free.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM free) free
+    JOIN f l ON l.lang = free.lang AND l.phrase = array_to_string(free.w[:i], ' ')
+    JOIN f r ON r.lang = free.lang AND r.phrase = array_to_string(free.w[i + 1:], ' ')
+    JOIN n ON n.lang = free.lang
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000""",
 }
