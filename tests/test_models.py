@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonemill.functions import vectors as vx
+from tonemill.operators import backprop as bp
 from tonemill.operators import encoding as en
 from tonemill.operators import fitting as ft
 from tonemill.operators import history as hs
 from tonemill.operators import scoring as sc
-from tonemill.plans.train import save_fit, train_head
 from tonemill.sources import sinks as sk
 
 TEXTS = {1: "a b a c", 2: "", 3: "b z a", 4: "a " * 50, 5: "q q q"}
@@ -25,10 +25,12 @@ def test_vocab_order_and_ids(spark, docs):
     assert [(r["token"], r["n"], r["id"]) for r in rows] == [("a", 53, 4), ("q", 3, 5), ("b", 2, 6)]
 
 
-@pytest.mark.parametrize("carried", [True, False])
-def test_encode_awkward_rows(spark, docs, carried, monkeypatch):
-    if not carried:
-        monkeypatch.setattr(en, "MAX_CARRIED_VOCAB", 1)
+@pytest.fixture
+def small_chunks(monkeypatch):
+    monkeypatch.setattr(en, "CHUNK_ROWS", 2)
+
+
+def test_encode_awkward_rows(spark, docs, small_chunks):
     vocab = en.build_vocab(docs, 3)
     rows = spark.createDataFrame([(1, "a b"), (1, "q"), (None, "a"), (2, None), (3, ""), (3, "a b")], "row_id long, text string")
     got = sorted((str(r["row_id"]), str(r["text"]), str(r["input_ids"])) for r in en.encode_text(rows, vocab, 4).collect())
@@ -38,13 +40,11 @@ def test_encode_awkward_rows(spark, docs, carried, monkeypatch):
             ("2", "None", "None"), ("3", "", "[2, 3, 0, 0]"), ("3", "a b", "[2, 4, 6, 3]"),
         ]
     )
+    assert en.encode_text(rows.limit(0), vocab, 4).count() == 0
 
 
 @pytest.mark.parametrize("length", [2, 3, 8])
-@pytest.mark.parametrize("carried", [True, False])
-def test_encode(spark, docs, length, carried, monkeypatch):
-    if not carried:
-        monkeypatch.setattr(en, "MAX_CARRIED_VOCAB", 1)
+def test_encode(spark, docs, length, small_chunks):
     vocab = en.build_vocab(docs, 3)
     known = {"a": 4, "q": 5, "b": 6}
     rows = en.encode_text(docs, vocab, length).collect()
@@ -57,6 +57,18 @@ def test_encode(spark, docs, length, carried, monkeypatch):
         assert r["token_type_ids"] == [0] * length
 
 
+def test_encode_with_a_million_tokens(spark):
+    vocab = spark.range(1_000_000).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") + 4).cast("int").alias("id"))
+    # wide rows of other types go through; a third of all tokens is one token
+    text = F.concat_ws(" ", F.lit("w7"), F.concat(F.lit("w"), (F.col("id") * 997) % 1_100_000), F.lit("w7"))
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("row_id"), "id", text.alias("text"), F.array(F.lit(1.5)).alias("x"), F.struct("id").alias("s"))
+    got = en.encode_text(rows, vocab, 6).collect()
+    assert len(got) == 3000
+    for r in got:
+        n = r["id"] * 997 % 1_100_000
+        assert r["input_ids"] == [2, 11, n + 4 if n < 1_000_000 else 1, 11, 3, 0] and r["x"] == [1.5] and r["s"]["id"] == r["id"]
+
+
 def test_encode_with_an_empty_vocab(spark, docs):
     none = spark.createDataFrame([], "token string, n long, id int")
     ids = {r["row_id"]: r["input_ids"] for r in en.encode_text(docs, none, 5).collect()}
@@ -70,6 +82,25 @@ def test_pooling(spark):
     assert {r["row_id"]: r["vec"] for r in en.first_pool(df).collect()} == {1: [1.0, -5.0], 2: [3.0, 3.0]}
 
 
+def test_pooling_of_one_very_long_row(spark):
+    vec = F.array(F.col("id").cast("float"), (-F.col("id")).cast("float"), F.when(F.col("id") == 77, F.lit(float("nan"))).otherwise(0.0).cast("float"))
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(5)).when(F.col("id") % 2 == 0, F.col("id")).alias("row_id"),
+        F.when(F.col("id") % 10 == 0, 0).otherwise(1).alias("mask"), vec.alias("vec"),
+    ).repartition(5)
+    want = {}
+    for i in range(60_000):
+        row = 5 if i % 3 else i if i % 2 == 0 else None
+        shown = i % 10 != 0
+        have = want.setdefault(row, [-1e9, -1e9, -1e9])
+        if shown:
+            want[row] = [max(have[0], i), max(have[1], -i), math.nan if i == 77 or math.isnan(have[2]) else max(have[2], 0.0)]
+    got = {r["row_id"]: r["vec"] for r in en.max_pool(df, 3).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.array_equal(got[k], want[k], equal_nan=True) for k in got)
+    assert en.max_pool(df.limit(0), 3).count() == 0
+
+
 def test_softmax_argmax_loss(spark):
     logits = [[1.0, 2.0, 3.0], [1000.0, 1000.0, -1000.0], [0.5, 0.5, 0.5]]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(logits)], "row_id long, logits array<double>")
@@ -171,50 +202,44 @@ def test_fit_head_separates(spark, vectors):
     assert right > 0.9 * 240
 
 
-def test_gradient_equals_numpy(vectors):
-    rng = np.random.default_rng(7)
-    params = rng.normal(size=(3, 5))
-    grad, loss, n = ft._gradient(vectors, params, 4)
-    rows = vectors.collect()
-    x = np.array([[*r["vec"], 1.0] for r in rows])
-    y = np.array([r["label"] for r in rows])
-    z = x @ params.T
+def test_fit_head_reaches_the_optimum(spark):
+    # overlapping classes: the optimum is finite and its gradient zero
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(300, 4)).astype("float32"), rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "row_id long, vec array<float>, label int")
+    model = ft.fit_head(df, max_iter=300)
+    flat = bp.flat_layers([(model.coefficientMatrix.toArray(), model.interceptVector.toArray())])
+    loss, grad = bp.loss_and_gradient(flat, [4, 3], x.astype(float), y)
+    assert np.abs(grad).max() / 300 < 1e-4
+    for _ in range(5):
+        assert bp.loss_and_gradient(flat + 0.05 * rng.normal(size=len(flat)), [4, 3], x.astype(float), y)[0] > loss
+
+
+def test_text_model_weights_rare_words_more_and_reaches_the_optimum(spark):
+    rng = np.random.default_rng(4)
+    words = ["a", "b", "c", "d", "e"]
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 9), p=[0.5, 0.2, 0.15, 0.1, 0.05])) for _ in range(200)]
+    y = rng.integers(0, 2, 200)
+    docs = spark.createDataFrame([(i, t, int(c)) for i, (t, c) in enumerate(zip(texts, y))], "row_id long, text string, label int")
+    model = ft.fit_text(docs, features=1 << 12, max_iter=200, reg=0.05)
+    hashed = model.stages[1]
+    slot = {w: int(hashed.indexOf(w)) for w in words}
+    assert len(set(slot.values())) == 5
+    counts = np.array([[t.split().count(w) for w in words] for t in texts], float)
+    idf = np.log(201 / ((counts > 0).sum(axis=0) + 1))
+    x = counts * idf
+    weights = model.stages[3].coefficientMatrix.toArray()[:, [slot[w] for w in words]]
+    bias = model.stages[3].interceptVector.toArray()
+    z = x @ weights.T + bias
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    assert n == 240
-    assert loss == pytest.approx(-np.log(p[np.arange(240), y]).sum())
-    p[np.arange(240), y] -= 1
-    assert grad == pytest.approx(p.T @ x)
-
-
-@pytest.mark.parametrize("size", [7, 240, 1000])
-def test_validation_loss_is_the_mean_of_batch_means(spark, vectors, size):
-    params = np.random.default_rng(9).normal(size=(3, 5))
-    got = ft.validate(ft.validation_table(vectors, size), params, 4)
-    rows = vectors.orderBy("row_id").collect()
-    z = np.array([[*r["vec"], 1.0] for r in rows]) @ params.T
-    y = np.array([r["label"] for r in rows])
-    losses = np.log(np.exp(z).sum(1)) - z[np.arange(240), y]
-    assert got["val_loss"] == pytest.approx(np.mean([losses[i : i + size].mean() for i in range(0, 240, size)]))
-    assert got["accuracy"] == pytest.approx((z.argmax(1) == y).mean())
-
-
-def test_training_learns_and_is_saved(spark, vectors, tmp_path):
-    settings = ft.EpochSettings(epochs=4, steps_per_epoch=3, learning_rate=0.3, accumulate=2, batch_size=16)
-    result = train_head(vectors, 3, 4, settings)
-    losses = [h[2] for h in result.history]
-    assert len(losses) == 4 and losses[-1] < losses[0]
-    assert max(h[6] for h in result.history) > 0.8
-    save_fit(result, vectors, str(tmp_path))
-    w, b = ft.weights_from_table(sk.load_weights(spark, str(tmp_path / "best")))
-    assert np.array_equal(w, result.best[0]) and np.array_equal(b, result.best[1])
-    assert spark.read.parquet(str(tmp_path / "history")).count() == 4
-
-
-@pytest.mark.parametrize("metric", ["accuracy", "loss"])
-def test_training_stops_early(vectors, metric):
-    settings = ft.EpochSettings(epochs=6, learning_rate=0.0, patience=2, stop_metric=metric)
-    assert len(train_head(vectors, 3, 4, settings).history) == 3
+    p[np.arange(200), y] -= 1
+    # the penalty is on weights of standardised features
+    gradient = p.T @ x / 200 + 0.05 * weights * x.std(axis=0, ddof=1) ** 2
+    assert np.abs(gradient).max() < 1e-3 and np.abs(p.mean(axis=0)).max() < 1e-3
+    got = {r["row_id"]: r["prediction"] for r in sc.predict_texts(docs, model).collect()}
+    assert got == {i: int(z[i].argmax()) for i in range(200)}
+    assert sc.predict_one(spark, texts[7], model) == ["Negative", "Neutral"][int(z[7].argmax())]
 
 
 def test_text_model_roundtrip(spark, tmp_path):

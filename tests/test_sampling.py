@@ -42,13 +42,6 @@ def deep_search(monkeypatch):
     monkeypatch.setattr(rk, "DIGITS_PER_LEVEL", 1)
 
 
-@pytest.fixture
-def unpinned(monkeypatch):
-    """Treat every per-group table as too long to pin."""
-    real = rk.settle
-    monkeypatch.setattr(rk, "settle", lambda df, limit=0: real(df, 0))
-
-
 def sample_cases(spark):
     df, labels = table(spark, SIZES)
     for fraction in (0.0, 0.1, 0.5, 1.0):
@@ -64,8 +57,43 @@ def test_stratified_sample_refined(spark, deep_search):
     sample_cases(spark)
 
 
-def test_stratified_sample_with_long_group_tables(spark, unpinned):
-    sample_cases(spark)
+def test_steps_are_the_same_for_few_and_many_groups(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(rk, "scratch_dir", lambda _: str(tmp_path))
+    steps = []
+    for groups in (3, 5000):
+        df = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % groups).cast("int").alias("label"))
+        assert sm.stratified_sample(df, 0.5).count() == sum(round(0.5 * len(range(c, 20_000, groups))) for c in range(groups))
+        newest = max(tmp_path.iterdir(), key=lambda p: p.stat().st_mtime)
+        steps.append(sorted(p.name for p in newest.iterdir()))
+    assert steps[0] == steps[1] == ["cut", "goals", "histogram", "limits"]
+
+
+def test_refined_cut_with_many_groups(spark, deep_search):
+    labels = [i % 7 if i % 3 else 0 for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(labels)), "row_id long, label int")
+    assert ids(sm.stratified_sample(df, 0.3)) == first_of(labels, lambda c, n: round(0.3 * n))
+
+
+def test_balance_to_class(spark):
+    df, labels = table(spark, SIZES)
+    assert ids(sm.balance_to_class(df, 2)) == first_of(labels, lambda c, n: min(n, 301))
+    assert sm.balance_to_class(df, 9).count() == 0
+    nulls, _ = table(spark, {0: 10, None: 50, 1: 20})
+    assert Counter(r["label"] for r in sm.balance_to_class(nulls, 1).collect()) == {0: 10, 1: 20, None: 20}
+
+
+def test_split_refuses_a_class_of_one_row(spark):
+    df, _ = table(spark, {0: 5, 1: 1})
+    with pytest.raises(ValueError, match="single row"):
+        sm.train_test_split(df)
+    assert sm.train_test_split(df, group=None).count() == 6
+
+
+def test_sample_rows_with_repeated_ids(spark):
+    df = spark.createDataFrame([(i % 10, i) for i in range(40)], "row_id long, x int").repartition(6)
+    got = [r["row_id"] for r in sm.sample_rows(df, 10).collect()]
+    assert sorted(got) == sorted(sorted([i % 10 for i in range(40)], key=lambda i: (key(i, 42), i))[:10])
+    assert sm.sample_rows(df, 0).count() == 0 and sm.sample_rows(df, 99).count() == 40
 
 
 def test_sample_drops_null_labels_and_ignores_partitioning(spark):
@@ -103,7 +131,7 @@ def split_quota(sizes, fraction):
 @pytest.mark.parametrize("sizes", [SIZES, {0: 3, 1: 3, 2: 4}, {0: 2, 1: 2, 2: 1}])
 def test_train_test_split(spark, sizes):
     df, labels = table(spark, sizes)
-    rows = sm.train_test_split(df).collect()
+    rows = sm.train_test_split(df, allow_single=True).collect()
     assert sorted(r["row_id"] for r in rows) == list(range(len(labels)))
     quota = split_quota(sizes, 0.2)
     assert {r["row_id"] for r in rows if r["split"] == "test"} == first_of(labels, lambda c, n: quota[c])

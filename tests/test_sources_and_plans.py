@@ -105,13 +105,42 @@ def scored(spark, n=300):
     return spark.createDataFrame(rows, "row_id long, y int, pred int, probs array<double>")
 
 
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Cluster)
+
+
+def test_csv_of_single_lines_is_cut_into_tasks(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), F.lit(1).alias("label"), F.repeat(F.lit("word "), 40).alias("text"))
+    sk.write_csv(rows.coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500000")
+    try:
+        whole = rd.read_split(spark, path, rd.MODEL_SCHEMA, "csv")
+        cut = rd.read_split(spark, path, rd.MODEL_SCHEMA, "csv", multi_line=False)
+        assert whole.rdd.getNumPartitions() == 1 < cut.rdd.getNumPartitions()
+        assert cut.exceptAll(whole).count() == 0 and cut.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_evaluation_run(spark, tmp_path):
     df = scored(spark)
     texts = df.select("row_id", F.concat(F.lit("text "), "row_id").alias("text"))
     out = write_evaluation(df, texts, str(tmp_path))
     assert out["confusion_matrix"].agg(F.sum("n")).first()[0] == 300
     assert {r["cls"] for r in out["roc_auc"].collect()} == {"0", "1", "2", "micro"}
-    assert out["misclassified"].count() == 5 and out["spot_check"].count() == 10
+    wrong = {r["row_id"]: r for r in df.where("y <> pred").collect()}
+    examples = out["misclassified"].collect()
+    assert len(examples) == 5
+    for r in examples:
+        names = ["Negative", "Neutral", "Positive"]
+        assert (r["text"], r["true_name"], r["pred_name"]) == (f"text {r['row_id']}", names[wrong[r["row_id"]]["y"]], names[wrong[r["row_id"]]["pred"]])
+    assert out["spot_check"].count() == 10
     doc = json.loads(spark.read.text(str(tmp_path / "evaluation_results")).first()["value"])
     assert doc["accuracy"] == pytest.approx(mt.accuracy(df).first()["accuracy"])
 

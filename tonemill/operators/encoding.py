@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonemill import fixed_values as fixed
 from tonemill.functions import text as tx
-from tonemill.session import settle
-
-# Vocabulary entries per slot of the look-up table, on average.
-ENTRIES_PER_SLOT = 2
-# Entries a vocabulary may have to travel with the plan (a few MB).
-MAX_CARRIED_VOCAB = 100_000
+from tonemill.session import scratch_dir
 
 
 def build_vocab(df: DataFrame, size: int, column: str = "text") -> DataFrame:
@@ -37,68 +38,64 @@ def encode_text(df: DataFrame, vocab: DataFrame, max_length: int, column: str =
     """Add ``input_ids``, ``attention_mask`` and ``token_type_ids``, each ``max_length`` long.
 
     Tokens beyond ``max_length - 2`` are cut, then the start and end markers are added and the rest is
-    padding. Unknown tokens share one id.
+    padding. Unknown tokens share one id, and a null text gives null arrays. Ids of rows are not read, so they may be
+    missing or repeated.
 
-    A vocabulary of checked size travels with the plan as a hash table of small buckets, and encoding is a
-    projection: no shuffle, no Python. A larger one is joined token by token.
+    Texts are dictionary-coded first: a chunk of rows numbers its distinct tokens once and holds its texts as those
+    numbers. Only the dictionaries meet the vocabulary, one row for each token of a chunk, however often it occurs;
+    frequent tokens skew that join no more than there are chunks. The vocabulary may have any size.
     """
     if max_length < 2:
         raise ValueError("max_length must leave room for the two markers")
-    pairs, carried = settle(vocab.select("token", F.col("id").cast("int").alias("id")), MAX_CARRIED_VOCAB)
+    spark = df.sparkSession
     kept = F.slice(tx.tokens(F.col(column)), 1, max(max_length - 2, 1)) if max_length > 2 else F.array().cast("array<string>")
-    if carried is not None:
-        coded = df.withColumn("__ids", _lookup(kept, pairs, carried.num_rows))
-    else:
-        coded = _join_lookup(df, kept, pairs)
-    return _pad(coded, max_length)
-
-
-def _lookup(words: Column, pairs: DataFrame, size: int) -> Column:
-    """Token ids from a hash table that is one constant of the plan.
-
-    Slots of a few entries keep a look-up short; a map column would be searched entry by entry.
-    """
-    slots = max(1, size // ENTRIES_PER_SLOT)
-    entry = "array<struct<token:string,id:int>>"
-
-    def slot(token: Column) -> Column:
-        return F.pmod(F.hash(token), F.lit(slots))
-
-    filled = pairs.groupBy(slot(F.col("token")).alias("slot")).agg(F.collect_list(F.struct("token", "id")).alias("entries"))
-    every = pairs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    rows = every.join(filled, "slot", "left").select("slot", F.coalesce("entries", F.array().cast(entry)).alias("entries"))
-    # As text the table is a single literal, which the optimizer parses once.
-    text = rows.agg(
-        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("slot", "entries"))), lambda s: s["entries"])).alias("t")
-    ).first()["t"]
-    table = F.from_json(F.lit(text), f"array<{entry}>")
-
-    def id_of(token: Column) -> Column:
-        found = F.filter(F.get(table, slot(token)), lambda e: e["token"] == token)
-        return F.coalesce(F.get(found, F.lit(0))["id"], F.lit(fixed.UNK_ID))
+    # Tokens are words, so a blank keeps them apart; a null text must stay null.
+    words = F.when(F.col(column).isNotNull(), F.array_join(kept, " "))
+    path = f"{scratch_dir(spark)}/coded-{uuid.uuid4().hex}"
+    ready = df.select("*", F.monotonically_increasing_id().alias("__chunk"), words.alias("__words"))
+    coded_schema = T.StructType([*df.schema.fields, *_CODED.fields])
+    ready.mapInArrow(_number_tokens(coded_schema.names), coded_schema).write.parquet(path)
+    coded = spark.read.schema(coded_schema).parquet(path)
+
+    tokens = coded.where(F.col("__tokens").isNotNull()).select("__chunk", F.posexplode("__tokens").alias("__no", "token"))
+    known = vocab.select("token", F.col("id").cast("int").alias("__id"))
+    found = tokens.join(known, "token", "left").select("__chunk", F.struct("__no", F.coalesce("__id", F.lit(fixed.UNK_ID)).alias("id")).alias("__pair"))
+    ids = found.groupBy("__chunk").agg(F.transform(F.array_sort(F.collect_list("__pair")), lambda p: p["id"]).alias("__id_of"))
+    joined = coded.join(ids.withColumnRenamed("__chunk", "__of"), F.col("__chunk") == F.col("__of"), "left")
+    translated = joined.withColumn("__ids", F.transform("__codes", lambda c: F.get("__id_of", c)))
+    return _pad(translated.drop("__of", "__id_of", "__chunk", "__tokens", "__codes"), max_length)
+
+
+# Rows whose tokens share a dictionary.
+CHUNK_ROWS = 2000
+_CODED = T.StructType(
+    [
+        T.StructField("__chunk", T.LongType()),
+        T.StructField("__codes", T.ArrayType(T.IntegerType())),
+        T.StructField("__tokens", T.ArrayType(T.StringType())),
+    ]
+)
 
-    return F.transform(words, id_of)
 
+def _number_tokens(names: list[str]):
+    """Rows with their tokens as numbers of the chunk's dictionary, which comes with the chunk's first row."""
 
-def _join_lookup(df: DataFrame, words: Column, pairs: DataFrame) -> DataFrame:
-    """Token ids by joining the exploded tokens of each distinct token sequence.
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                numbers: dict[str, int] = {}
+                codes = [
+                    None if text is None else [numbers.setdefault(t, len(numbers)) for t in text.split(" ") if t]
+                    for text in part.column("__words").to_pylist()
+                ]
+                chunk = [part.column("__chunk")[0].as_py()] * part.num_rows
+                tokens = [list(numbers), *[None] * (part.num_rows - 1)]
+                columns = [part.column(n) for n in names[:-3]]
+                columns += [pa.array(chunk, pa.int64()), pa.array(codes, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    The sequence itself is the key, so ids may be missing or repeated, no row is lost and null texts stay null. Frequent
-    tokens skew the join key; the adaptive skew join splits them.
-    """
-    wide = df.withColumn("__words", words)
-    exploded = wide.select("__words").where(F.col("__words").isNotNull()).distinct().select("__words", F.posexplode_outer("__words").alias("pos", "token"))
-    coded = (
-        exploded.join(pairs, "token", "left")
-        .groupBy("__words")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(fixed.UNK_ID)).alias("id"))))
-            ).alias("__pairs")
-        )
-        .select("__words", F.transform("__pairs", lambda p: p["id"]).alias("__ids"))
-    )
-    return wide.join(coded, "__words", "left").drop("__words")
+    return code
 
 
 def _pad(coded: DataFrame, max_length: int) -> DataFrame:
@@ -118,16 +115,54 @@ def _pad(coded: DataFrame, max_length: int) -> DataFrame:
 
 
 def max_pool(tokens: DataFrame, dims: int) -> DataFrame:
-    """Largest value per dimension over the unmasked tokens of a row.
+    """Largest value per dimension over the unmasked tokens of a row; a row without any gets the masked value.
 
-    One maximum per dimension: tokens are combined map-side and each row shuffles one vector, where
-    exploding the dimensions would shuffle ``dims`` rows per token.
+    Vectors are maximised as vectors, whatever their width: within each batch first, so that a row leaves a task as one
+    vector or few, and then over the rows of a partition as they come in order. A row of very many tokens is never
+    gathered. A NaN is the largest value.
     """
-    masked = F.lit(fixed.MASKED_VALUE).cast("float")
-    tops = [
-        F.max(F.when(F.col("mask") == 1, F.get("vec", F.lit(i))).otherwise(masked)).alias(f"d{i}") for i in range(dims)
-    ]
-    return tokens.groupBy("row_id").agg(*tops).select("row_id", F.array(*[f"d{i}" for i in range(dims)]).alias("vec"))
+    ready = tokens.select("row_id", (F.coalesce("mask", F.lit(0)) == 1).alias("here"), F.col("vec").cast("array<float>").alias("vec"))
+    schema = T.StructType([tokens.schema["row_id"], T.StructField("vec", T.ArrayType(T.FloatType()))])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("row_id").dictionary_encode(null_encoding="encode")
+                order = np.argsort(ids.indices.to_numpy(zero_copy_only=False), kind="stable")
+                values = np.full((batch.num_rows, dims), fixed.MASKED_VALUE, np.float32)
+                here = batch.column("here").to_numpy(zero_copy_only=False)
+                shown = batch.column("vec").filter(batch.column("here"))
+                values[here] = shown.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                starts = np.searchsorted(ids.indices.to_numpy(zero_copy_only=False)[order], np.arange(len(ids.dictionary)))
+                yield _vector_rows(ids.dictionary, np.maximum.reduceat(values[order], starts))
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_id, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("row_id").to_pylist()
+            values = batch.column("vec").flatten().to_numpy().reshape(-1, dims)
+            starts = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]]
+            tops = np.maximum.reduceat(values, starts)
+            keys = [ids[i] for i in starts]
+            if last is not None and keys[0] == last_id:
+                tops[0] = np.maximum(tops[0], last)
+            elif last is not None:
+                yield _vector_rows(pa.array([last_id], batch.schema.field("row_id").type), last[None, :])
+            last_id, last = keys[-1], tops[-1].copy()
+            yield _vector_rows(pa.array(keys[:-1], batch.schema.field("row_id").type), tops[:-1])
+            id_type = batch.schema.field("row_id").type
+        if last is not None:
+            yield _vector_rows(pa.array([last_id], id_type), last[None, :])
+
+    return ready.mapInArrow(partial, schema).repartition("row_id").sortWithinPartitions("row_id").mapInArrow(final, schema)
+
+
+def _vector_rows(ids: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+    flat = pa.array(np.ascontiguousarray(values, np.float32).ravel())
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), flat)
+    return pa.RecordBatch.from_arrays([ids, vectors], ["row_id", "vec"])
 
 
 def first_pool(tokens: DataFrame) -> DataFrame:

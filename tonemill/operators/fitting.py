@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill import fixed_values as fixed
-from tonemill.functions import vectors as vx
-from tonemill.operators.history import early_stop
-from tonemill.operators.metrics import weighted_prf
-from tonemill.operators.scoring import layered_scorer, score_batches
+from tonemill.operators.backprop import Layer
 
-HISTORY_SCHEMA = "epoch int, train_loss double, val_loss double, accuracy double, precision double, recall double, f1 double"
 # Number of the bias among the weights of a class.
 BIAS_INDEX = -1
 
@@ -49,6 +42,12 @@ def weights_from_table(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return wide.drop(columns=BIAS_INDEX).sort_index(axis=1).to_numpy(), wide[BIAS_INDEX].to_numpy()
 
 
+def layer_weights(spark: SparkSession, layers: Sequence[Layer]) -> DataFrame:
+    """Weights of all layers as ``(layer, cls, idx, w)``; a bias has index -1."""
+    parts = [head_weights(spark, w, b).withColumn("layer", F.lit(i)) for i, (w, b) in enumerate(layers)]
+    return reduce(DataFrame.unionByName, parts).select("layer", "cls", "idx", "w")
+
+
 def fit_text(docs: DataFrame, features: int = 1 << 18, max_iter: int = 20, reg: float = 0.01) -> PipelineModel:
     """Fit text to class on ``(text, label)``: tokens, hashed counts, inverse document frequency, linear head.
 
@@ -65,184 +64,3 @@ def fit_text(docs: DataFrame, features: int = 1 << 18, max_iter: int = 20, reg:
     finally:
         counts.unpersist()
     return PipelineModel(stages=[words, hashed, weighting, head])
-
-
-@dataclass(frozen=True)
-class EpochSettings:
-    """Settings of the synchronous training loop."""
-
-    epochs: int = 5
-    steps_per_epoch: int = 1
-    learning_rate: float = 0.05
-    weight_decay: float = 0.01
-    warmup_ratio: float = 0.1
-    clip_norm: float = 1.0
-    accumulate: int = 1
-    seed: int = fixed.DEFAULT_SEED
-    batch_size: int = 512
-    patience: int = fixed.DEFAULT_PATIENCE
-    delta: float = fixed.DEFAULT_DELTA
-    # One of loss, accuracy, precision, recall, f1.
-    stop_metric: str = "accuracy"
-
-
-@dataclass
-class FitResult:
-    history: list[tuple] = field(default_factory=list)
-    best: tuple[np.ndarray, np.ndarray] | None = None
-    last: tuple[np.ndarray, np.ndarray] | None = None
-
-    def history_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.history, HISTORY_SCHEMA)
-
-
-def _gradient(vectors: DataFrame, params: np.ndarray, dims: int) -> tuple[np.ndarray, float, int]:
-    """Summed cross-entropy gradient, summed loss and row count of a slice.
-
-    Each task turns its Arrow batches into one vector; the vectors are added by an aggregate with partial sums.
-    """
-    spark = vectors.sparkSession
-    shipped = spark.sparkContext.broadcast(params)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shipped.value
-        grad, loss, rows = np.zeros_like(w), 0.0, 0
-        for batch in batches:
-            y = batch.column("label").to_numpy()
-            if not len(y):
-                continue
-            x = batch.column("vec").flatten().to_numpy().astype(float).reshape(len(y), dims)
-            x = np.hstack([x, np.ones((len(y), 1))])
-            z = x @ w.T
-            z -= z.max(axis=1, keepdims=True)
-            log_sum = np.log(np.exp(z).sum(axis=1))
-            here = np.arange(len(y))
-            loss += float((log_sum - z[here, y]).sum())
-            p = np.exp(z - log_sum[:, None])
-            p[here, y] -= 1.0
-            grad += p.T @ x
-            rows += len(y)
-        if rows:
-            flat = [*grad.ravel().tolist(), loss, float(rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], ["parts"])
-
-    parts = vectors.select("vec", "label").mapInArrow(partial, "parts array<double>")
-    total = parts.agg(Summarizer.sum(array_to_vector("parts")).alias("s"), F.count("*").alias("tasks")).select(
-        "tasks", vector_to_array("s").alias("s")
-    ).first()
-    shipped.unpersist()
-    if not total["tasks"]:
-        return np.zeros_like(params), 0.0, 0
-    *grad, loss, rows = total["s"]
-    return np.array(grad).reshape(params.shape), loss, int(round(rows))
-
-
-class _AdamW:
-    """Weight update on the driver: classes x (dims + 1) numbers, no decay on the bias column."""
-
-    def __init__(self, shape: tuple[int, int], settings: EpochSettings, total_steps: int):
-        self.m, self.v, self.t = np.zeros(shape), np.zeros(shape), 0
-        self.s, self.total = settings, max(total_steps, 1)
-        self.warmup = int(self.total * settings.warmup_ratio)
-        self.decay = np.full(shape, settings.weight_decay)
-        self.decay[:, -1] = 0.0
-
-    def rate(self) -> float:
-        """Linear warm-up from zero, then linear decay to zero."""
-        if self.t < self.warmup:
-            return self.s.learning_rate * self.t / max(1, self.warmup)
-        return self.s.learning_rate * max(0.0, (self.total - self.t) / max(1, self.total - self.warmup))
-
-    def update(self, params: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        norm = float(np.linalg.norm(grad))
-        if norm > self.s.clip_norm:
-            grad = grad * (self.s.clip_norm / norm)
-        rate = self.rate()
-        self.t += 1
-        self.m = 0.9 * self.m + 0.1 * grad
-        self.v = 0.999 * self.v + 0.001 * grad**2
-        step = (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
-        return params * (1 - rate * self.decay) - rate * step
-
-
-def validation_table(val: DataFrame, batch_size: int) -> DataFrame:
-    """Validation rows with the weight each has in the mean of batch means.
-
-    Batches follow ``row_id``, so only the short last one weighs differently. Its first id is the smallest of
-    a top-n of at most ``batch_size`` ids; the vectors are not moved.
-    """
-    rows = val.select("row_id", "vec", F.col("label").alias("y"))
-    total = rows.count()
-    short = total % batch_size
-    batches = max(1, -(-total // batch_size))
-    weight = F.lit(1.0 / (batches * batch_size))
-    if short:
-        first = rows.select("row_id").orderBy(F.desc("row_id")).limit(short).agg(F.min("row_id")).first()[0]
-        weight = F.when(F.col("row_id") >= first, 1.0 / (batches * short)).otherwise(weight)
-    return rows.select("vec", "y", weight.alias("weight"))
-
-
-def validate(val: DataFrame, params: np.ndarray, dims: int) -> dict[str, float]:
-    """Loss, accuracy and weighted scores of a head in one pass over the rows; the driver gets single rows."""
-    spark = val.sparkSession
-    scored = score_batches(val, layered_scorer(spark, [(params[:, :-1], params[:, -1])]), dims)
-    cells = (
-        scored.withColumn("pred", vx.argmax(F.col("logits")))
-        .withColumn("loss", vx.cross_entropy(F.col("logits"), F.col("y")) * F.col("weight"))
-        .groupBy("y", "pred")
-        .agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    hits = F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0))
-    try:
-        total = cells.agg(F.sum("loss").alias("val_loss"), (hits / F.sum("n")).alias("accuracy")).first().asDict()
-        scores = weighted_prf(cells).first().asDict()
-    finally:
-        cells.unpersist()
-    return {**total, **scores}
-
-
-def fit_epochs(train: DataFrame, val: DataFrame, classes: int, dims: int, settings: EpochSettings = EpochSettings()) -> FitResult:
-    """Synchronous data-parallel training of a linear head with validation, early stop and best weights.
-
-    Per step one job: the executors sum gradients over their cached partitions and the driver updates the
-    weights. Steps slice the rows by a hash of id and epoch. Lost executors only recompute partitions.
-    """
-    spark = train.sparkSession
-    rows = train.select("row_id", "vec", F.col("label").cast("int").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    held_out = validation_table(val.withColumn("label", F.col("label").cast("int")), settings.batch_size).persist(StorageLevel.MEMORY_AND_DISK)
-    steps = settings.steps_per_epoch
-    optimizer = _AdamW((classes, dims + 1), settings, settings.epochs * steps // settings.accumulate)
-    params = np.zeros((classes, dims + 1))
-    result = FitResult()
-    best_f1 = 0.0
-    try:
-        for epoch in range(1, settings.epochs + 1):
-            losses, pending, waiting = [], np.zeros_like(params), 0
-            for step in range(steps):
-                part = rows
-                if steps > 1:
-                    slot = F.pmod(F.xxhash64("row_id", F.lit(epoch), F.lit(settings.seed)), F.lit(steps))
-                    part = rows.where(slot == step)
-                grad, loss, n = _gradient(part, params, dims)
-                if n:
-                    losses.append(loss / n)
-                    pending += grad / n / settings.accumulate
-                    waiting += 1
-                if waiting and (waiting == settings.accumulate or step == steps - 1):
-                    params = optimizer.update(params, pending)
-                    pending, waiting = np.zeros_like(params), 0
-            metrics = validate(held_out, params, dims)
-            train_loss = float(np.mean(losses)) if losses else None
-            result.history.append((epoch, train_loss, metrics["val_loss"], metrics["accuracy"], metrics["precision"], metrics["recall"], metrics["f1"]))
-            if metrics["f1"] > best_f1:
-                best_f1, result.best = metrics["f1"], (params[:, :-1].copy(), params[:, -1].copy())
-            metric, mode = ("val_loss", "min") if settings.stop_metric == "loss" else (settings.stop_metric, "max")
-            verdict = early_stop(result.history_table(spark), metric, settings.patience, settings.delta, mode).first()
-            if verdict["stop_epoch"] is not None:
-                break
-        result.last = (params[:, :-1], params[:, -1])
-    finally:
-        rows.unpersist()
-        held_out.unpersist()
-    return result

@@ -209,3 +209,18 @@ def misclassified_sample(scored: DataFrame, n: int = 5, by: str = "random", seed
     if by == "confidence":
         return wrong.orderBy(F.desc(vx.confidence(F.col("probs"), F.col("pred"))), "row_id").limit(n)
     raise ValueError("by is 'random' or 'confidence'")
+
+
+def error_examples(
+    scored: DataFrame,
+    texts: DataFrame,
+    n: int = 5,
+    by: str = "random",
+    seed: int = fixed.DEFAULT_SEED,
+    names: Sequence[str] = fixed.CLASS_NAMES,
+) -> DataFrame:
+    """``misclassified_sample`` with the text and the names of both classes; rows without a text are left out."""
+    wrong = misclassified_sample(scored, n, by, seed)
+    return wrong.join(texts.select("row_id", "text"), "row_id").select(
+        "row_id", "text", lb.class_name(F.col("y"), names).alias("true_name"), lb.class_name(F.col("pred"), names).alias("pred_name")
+    )

@@ -11,19 +11,19 @@ cut the order into buckets first and look inside a bucket only as far as needed:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonemill.session import bucket_count, settle
+from tonemill.session import bucket_count, scratch_dir
 
 # Hex digits of the order key added per refinement: 16**3 buckets per group.
 DIGITS_PER_LEVEL = 3
 # Rows of one group's cut bucket that may be ranked in one task.
-MAX_CUT_ROWS = 500_000
+MAX_CUT_ROWS = 100_000
 # Groups of partitions whose quantile sketches are merged apart.
 SKETCH_GROUPS = 256
 # Sort before and after every md5 string.
@@ -48,24 +48,27 @@ def mark_smallest_per_group(
 
     ``quotas`` maps the table ``(grp, size)`` to ``(grp, size, quota)``. ``id_col`` must be unique.
 
-    Three narrow passes (group and id columns only) settle the cut: a histogram of key prefixes per
-    group, one more level of it if the cut bucket is still large, and a ranking inside the cut
-    bucket. The pass over the wide rows is a filter against one row per group.
+    The cut of a group is found digit by digit, like in a radix sort. One pass over the group and id columns counts rows
+    by group and first digits of the order key; the counts are stored, and all groups find their cut bucket in them at
+    once. While the fullest cut bucket holds more rows than a task may rank, the rows of the cut buckets are counted by
+    the digits that follow. Then the cut buckets are ranked, and the pass over the wide rows is a filter against one row
+    per group. The steps are the same for three groups and for millions; the tables are stored, so Spark knows their
+    sizes when it chooses how to join them.
     """
+    spark = df.sparkSession
+    folder = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
+
+    def stored(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
     grp = F.col(group) if group else F.lit(0)
-    keyed = df.select(
-        grp.alias("grp"), F.col(id_col).alias("id"), order_key(F.col(id_col), seed).alias("key")
-    )
+    keyed = df.select(grp.alias("grp"), F.col(id_col).alias("id"), order_key(F.col(id_col), seed).alias("key"))
 
     digits = DIGITS_PER_LEVEL
-    histogram, _ = settle(keyed.groupBy("grp", F.substring("key", 1, digits).alias("prefix")).agg(F.count("*").alias("n")))
-    # One row per group. Within the limit it is a local table, so this is driver-side work on a few rows.
+    counts = keyed.groupBy("grp", F.substring("key", 1, digits).alias("prefix")).agg(F.count("*").alias("n"))
+    histogram = stored(counts, "histogram")
     goals = quotas(histogram.groupBy("grp").agg(F.sum("n").alias("size")))
-    whole = goals.select(
-        "grp",
-        F.col("quota").alias("need"),
-        F.lit("").alias("cut"),
-    ).where((F.col("quota") > 0) & (F.col("quota") < F.col("size")))
 
     def cut_bucket(hist: DataFrame, need: DataFrame) -> DataFrame:
         """Per group the bucket in which the running count reaches what is needed."""
@@ -78,38 +81,30 @@ def mark_smallest_per_group(
             .select("grp", (F.col("need") - before).alias("need"), F.col("prefix").alias("cut"), "n")
         )
 
-    def inside(cut: DataFrame, length: int) -> DataFrame:
-        return _join_groups(keyed, cut).where(F.substring("key", 1, length) == F.col("cut"))
-
-    cut, pinned = settle(cut_bucket(histogram, whole))
-    while digits < 30:
-        # A table of very many groups is not pinned; it is refined once without looking at its counts.
-        if pinned is not None and (pc.max(pinned["n"]).as_py() or 0) <= MAX_CUT_ROWS:
-            break
-        rows = inside(cut.select("grp", "cut"), digits)
+    goals = stored(goals.select("grp", "size", "quota"), "goals")
+    split = goals.where((F.col("quota") > 0) & (F.col("quota") < F.col("size")))
+    cut = stored(cut_bucket(histogram, split.select("grp", F.col("quota").alias("need"))), "cut")
+    while digits < 30 and (cut.agg(F.max("n")).first()[0] or 0) > MAX_CUT_ROWS:
+        inside = _join_groups(keyed, cut.select("grp", "cut")).where(F.substring("key", 1, digits) == F.col("cut"))
         digits += DIGITS_PER_LEVEL
-        finer = rows.groupBy("grp", F.substring("key", 1, digits).alias("prefix")).agg(F.count("*").alias("n"))
-        cut, pinned = settle(cut_bucket(finer, cut))
-        if pinned is None:
-            break
+        finer = inside.groupBy("grp", F.substring("key", 1, digits).alias("prefix")).agg(F.count("*").alias("n"))
+        cut = stored(cut_bucket(finer, cut), f"cut-{digits}")
 
     last_row = Window.partitionBy("grp").orderBy("key", "id")
     exact = (
-        inside(cut, digits)
+        _join_groups(keyed, cut)
+        .where(F.substring("key", 1, digits) == F.col("cut"))
         .withColumn("rank", F.row_number().over(last_row))
         .where(F.col("rank") == F.col("need"))
         .select("grp", F.col("key").alias("last_key"), F.col("id").alias("last_id"))
     )
-    limits = (
-        _join_groups(goals, exact, how="left")
-        .select(
-            "grp",
-            F.when(F.col("quota") <= 0, BEFORE_ALL)
-            .when(F.col("quota") >= F.col("size"), AFTER_ALL)
-            .otherwise(F.col("last_key"))
-            .alias("last_key"),
-            F.col("last_id"),
-        )
+    limits = _join_groups(goals, exact, how="left").select(
+        "grp",
+        F.when(F.col("quota") <= 0, BEFORE_ALL)
+        .when(F.col("quota") >= F.col("size"), AFTER_ALL)
+        .otherwise(F.col("last_key"))
+        .alias("last_key"),
+        F.col("last_id"),
     )
     key = order_key(F.col(id_col), seed)
     if group is None:  # one limit at most: constants of the plan, no join
@@ -118,7 +113,7 @@ def mark_smallest_per_group(
             return df.withColumn(flag, F.lit(False))
         bound = F.struct(F.lit(last["last_key"]), F.lit(last["last_id"]).cast(df.schema[id_col].dataType))
         return df.withColumn(flag, F.coalesce(F.struct(key, F.col(id_col)) <= bound, F.lit(False)))
-    limits, _ = settle(limits)
+    limits = stored(limits, "limits")
     joined = df.join(limits.withColumnsRenamed({"grp": "__grp", "last_key": "__key", "last_id": "__id"}),
                      grp.eqNullSafe(F.col("__grp")), "left")
     # As one comparison of pairs the key is computed once per row.

@@ -38,6 +38,21 @@ def balance_classes(
     return rk.smallest_per_group(df, group, quotas, seed)
 
 
+def balance_to_class(df: DataFrame, anchor: int, seed: int = fixed.DEFAULT_SEED, group: str = "label") -> DataFrame:
+    """Keep as many random rows of every class as class ``anchor`` has; smaller classes stay whole.
+
+    Sizes come from the histogram the cut is found in, so no extra count is needed. Without rows of ``anchor`` no row of
+    another class is kept; a null class is a class like any other.
+    """
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        # One row per class: the window over all of them is a window over the class list.
+        size = F.max(F.when(F.col("grp") == anchor, F.col("size"))).over(Window.partitionBy(F.lit(0)))
+        return sizes.withColumn("quota", F.least(F.coalesce(size, F.lit(0)), F.col("size")))
+
+    return rk.smallest_per_group(df, group, quotas, seed)
+
+
 def union_slices(slices: Sequence[DataFrame]) -> DataFrame:
     """Bag union by column name; duplicates stay."""
     return reduce(DataFrame.unionByName, slices)
@@ -58,15 +73,24 @@ def stratified_sample(
 
 
 def train_test_split(
-    df: DataFrame, test_fraction: float = 0.2, seed: int = fixed.DEFAULT_SEED, group: str | None = "label"
+    df: DataFrame,
+    test_fraction: float = 0.2,
+    seed: int = fixed.DEFAULT_SEED,
+    group: str | None = "label",
+    allow_single: bool = False,
 ) -> DataFrame:
     """Add ``split``: ``test`` for ceil(fraction * rows) rows, ``train`` for the rest.
 
     With a group, each class gets its share of the test rows by largest remainder, ties by class; a null
-    class is a class of its own. Both parts are filters of the same scan.
+    class is a class of its own. Both parts are filters of the same scan. A class of one row, which cannot be in both
+    parts, is an error unless ``allow_single``.
     """
 
     def quotas(sizes: DataFrame) -> DataFrame:
+        if group is not None and not allow_single:
+            single = sizes.where("size < 2").limit(5).collect()
+            if single:
+                raise ValueError(f"classes of a single row: {[r['grp'] for r in single]}")
         # One row per class: the window over all of them is a window over the class list.
         all_classes = Window.partitionBy(F.lit(0))
         total = F.sum("size").over(all_classes)
@@ -75,7 +99,6 @@ def train_test_split(
         share = wanted.cast("decimal(38,0)") * F.col("size")
         shared = sizes.select(
             "grp", "size", wanted.alias("wanted"),
-            F.expr("1").alias("one"),
             ((share - share % total) / total).cast("bigint").alias("base"),
             (share % total).cast("decimal(38,0)").alias("rest"),
         )
@@ -124,7 +147,9 @@ def batch_rows(df: DataFrame, size: int, drop_last: bool = True) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = fixed.DEFAULT_SEED, id_col: str = "row_id") -> DataFrame:
-    """``n`` rows without replacement, or all if there are fewer."""
-    return rk.smallest_per_group(
-        df, None, lambda sizes: sizes.withColumn("quota", F.least(F.lit(n), F.col("size"))), seed, id_col
-    )
+    """``n`` rows without replacement, or all if there are fewer: the first ``n`` in the seeded order.
+
+    Every task keeps its first ``n`` rows in a heap and the heaps are merged, in one pass. Ids may repeat; rows that share
+    an id lie side by side in the order.
+    """
+    return df.orderBy(rk.order_key(F.col(id_col), seed), F.col(id_col)).limit(n)

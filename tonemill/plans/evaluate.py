@@ -10,7 +10,6 @@ from tonemill import fixed_values as fixed
 from tonemill.operators import curves as cv
 from tonemill.operators import metrics as mt
 from tonemill.operators.scoring import spot_check
-from tonemill.session import settle
 from tonemill.sources.sinks import report_json, report_lines, store, write_json, write_lines
 
 
@@ -22,7 +21,7 @@ def evaluation_tables(scored: DataFrame, classes: int, folder: str) -> dict[str,
     ones are made from those of the classes. Give ``scored`` as a written table: it is scanned for the counts,
     the thresholds and the histogram, and a model should not run again for that.
     """
-    counts, _ = settle(mt.confusion_counts(scored))
+    counts = store(mt.confusion_counts(scored), f"{folder}/confusion_counts")
     matrix = mt.confusion_matrix(counts, classes)
     per_score = store(cv.score_counts(cv.class_points(scored)), f"{folder}/score_counts")
     every_score = per_score.unionByName(cv.pooled_counts(per_score))
@@ -48,9 +47,8 @@ def write_evaluation(
     folder = folder.rstrip("/")
     stored = store(scored.select("row_id", "y", "pred", "probs"), f"{folder}/scored")
     tables = evaluation_tables(stored, len(names), folder)
-    counts, _ = settle(mt.confusion_counts(stored))
-    wrong = mt.misclassified_sample(stored)
-    tables["misclassified"] = wrong.join(texts.select("row_id", "text"), "row_id").select("row_id", "text", "y", "pred")
+    counts = stored.sparkSession.read.parquet(f"{folder}/confusion_counts")
+    tables["misclassified"] = mt.error_examples(stored, texts, names=names)
     tables["spot_check"] = spot_check(stored, texts, names=names)
     written = {name: store(df, f"{folder}/{name}") for name, df in tables.items()}
     write_lines(report_lines(counts, names), f"{folder}/metrics_summary")

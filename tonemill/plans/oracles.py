@@ -118,6 +118,10 @@ def _with(names: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{views} {body}"
 
 
+def _name(column: str) -> str:
+    return f"(['Negative', 'Neutral', 'Positive'])[{column} + 1]"
+
+
 def _key(seed: str) -> str:
     return f"md5(CAST(row_id AS VARCHAR) || ':{seed}')"
 
@@ -306,6 +310,23 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (ORDER BY {_key('42')}, row_id) AS rn, count(*) OVER () AS size FROM labelled)"""),
     "epoch_order": _with("labelled", f"""
         SELECT row_id, label, row_number() OVER (ORDER BY {_key('42:1')}, row_id) - 1 AS pos FROM labelled"""),
+    "epoch_permutation": _with("labelled", """
+        , size AS (SELECT count(*) AS n, greatest(CAST(ceil(sqrt(CAST(count(*) AS DOUBLE))) AS BIGINT), 1) AS a FROM labelled),
+        square AS (SELECT n, a, greatest((n + a - 1) // a, 1) AS b FROM size),
+        walk AS (
+            SELECT row_id, epoch, '42:' || epoch AS key, 0 AS step, (row_number() OVER (PARTITION BY epoch ORDER BY row_id) - 1) AS x
+            FROM labelled, (SELECT unnest([1, 2, 3]) AS epoch)
+            UNION ALL
+            SELECT row_id, epoch, key, step + 1, l * b + r FROM (
+            SELECT *, (r4 + ('0x' || substr(md5(key || ':5:' || l), 1, 15))::BIGINT) % b AS r FROM (
+            SELECT *, (l2 + ('0x' || substr(md5(key || ':4:' || r4), 1, 15))::BIGINT) % a AS l FROM (
+            SELECT *, (r2 + ('0x' || substr(md5(key || ':3:' || l2), 1, 15))::BIGINT) % b AS r4 FROM (
+            SELECT *, (l1 + ('0x' || substr(md5(key || ':2:' || r2), 1, 15))::BIGINT) % a AS l2 FROM (
+            SELECT *, (r0 + ('0x' || substr(md5(key || ':1:' || l1), 1, 15))::BIGINT) % b AS r2 FROM (
+            SELECT *, (l0 + ('0x' || substr(md5(key || ':0:' || r0), 1, 15))::BIGINT) % a AS l1 FROM (
+            SELECT row_id, epoch, key, step, n, a, b, x // b AS l0, x % b AS r0 FROM walk, square WHERE step = 0 OR x >= n)))))))
+        )
+        SELECT row_id, epoch, x AS place FROM walk, square WHERE step > 0 AND x < n""", recursive=True),
     "shard_rows": _with("labelled", f"""
         , mixed AS (SELECT row_id, row_number() OVER (ORDER BY {_key('42:0')}, row_id) - 1 AS pos FROM labelled),
         plain AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM labelled),
@@ -420,10 +441,12 @@ ORACLES: dict[str, str] = {
                coalesce(n, 0) AS n, group_size
         FROM ranged LEFT JOIN counted USING (grp, bin)"""),
     "misclassified": _with("scored", "SELECT row_id, y, pred FROM scored WHERE y <> pred"),
-    "misclassified_sample": _with("scored", f"""
-        SELECT row_id, y, pred FROM scored WHERE y <> pred ORDER BY {_key('42')}, row_id LIMIT 5"""),
-    "confident_errors": _with("scored", """
-        SELECT row_id, y, pred FROM scored WHERE y <> pred ORDER BY conf DESC, row_id LIMIT 5"""),
+    "misclassified_sample": _with("scored_docs docs", f"""
+        SELECT row_id, text, {_name('y')} AS true_name, {_name('pred')} AS pred_name
+        FROM (SELECT * FROM scored_docs WHERE y <> pred ORDER BY {_key('42')}, row_id LIMIT 5) JOIN docs USING (row_id)"""),
+    "confident_errors": _with("scored_docs docs", f"""
+        SELECT row_id, text, {_name('y')} AS true_name, {_name('pred')} AS pred_name
+        FROM (SELECT * FROM scored_docs WHERE y <> pred ORDER BY conf DESC, row_id LIMIT 5) JOIN docs USING (row_id)"""),
     # Fitting and model selection
     "early_stop": _with("history", """
         , h AS (SELECT *, row_number() OVER (ORDER BY epoch) AS i FROM history),
@@ -440,3 +463,17 @@ ORACLES: dict[str, str] = {
     "best_epoch": _with("history", "SELECT epoch, f1 FROM history WHERE f1 > 0 ORDER BY f1 DESC, epoch LIMIT 1"),
 }
 ORACLES["stratified_sample"] = ORACLES["prepared_cache"]
+
+# Whole jobs: prepared splits from the cleaned reviews, and figures of the evaluation from the queries above.
+ORACLES["prepare_job"] = _with("reviews", f"""
+    , ready AS (
+        SELECT row_id, CASE WHEN class_index IN (4, 5) THEN 2 WHEN class_index = 3 THEN 1 ELSE 0 END AS label, clean_text AS text
+        FROM ({CLEAN_REVIEWS})),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key('42')}, row_id) AS rn FROM ready)
+    SELECT row_id, label, text, 'train' AS split FROM ranked WHERE label = 1 OR rn <= 30
+    UNION ALL SELECT row_id, label, text, 'test' FROM ready WHERE row_id % 4 = 0""")
+ORACLES["evaluate_job"] = f"""
+    SELECT 'class_report' AS name, cls AS key, f1 AS value FROM ({ORACLES['class_report']})
+    UNION ALL SELECT 'confusion_matrix', y || '-' || pred, CAST(n AS DOUBLE) FROM ({ORACLES['confusion_matrix']}) WHERE y < 3 AND pred < 3
+    UNION ALL SELECT 'roc_auc', cls, round(auc, 6) FROM ({ORACLES['roc_auc']})
+    UNION ALL SELECT 'average_precision', cls, round(ap, 6) FROM ({ORACLES['average_precision']})"""

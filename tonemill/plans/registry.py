@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,14 @@ from tonemill.operators import history as hs
 from tonemill.operators import metrics as mt
 from tonemill.operators import profiling as pf
 from tonemill.operators import sampling as sm
+from tonemill.operators import permutation as pm
 from tonemill.operators import scoring as sc
+from tonemill.operators import training as tr
 from tonemill.plans import adapters as ad
 from tonemill.plans.adapters import rounded
-from tonemill.plans.prepare import cached_fraction
-from tonemill.plans.train import train_head
+from tonemill.plans.evaluate import write_evaluation
+from tonemill.plans.prepare import cached_fraction, prepare_splits, save_csv
+from tonemill.plans.train import save_fit, train_head
 from tonemill.session import scratch_dir
 from tonemill.sources import readers as rd
 from tonemill.sources import sinks as sk
@@ -33,7 +37,9 @@ QUERIES: dict[str, Query] = {}
 
 VOCAB_SIZE = 30_000
 MAX_LENGTH = 512
-EPOCHS = ft.EpochSettings(epochs=4, learning_rate=0.1)
+# 50 epochs at most, batches of 64 rows a shard
+EPOCHS = tr.EpochSettings(shards=4, learning_rate=0.1, epochs_ahead=5)
+HIDDEN = [64, 32]
 
 
 def query(fn: Query) -> Query:
@@ -293,9 +299,7 @@ def text_preview(spark, sf):
 
 @query
 def balance_classes(spark, sf):
-    rows = ad.labelled(spark, sf)
-    size = rows.where(F.col("label") == 1).count()
-    return sm.balance_classes(rows, {0: size, 2: size}, allow_short=True)
+    return sm.balance_to_class(ad.labelled(spark, sf), 1)
 
 
 @query
@@ -324,6 +328,14 @@ def epoch_order(spark, sf):
     return sm.epoch_order(ad.labelled(spark, sf), epoch=1).select("row_id", "label", "pos")
 
 
+@query
+def epoch_permutation(spark, sf):
+    """The order of three epochs as a projection of rows that are numbered once."""
+    path = _scratch(spark, "numbered")
+    rows = sk.store(sm.with_natural_order(ad.labelled(spark, sf)), path).withColumn("epoch", F.explode(F.lit([1, 2, 3])))
+    return rows.select("row_id", "epoch", pm.permuted(F.col("pos"), F.col("total"), F.concat(F.lit("42:"), F.col("epoch").cast("string"))).alias("place"))
+
+
 @query
 def shard_rows(spark, sf):
     rows = ad.labelled(spark, sf).select("row_id")
@@ -493,11 +505,15 @@ def one_vs_rest(spark, sf):
 
 
 def _run(spark, sf, micro=False):
-    return cv.curve_counts(cv.class_points(ad.scored(spark, sf), micro))
+    """Scores are counted once; edges, totals and rows are read from the stored counts."""
+    points = cv.class_points(ad.scored(spark, sf), micro)
+    return cv.running_counts(sk.store(cv.score_counts(points), _scratch(spark, "counts")))
 
 
 def _both(spark, sf):
-    return cv.all_curve_counts(cv.class_points(ad.scored(spark, sf)))
+    points = cv.class_points(ad.scored(spark, sf))
+    counts = sk.store(cv.score_counts(points), _scratch(spark, "counts"))
+    return cv.running_counts(counts.unionByName(cv.pooled_counts(counts)), counts)
 
 
 @query
@@ -547,12 +563,12 @@ def misclassified(spark, sf):
 
 @query
 def misclassified_sample(spark, sf):
-    return mt.misclassified_sample(ad.scored(spark, sf)).select("row_id", "y", "pred")
+    return mt.error_examples(ad.scored_documents(spark, sf), ad.documents(spark, sf))
 
 
 @query
 def confident_errors(spark, sf):
-    return mt.misclassified_sample(ad.scored(spark, sf), by="confidence").select("row_id", "y", "pred")
+    return mt.error_examples(ad.scored_documents(spark, sf), ad.documents(spark, sf), by="confidence")
 
 
 # Fitting and model selection
@@ -576,7 +592,7 @@ def fit_text(spark, sf):
 @query
 def fit_epochs(spark, sf):
     result = train_head(ad.vectors(spark, sf), ad.VECTOR_CLASSES, ad.DIMS, EPOCHS)
-    return ft.head_weights(spark, *(result.best or result.last))
+    return ft.layer_weights(spark, result.best or result.last).drop("layer")
 
 
 @query
@@ -584,6 +600,15 @@ def epoch_history(spark, sf):
     return train_head(ad.vectors(spark, sf), ad.VECTOR_CLASSES, ad.DIMS, EPOCHS).history_table(spark)
 
 
+@query
+def fit_mlp(spark, sf):
+    """Hidden layers trained on the stored vectors, with the state of the run kept in the shared folder."""
+    state = _scratch(spark, "state")
+    settings = replace(EPOCHS, learning_rate=0.02, dropout=0.1)
+    result = train_head(ad.vectors(spark, sf), ad.VECTOR_CLASSES, ad.DIMS, settings, hidden=HIDDEN, state_folder=state)
+    return ft.layer_weights(spark, result.best or result.last)
+
+
 @query
 def early_stop(spark, sf):
     return hs.early_stop(ad.history(spark, sf), "f1", delta=0.001)
@@ -592,3 +617,46 @@ def early_stop(spark, sf):
 @query
 def best_epoch(spark, sf):
     return hs.best_epoch(ad.history(spark, sf))
+
+
+# Whole jobs
+
+
+@query
+def prepare_job(spark, sf):
+    """Reviews of two splits cleaned, mapped to classes, capped, written as CSV and read back."""
+    reviews = ad.reviews(spark, sf)
+    splits = {"train": reviews, "test": reviews.where(F.col("row_id") % 4 == 0)}
+    ready = prepare_splits(splits, {"train": {0: 30, 2: 30}}, allow_short=True)
+    folder = _scratch(spark, "prepared")
+    save_csv(ready, folder)
+    return rd.load_splits({name: rd.read_split(spark, f"{folder}/{name}", rd.MODEL_SCHEMA, "csv") for name in ready})
+
+
+@query
+def evaluate_job(spark, sf):
+    """All tables of an evaluation written and read back; the figures of some as ``(name, key, value)``."""
+    scored = ad.scored(spark, sf)
+    texts = scored.select("row_id", F.concat(F.lit("order "), F.col("row_id").cast("string")).alias("text"))
+    written = write_evaluation(scored, texts, _scratch(spark, "evaluation"))
+    figures = [
+        written["class_report"].select(F.lit("class_report").alias("name"), F.col("cls").alias("key"), F.col("f1").alias("value")),
+        written["confusion_matrix"].select(
+            F.lit("confusion_matrix").alias("name"),
+            F.concat_ws("-", F.col("y").cast("string"), F.col("pred").cast("string")).alias("key"),
+            F.col("n").cast("double").alias("value"),
+        ),
+        written["roc_auc"].select(F.lit("roc_auc").alias("name"), F.col("cls").alias("key"), F.col("auc").alias("value")),
+        written["average_precision"].select(F.lit("average_precision").alias("name"), F.col("cls").alias("key"), F.col("ap").alias("value")),
+    ]
+    return rounded(sm.union_slices(figures))
+
+
+@query
+def train_job(spark, sf):
+    """A head trained, saved with its history, read back and used on all vectors."""
+    rows, folder = ad.vectors(spark, sf), _scratch(spark, "trained")
+    save_fit(train_head(rows, ad.VECTOR_CLASSES, ad.DIMS, replace(EPOCHS, epochs=5)), rows, folder)
+    w, b = ft.weights_from_table(spark.read.parquet(f"{folder}/final").drop("layer"))
+    scored = sc.score_batches(rows, sc.layered_scorer(spark, [(w, b)]), ad.DIMS)
+    return scored.select("row_id", F.col("label").alias("y"), vx.argmax(F.col("logits")).alias("pred"))

@@ -1,14 +1,8 @@
-"""Session settings and the few size rules every operator shares."""
+"""Session settings every operator shares."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a table may have to be treated as small: it then travels with the plan (broadcast).
-# Longer tables stay distributed and are joined by shuffle.
-SMALL_TABLE_ROWS = 200_000
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "tonemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,8 +24,14 @@ def build_session(app_name: str = "tonemill", master: str | None = None, **conf:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: ``spark.checkpoint.dir``, else a folder below the warehouse."""
+    """The shared folder for written intermediates: ``spark.checkpoint.dir``.
+
+    Without it a local session takes a folder below its warehouse; a cluster, whose machines share no such folder by
+    default, is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/tonemill-scratch").rstrip("/")
 
 
@@ -42,17 +42,3 @@ def bucket_count(spark: SparkSession) -> int:
     executors handle. Both then grow with the one setting that is sized to the data.
     """
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def settle(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, pa.Table | None]:
-    """Compute a per-group table and pin it if it is small.
-
-    At most ``limit + 1`` rows reach the driver. A table within the limit comes back as a local table in one
-    partition, marked for broadcast: work on it needs no shuffle, and neither does joining it to wide rows. Its
-    rows come along as well. A longer table comes back as it was, with None, and the same join runs as a
-    shuffle join.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df, None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema).coalesce(1)), rows

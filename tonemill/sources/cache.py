@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tonemill.sources.manifest import attempt_name, entries, put_entry
+
 
 def cache_key(**parts: Any) -> str:
     """Name of a prepared set: everything that shapes it (sources, fraction, seed, version) goes in."""
@@ -21,24 +22,17 @@ def prepared_set(
 ) -> dict[str, DataFrame]:
     """The splits stored under ``key``; built and written on the first call.
 
-    A split counts as stored once its write has committed. It is written beside its place and renamed, so a
-    broken or a second writer never shows a reader half a set.
+    Every writer has a folder of its own and publishes it with one file. Of several writers the first to publish
+    counts, for all readers and for good; a broken one is never seen.
     """
     place = f"{root.rstrip('/')}/prepared/{key}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names_file = f"{place}/splits"
-    if not fs.exists(hadoop(f"{names_file}/_SUCCESS")):
-        staging = f"{place}-{uuid.uuid4().hex}"
+    published = entries(spark, place)
+    if not published:
+        attempt = attempt_name()
         splits = build()
         for name, df in splits.items():
-            df.write.parquet(f"{staging}/{name}")
-        # Last to be written: its presence means that all splits are there.
-        spark.createDataFrame([(n,) for n in splits], "name string").coalesce(1).write.parquet(f"{staging}/splits")
-        fs.mkdirs(hadoop(place).getParent())
-        # Renaming onto a folder that exists would nest the new one in it: the first writer wins.
-        moved = not fs.exists(hadoop(place)) and fs.rename(hadoop(staging), hadoop(place))
-        if not moved and not fs.exists(hadoop(f"{names_file}/_SUCCESS")):
-            raise OSError(f"could not move the prepared set to {place}")
-    names = sorted(r["name"] for r in spark.read.schema("name string").parquet(names_file).collect())
-    return {name: spark.read.parquet(f"{place}/{name}") for name in names}
+            df.write.parquet(f"{place}/{attempt}/{name}")
+        put_entry(spark, place, attempt, {"splits": sorted(splits)})
+        published = entries(spark, place)
+    first = published[0]
+    return {name: spark.read.parquet(f"{place}/{first['attempt']}/{name}") for name in first["splits"]}

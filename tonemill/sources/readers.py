@@ -51,9 +51,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = MODEL_SCHEMA
     return spark.read.schema(schema).options(**options).csv(path)
 
 
-def read_split(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def read_split(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """A split in any file format. ``multi_line`` is for CSV, as in ``read_csv``."""
     if fmt == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multi_line)
     return spark.read.schema(schema).format(fmt).load(path)
 
 
