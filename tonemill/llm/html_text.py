@@ -20,12 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import shared_dir
+from tonemill.llm.common import shared_dir, stage
 
 FIT_PAGES = 400
 LAYOUTS = 4
@@ -33,8 +34,9 @@ TREES, DEPTH = 20, 4
 SLICE = 500
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math select object".split())
-NEVER = RAW | set("option head button input form label fieldset canvas audio video map dialog".split())
+RAW = set("script style textarea title".split())  # what is inside is text up to the end tag
+NEVER = RAW | set("noscript template iframe svg math select object option head button input form label fieldset canvas audio video map dialog".split())
+BROKEN_OUT = {"svg", "math", "select"}  # hold no block: one that starts inside ends them
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split()
 )
@@ -66,11 +68,15 @@ class Node:
 
 
 def parse(page: str | None) -> list[Node]:
-    """Elements of a page in document order, node 0 above all. Unclosed and misnested tags are repaired."""
+    """Elements of a page in document order, node 0 above all. Unclosed and misnested tags are repaired.
+
+    A missing end tag ends with the parent's; blocks end an unclosed drawing, formula or selection before them.
+    """
     page = page or ""
     nodes = [Node("#root", -1, 0)]
     open_ = [0]
     order = at = 0
+    drawing = 0  # where in ``open_`` the outermost element that holds no block was put
 
     def say(piece: str) -> None:
         nonlocal order
@@ -95,6 +101,8 @@ def parse(page: str | None) -> list[Node]:
                     break
             continue
         if tag in CLOSES_P:
+            if drawing and drawing < len(open_) and nodes[open_[drawing]].tag in BROKEN_OUT:
+                del open_[drawing:]
             for k in range(len(open_) - 1, 0, -1):
                 name = nodes[open_[k]].tag
                 if name == "p":
@@ -131,6 +139,8 @@ def parse(page: str | None) -> list[Node]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag in BROKEN_OUT and not (drawing and drawing < len(open_) and nodes[open_[drawing]].tag in BROKEN_OUT):
+            drawing = len(open_)
         open_.append(len(nodes) - 1)
     return nodes
 
@@ -298,7 +308,7 @@ def training_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         xs, ys = [], []
         loan: list[str] = ["Home", "About us", "All rights reserved.", "We use cookies to improve your visit.", "Sign up for our newsletter"]
-        for page_id, page in zip(b["page_id"], b["html"]):
+        for seed, page in zip(b["seed"], b["html"]):
             nodes = parse(page)
             labels = main_labels(nodes)
             if labels is None:
@@ -306,7 +316,7 @@ def training_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             xs.append(node_features(nodes))
             ys.append(labels)
             for k in range(LAYOUTS):
-                made = relayout(nodes, labels, hash((int(page_id or 0), k)), loan)
+                made = relayout(nodes, labels, hash((int(seed), k)), loan)
                 if made:
                     again = parse(made[0])
                     xs.append(node_features(again))
@@ -340,15 +350,17 @@ class Trees:
 
 
 def fit_trees(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Trees | None:
-    """Boosted trees fitted by Spark on about ``fit_pages`` pages, chosen by a hash of the page id.
+    """Boosted trees fitted by Spark on about ``fit_pages`` pages, chosen by a hash of page id and page.
 
     None if no chosen page names its parts; extraction then keeps everything that is not named boilerplate.
     """
     spark = pages.sparkSession
     total = pages.count()
     share = min(1.0, fit_pages / max(1, total))
-    chosen = pages.select("page_id", "html").where(F.pmod(F.xxhash64("page_id", F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    nodes = chosen.coalesce(8).mapInPandas(training_nodes, "x array<double>, label double").persist()
+    seeded = pages.select("html", F.xxhash64("page_id", "html", F.lit(23)).alias("seed"))
+    # All pages are read in parallel; the few chosen ones are written and dealt out again.
+    chosen = stage(seeded.where(F.pmod("seed", F.lit(1 << 30)) < int(share * (1 << 30))), "pages").repartition(8, "seed").sortWithinPartitions("seed")
+    nodes = chosen.mapInPandas(training_nodes, "x array<double>, label double").persist()
     kinds = nodes.select("label").distinct().count()
     if kinds < 2:
         nodes.unpersist()
@@ -381,21 +393,26 @@ def extract_page(page: str | None, nodes: list[Node], odds: np.ndarray | None) -
 def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Null, empty and text-free pages give an empty text and 0. Repeated rows and null ids stay; pages are read whole;
-    extra columns are left out.
+    Null, empty and text-free pages give an empty text and 0. Repeated rows and null ids stay, and ids go through
+    unchanged whatever their size; pages are read whole, however long and deeply nested; an empty table gives no rows;
+    extra columns, of whatever name, are left out.
     """
     trees = fit_trees(pages, fit_pages)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, len(b), SLICE):
-                part = b.iloc[start : start + SLICE]
-                parsed = [parse(p) for p in part["html"]]
+            for start in range(0, b.num_rows, SLICE):
+                part = b.slice(start, SLICE)
+                html = part.column("html").to_pylist()
+                parsed = [parse(p) for p in html]
                 odds: list[np.ndarray | None] = [None] * len(parsed)
                 if trees is not None and parsed:
                     every = trees.odds(np.concatenate([node_features(n) for n in parsed]))
                     odds = np.split(every, np.cumsum([len(n) for n in parsed])[:-1])
-                texts = [extract_page(p, n, o) for p, n, o in zip(part["html"], parsed, odds)]
-                yield part[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
+                texts = [extract_page(p, n, o) for p, n, o in zip(html, parsed, odds)]
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
+    schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
+    return pages.select("page_id", "url", "html").mapInArrow(extract, schema)
