@@ -9,13 +9,14 @@ sorted to find such strings, in three steps.
    documents go on (a bitmap of fixed size; other bits set by chance only cost work).
 2. *Runs.* A task sorts the suffixes that begin at its anchors, each cut at the end of its zone, keeps of equal zones the
    one of the earliest document (the others are repeats by this alone), and writes them front-coded: how many bytes a
-   suffix shares with the one before, then the rest. Grams of very many documents are expanded: each of their strings is
-   a suffix of its own, is merged inside the task as well, and is dealt by its own hash, so no gram fills a task.
+   suffix shares with the one before, then the rest. Zones of a gram of very many documents are then cut into their
+   strings, each a suffix of its own, of which the earliest is kept likewise and dealt by its own hash, so that no gram
+   fills a task.
 3. *Merge.* Per bucket a loser tree combines the runs. It holds with every suffix how much of it equals the last winner,
    which settles most matches without a look at the bytes; else comparison starts behind what is known to be equal. Zones
    of one gram come out side by side; if they are all equal the earliest wins, else their strings are compared.
 
-Texts that occur several times take part once; of their later copies everything goes.
+Texts are shuffled once, when their repeated stretches come back to them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ from tonemill.llm.common import in_bitmap, key_bitmap, stage
 LENGTH = 50
 GRAM = 20
 GRAM_BITS = 1 << 26
-# A gram in more batches than this has its strings sorted one by one.
-HOT_BATCHES = 64
+GRAM_BYTES = 6  # of a gram's hash that are exchanged
+# A gram sent more often than this has its strings sorted one by one. A block of texts sends it 1 + log2(texts) times, so
+# the zones of any other gram are a few megabytes.
+HOT_SENDS = 2048
 HOT_BITS = 1 << 20
 BUCKET_BYTES = 24 << 20  # of text for each bucket of grams and of suffixes
 RUN_SUFFIXES = 200_000  # sorted in memory at a time
@@ -71,6 +75,11 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return whole ^ (whole >> np.uint64(31))
 
 
+def gram_key(h: np.ndarray) -> np.ndarray:
+    """The first ``GRAM_BYTES`` bytes of a hash."""
+    return (h >> np.uint64(64 - 8 * GRAM_BYTES)).view(np.int64)
+
+
 def zones(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Zones of texts that lie one behind the other: first and last start, anchor, and hash of its gram.
 
@@ -133,7 +142,9 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
     """How many first bytes are equal, ``known`` of which need no look."""
     end = min(len(a), len(b))
     while known < end:
-        step = min(end - known, 16)
+        if a[known] != b[known]:
+            return known
+        step = min(end - known, 64)
         x = int.from_bytes(a[known : known + step], "big") ^ int.from_bytes(b[known : known + step], "big")
         if x:
             return known + step - (x.bit_length() + 7) // 8
@@ -142,19 +153,19 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
 
 
 def front_code(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Sorted keys as (bytes shared with the key before, bytes that follow, those bytes)."""
+    """Sorted keys as (bytes shared with the key before, bytes that follow, those bytes, compressed)."""
     shared = np.zeros(len(keys), np.int32)
     for i in range(1, len(keys)):
         shared[i] = common_prefix(keys[i - 1], keys[i], 0)
     tails = [k[s:] for k, s in zip(keys, shared)]
-    return shared, np.fromiter(map(len, tails), np.int32, len(tails)), b"".join(tails)
+    return shared, np.fromiter(map(len, tails), np.int32, len(tails)), zstandard.compress(b"".join(tails), 1)
 
 
 class Run:
     """A front-coded run, read key by key."""
 
     def __init__(self, shared: np.ndarray, tail: np.ndarray, data: bytes):
-        self.shared, self.tail, self.data = shared.tolist(), tail.tolist(), data
+        self.shared, self.tail, self.data = shared.tolist(), tail.tolist(), zstandard.decompress(data)
         self.next, self.offset, self.key, self.lcp = 0, 0, b"", 0
 
     def advance(self) -> bool:
@@ -220,43 +231,71 @@ RUN_SCHEMA = "bucket int, shared binary, tail binary, data binary, left_size bin
 HIT_SCHEMA = "row long, lo int, hi int"
 
 
-class _Sorter:
-    """Suffixes of one task; sorts them when there are enough and gives them out as runs and as settled repeats."""
+def merged(hits: np.ndarray) -> np.ndarray:
+    """Stretches ``(row, lo, hi)`` with those of a row that overlap or touch put together."""
+    if not len(hits):
+        return hits
+    hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+    base = (hits[:, 0] - hits[:, 0].min()).astype(np.int64)
+    rank = np.cumsum(np.r_[0, base[1:] != base[:-1]]) << 32  # keeps the ends of one row from reaching into the next
+    reach = np.maximum.accumulate(rank + hits[:, 2])
+    first = np.flatnonzero(np.r_[True, rank[1:] + hits[1:, 1] > reach[:-1]])
+    last = np.r_[first[1:], len(hits)] - 1
+    return np.stack([hits[first, 0], hits[first, 1], reach[last] - rank[last]], axis=1)
 
-    def __init__(self, buckets: int):
-        self.buckets, self.items = buckets, []
 
-    def add(self, key: bytes, left: bytes, place: int, ord_: int, row: int, deal: int) -> None:
-        self.items.append((deal % self.buckets, key, left, ord_, row, place))
+Item = tuple[int, bytes, bytes, int, int, int, bool]  # bucket, key, left, ord, row, place, hot
+
+
+class _Sorter:
+    """Zones of one task; sorts them when there are enough and gives out runs, and the repeats already settled."""
+
+    def __init__(self, buckets: int, length: int):
+        self.buckets, self.length, self.items = buckets, length, []
+        self.settled: list[tuple[int, int, int]] = []
+
+    def _earliest(self, items: list[Item]) -> list[Item]:
+        """Of equal zones, which share a bucket, those of the earliest document; the others are settled."""
+        items.sort()
+        kept: list[Item] = []
+        last_key = last_left = last_ord = None
+        for item in items:
+            _, key, left, ord_, row, place, _ = item
+            if key == last_key and left == last_left and ord_ != last_ord:
+                self.settled.append((row, place - len(left), place + len(key)))
+            else:
+                kept.append(item)
+                last_key, last_left, last_ord = key, left, ord_
+        return kept
+
+    def _strings(self, zone: Item) -> Iterator[Item]:
+        whole, begin = zone[2] + zone[1], zone[5] - len(zone[2])
+        for i in range(len(whole) - self.length + 1):
+            key = whole[i : i + self.length]
+            bucket = int.from_bytes(hashlib.blake2b(key, digest_size=7).digest(), "big") % self.buckets
+            yield bucket, key, b"", zone[3], zone[4], begin + i, False
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """A run per bucket; repeats of an earlier document in this task are settled and dealt as runs without bytes."""
-        self.items.sort()
-        at, items = 0, self.items
-        settled = []
-        while at < len(items):
-            bucket, run, best = items[at][0], [], None
-            while at < len(items) and items[at][0] == bucket:
-                item = items[at]
-                if best is not None and item[1] == best[1] and item[2] == best[2]:
-                    if item[3] == best[3]:
-                        run.append(item)
-                    else:  # sorted by document: this one comes later
-                        settled.append((item[4], item[5] - len(item[2]), item[5] + len(item[1])))
-                else:
-                    best = item
-                    run.append(item)
-                at += 1
-            shared, tail, data = front_code([i[1] for i in run])
-            left = [i[2] for i in run]
-            numbers = [np.array([i[j] for i in run], np.int64) for j in (5, 3, 4)]
-            yield _run_row(bucket, shared, tail, data, np.fromiter(map(len, left), np.int32, len(left)), b"".join(left), *numbers)
-        if settled:
-            hits = np.array(settled, np.int64)
-            for b in range(0, len(hits), 50_000):
-                part = hits[b : b + 50_000]
-                yield _run_row(int(part[0, 0] % self.buckets), *[np.zeros(0, np.int32)] * 2, b"", np.zeros(0, np.int32), b"", part[:, 1], part[:, 2], part[:, 0])
-        self.items = []
+        """A run per bucket, and the settled repeats as rows without bytes."""
+        dealt = self._earliest(self.items)
+        hot = [s for item in dealt if item[6] for s in self._strings(item)]
+        if hot:
+            dealt = sorted([item for item in dealt if not item[6]] + self._earliest(hot))
+        at = 0
+        while at < len(dealt):
+            bucket, end = dealt[at][0], at
+            while end < len(dealt) and dealt[end][0] == bucket:
+                end += 1
+            _, keys, left, *numbers, _ = zip(*dealt[at:end])
+            ord_, row, place = (np.array(n, np.int64) for n in numbers)
+            sizes = np.fromiter(map(len, left), np.int32, len(left))
+            yield _run_row(bucket, *front_code(list(keys)), sizes, zstandard.compress(b"".join(left), 1), place, ord_, row)
+            at = end
+        hits = merged(np.array(self.settled, np.int64).reshape(-1, 3))
+        for i in range(0, len(hits), 50_000):
+            part, none = hits[i : i + 50_000], np.zeros(0, np.int32)
+            yield _run_row(int(part[0, 0] % self.buckets), none, none, b"", none, b"", part[:, 1], part[:, 2], part[:, 0])
+        self.items, self.settled = [], []
 
 
 def _run_row(bucket: int, shared, tail, data: bytes, left_size, left_data: bytes, place, ord_, row) -> pa.RecordBatch:
@@ -271,22 +310,34 @@ def _group_hits(group: list[tuple[bytes, bytes, int, int, int]], equal: bool, le
         earliest = min(g[3] for g in group)
         out += [(g[4], g[2] - len(g[0]), g[2] + len(g[1])) for g in group if g[3] > earliest]
         return
-    first: dict[bytes, int] = {}
+    # equal zones of several runs are looked into once
+    earliest_of: dict[tuple[bytes, bytes], int] = {}
     for left, key, _, ord_, _ in group:
+        if ord_ < earliest_of.get((left, key), LAST + 1):
+            earliest_of[left, key] = ord_
+    first: dict[bytes, int] = {}
+    for (left, key), ord_ in earliest_of.items():
         zone = left + key
         for i in range(len(zone) - length + 1):
             s = zone[i : i + length]
             if ord_ < first.get(s, LAST + 1):
                 first[s] = ord_
-    for left, key, place, ord_, row in group:
+    stretch = {}
+    for (left, key), ord_ in earliest_of.items():
         zone = left + key
         hit = [i for i in range(len(zone) - length + 1) if first[zone[i : i + length]] < ord_]
-        if hit:  # all strings of a zone hold its anchor, so their union has no hole
-            begin = place - len(left)
-            out.append((row, begin + hit[0], begin + hit[-1] + length))
+        # all strings of a zone hold its anchor, so their union has no hole
+        stretch[left, key] = (hit[0], hit[-1] + length) if hit else None
+    for left, key, place, ord_, row in group:
+        begin = place - len(left)
+        if ord_ > earliest_of[left, key]:
+            out.append((row, begin, place + len(key)))
+        elif stretch[left, key]:
+            out.append((row, begin + stretch[left, key][0], begin + stretch[left, key][1]))
 
 
-def _merge_bucket(table: pa.Table, length: int) -> list[tuple[int, int, int]]:
+def _merge_bucket(table: pa.Table, length: int) -> np.ndarray:
+    """Repeated stretches ``(row, lo, hi)`` of a bucket."""
     out: list[tuple[int, int, int]] = []
     runs, meta = [], []
     for row in table.to_pylist():
@@ -297,7 +348,7 @@ def _merge_bucket(table: pa.Table, length: int) -> list[tuple[int, int, int]]:
         size = np.frombuffer(row["left_size"], np.int32)
         stop = np.cumsum(size).tolist()
         runs.append(Run(np.frombuffer(row["shared"], np.int32), np.frombuffer(row["tail"], np.int32), row["data"]))
-        meta.append(([0, *stop], row["left_data"], place, ord_, number))
+        meta.append(([0, *stop], zstandard.decompress(row["left_data"]), place, ord_, number))
     gram = min(GRAM, length)
     group: list[tuple[bytes, bytes, int, int, int]] = []
     equal = True
@@ -313,14 +364,14 @@ def _merge_bucket(table: pa.Table, length: int) -> list[tuple[int, int, int]]:
         group.append((left, key, place[i], ord_[i], number[i]))
     if len(group) > 1:
         _group_hits(group, equal, length, out)
-    return out
+    return merged(np.array(out, np.int64).reshape(-1, 3))
 
 
 def _bytes(text: object) -> bytes:
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""
 
 
-def shared_grams(firsts: DataFrame, length: int, buckets: int) -> DataFrame:
+def shared_grams(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """``(h, hot)`` of the grams of anchors in two documents or more."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,95 +379,98 @@ def shared_grams(firsts: DataFrame, length: int, buckets: int) -> DataFrame:
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
             for data, piece, ends, doc_of, _ in blocks(texts, length):
                 _, _, anchor, h = zones(np.frombuffer(data, np.uint8), ends, length)
-                # a gram of two documents of the block is sent twice
                 doc = doc_of[piece[anchor]]
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                several = doc[start] != doc[np.r_[start[1:], len(h)] - 1]
-                sent = np.r_[h[start], h[start][several]]
+                texts_of = np.add.reduceat(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])].astype(np.int64), start)
+                # of one text once, of two or three texts of the block twice, and so on
+                sent = np.repeat(h[start], 1 + np.log2(texts_of).astype(np.int64))
                 bucket = (sent >> np.uint64(40)) % np.uint64(buckets)
                 order = np.lexsort((sent, bucket))
                 sent, bucket = sent[order], bucket[order].astype(np.int32)
                 edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                parts = [p.tobytes() for p in np.split(sent, edge[1:])]
+                # six bytes of a hash: equal ones only cost work
+                six = np.ascontiguousarray(sent.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES])
+                parts = [p.tobytes() for p in np.split(six, edge[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(parts, pa.binary())], ["bucket", "grams"])
 
     def several(table: pa.Table) -> pa.Table:
-        every = np.sort(np.concatenate([np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]))
+        six = np.frombuffer(b"".join(table.column("grams").to_pylist()), np.uint8).reshape(-1, GRAM_BYTES)
+        every = np.zeros((len(six), 8), np.uint8)
+        every[:, 8 - GRAM_BYTES :] = six
+        every = np.sort(every.view(">u8").ravel().astype(np.uint64))
         start = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         n = np.diff(np.r_[start, len(every)])
         kept = n > 1
-        return pa.table({"h": every[start][kept].view(np.int64), "hot": n[kept] > HOT_BATCHES})
+        return pa.table({"h": every[start][kept].view(np.int64), "hot": n[kept] > HOT_SENDS})
 
-    packed = firsts.select("text").mapInArrow(grams, "bucket int, grams binary")
+    packed = texts.select("text").mapInArrow(grams, "bucket int, grams binary")
     return packed.groupBy("bucket").applyInArrow(several, "h long, hot boolean")
 
 
-def repeat_hits(firsts: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeat_hits(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(row, lo, hi)``: stretches of text ``row`` that occur in an earlier one of ``(row, ord, text)``."""
-    spark = firsts.sparkSession
-    size = firsts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    common = stage(shared_grams(firsts, length, buckets), "grams", BATCH_DOCS)
+    common = stage(shared_grams(texts, length, buckets), "grams", BATCH_DOCS)
     shared = spark.sparkContext.broadcast(key_bitmap(common, F.col("h"), GRAM_BITS))
     hot = spark.sparkContext.broadcast(key_bitmap(common.where("hot"), F.col("h"), HOT_BITS))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorter = _Sorter(buckets)
+        sorter = _Sorter(buckets, length)
+        seen: dict[bytes, int] = {}  # digests of the texts of this task, and their earliest document
         for batch in batches:
             rows, ords = batch.column("row").to_pylist(), batch.column("ord").to_pylist()
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
+            for i, text in enumerate(texts):
+                if len(text) >= length:
+                    digest = hashlib.blake2b(text, digest_size=16).digest()
+                    if seen.setdefault(digest, ords[i]) < ords[i]:
+                        sorter.settled.append((rows[i], 0, len(text)))
+                        texts[i] = b""
+                    else:
+                        seen[digest] = ords[i]
             for data, piece, ends, doc_of, shift in blocks(texts, length):
                 first, last, anchor, h = zones(np.frombuffer(data, np.uint8), ends, length)
-                expand = in_bitmap(hot.value, h.view(np.int64))
-                for z in np.flatnonzero(in_bitmap(shared.value, h.view(np.int64))):
-                    i, j, p = int(first[z]), int(last[z]), int(anchor[z])
-                    at = piece[p]
-                    doc, back = doc_of[at], int(shift[at])
-                    row, ord_ = rows[doc], ords[doc]
-                    if expand[z]:
-                        for s in range(i, j + 1):
-                            key = data[s : s + length]
-                            sorter.add(key, b"", s - back, ord_, row, int.from_bytes(hashlib.blake2b(key, digest_size=7).digest(), "big"))
-                    else:
-                        sorter.add(data[p : j + length], data[i:p], p - back, ord_, row, int(h[z]) >> 20)
+                here = np.flatnonzero(in_bitmap(shared.value, gram_key(h)))
+                first, last, anchor, h = (a[here] for a in (first, last, anchor, h))
+                at, expand = piece[anchor], in_bitmap(hot.value, gram_key(h))
+                bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                columns = (bucket, first, last, anchor, doc_of[at], shift[at], expand)
+                for deal, i, j, p, doc, back, many in zip(*[c.tolist() for c in columns]):
+                    sorter.items.append((deal, data[p : j + length], data[i:p], ords[doc], rows[doc], p - back, many))
                     if len(sorter.items) >= RUN_SUFFIXES:
                         yield from sorter.flush()
         yield from sorter.flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        hits = np.array(_merge_bucket(table, length), np.int64).reshape(-1, 3)
+        hits = _merge_bucket(table, length)
         return pa.table({"row": hits[:, 0], "lo": hits[:, 1].astype(np.int32), "hi": hits[:, 2].astype(np.int32)})
 
-    return firsts.select("row", "ord", "text").mapInArrow(suffixes, RUN_SCHEMA).groupBy("bucket").applyInArrow(merge, HIT_SCHEMA)
-
+    return texts.select("row", "ord", "text").mapInArrow(suffixes, RUN_SCHEMA).groupBy("bucket").applyInArrow(merge, HIT_SCHEMA)
 
-def _cut(length: int):
-    """Cut stretches out of texts; later copies go as a whole. Ids and texts stay in Arrow."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, removed, spans, kept = [], [], [], []
-            for text, copy, los, his in zip(*[batch.column(c).to_pylist() for c in ("text", "copy", "lo", "hi")]):
-                data, runs = _bytes(text), []
-                if copy and len(data) >= length:
-                    los, his = [0], [len(data)]
-                for lo, hi in sorted(zip(los or (), his or ())):
-                    if runs and lo <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], hi)
-                    else:
-                        runs.append([lo, hi])
-                edges = [0, *[e for r in runs for e in r], len(data)]
-                sizes.append(len(data))
-                removed.append(sum(b - a for a, b in runs))
-                spans.append([{"lo": a, "hi": b} for a, b in runs])
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            span_type = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-            values = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(values, ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-
-    return cut
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut stretches out of texts. Ids and texts stay in Arrow."""
+    for batch in batches:
+        sizes, removed, spans, kept = [], [], [], []
+        for text, los, his in zip(*[batch.column(c).to_pylist() for c in ("text", "lo", "hi")]):
+            data, runs = _bytes(text), []
+            for lo, hi in sorted(zip(los or (), his or ())):
+                if runs and lo <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], hi)
+                else:
+                    runs.append([lo, hi])
+            edges = [0, *[e for r in runs for e in r], len(data)]
+            sizes.append(len(data))
+            removed.append(sum(b - a for a, b in runs))
+            spans.append([{"lo": a, "hi": b} for a, b in runs])
+            kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+        span_type = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        values = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(values, ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -428,19 +482,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Equal rows get equal results. An empty table gives no rows; extra columns are not read.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"_ord": order, "_sha": F.unhex(F.sha2(F.col("text").cast("binary"), 256))})
-    # texts of several ids: their later rows go as a whole, and the first one speaks for all
-    ids = rows.where(F.octet_length("text") >= length).groupBy("_sha").agg(F.min("_ord").alias("_first"), F.max("_ord").alias("_last"))
-    several = stage(ids.where("_first < _last").select("_sha", "_first"), "copies")
-    marked = rows.join(several, "_sha", "left").withColumn("copy", F.coalesce(F.col("_ord") > F.col("_first"), F.lit(False)))
-    firsts = marked.where(~F.col("copy") & (F.octet_length("text") >= length))
-    firsts = stage(firsts.select(F.monotonically_increasing_id().alias("row"), F.col("_ord").alias("ord"), "_sha", "text"), "firsts", BATCH_DOCS)
-    hits = stage(repeat_hits(firsts, length), "hits", BATCH_DOCS)
-    # equal rows were staged as often as they occur and got equal hits: one of them answers for all
-    speakers = firsts.groupBy("ord", "_sha").agg(F.min("row").alias("row"))
-    spans = hits.join(speakers, "row").groupBy("ord", "_sha").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    spans = spans.withColumnsRenamed({"ord": "_o", "_sha": "_s"})
-    found = marked.join(spans, (F.col("_ord") == F.col("_o")) & (F.col("_sha") == F.col("_s")), "left")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), order.alias("ord"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = stage(numbered, "texts", BATCH_DOCS)
+    hits = stage(repeat_hits(texts, length), "hits", BATCH_DOCS)
+    spans = hits.groupBy("row").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     schema = "doc_id {}, n_bytes long, n_removed long, n_spans long, spans array<struct<lo:int,hi:int>>, kept binary"
-    return found.select("doc_id", "text", "copy", "lo", "hi").mapInArrow(_cut(length), schema.format(docs.schema["doc_id"].dataType.simpleString()))
+    found = texts.join(spans, "row", "left").select("doc_id", "text", "lo", "hi")
+    return found.mapInArrow(_cut, schema.format(docs.schema["doc_id"].dataType.simpleString()))
