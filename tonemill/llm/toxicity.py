@@ -271,11 +271,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     return ToxicityModel(characters, {f: float(w) for f, w in zip(best, weights) if w}, bias)
 
 
+OUTPUTS = ("held_out", "score", "predicted")
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
     """One row per document: ``keep`` columns, held_out, score, predicted.
 
-    Null and empty texts score the bias alone; a null id is not held out; equal texts get equal scores; extra columns
-    are dropped unless named in ``keep``.
+    Null and empty texts score the bias alone; a null id is not held out; equal texts get equal scores; very long texts are
+    read whole; an empty table gives no rows. Extra columns are dropped unless named in ``keep``, where names of the results
+    are left out: pass such columns inside a struct.
     """
     cols = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 59^3 numbers and at most MAX_FEATURES weights
@@ -287,9 +291,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
         for t in texts:
             yield pd.Series(shared.value.score(list(t), cache, hits), dtype=float)
 
-    scored = docs.select(*cols, *([] if "text" in cols else ["text"])).select(
-        *cols, in_remainder("doc_id", 3, 1).alias("held_out"), score("text").alias("score")
-    )
+    held_out = in_remainder("doc_id", 3, 1).alias("held_out")
+    scored = docs.select(*[c for c in cols if c not in OUTPUTS], held_out, score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
 
 

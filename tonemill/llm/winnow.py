@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tonemill.llm.common import in_bitmap, key_bitmap, stage
 WINDOW = 10
 K = 5
 SALTS = 16
+PRINTS = pa.list_(pa.struct([("hash", pa.int64()), ("kind", pa.int32()), ("place", pa.int32()), ("near", pa.list_(pa.binary())), ("at", pa.int32())]))
 CACHE_WORDS = 100_000
 
 # A-Z to a-z; every other ASCII character that is no letter or digit to a blank
@@ -110,25 +112,32 @@ def item_fingerprints(benchmark: DataFrame) -> DataFrame:
     return stage(items.mapInPandas(make, schema).distinct(), "items")
 
 
+OUTPUTS = ("n_words", "spans", "items", "n_hit", "n_items", "contaminated")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per document: ``keep`` columns, n_words, spans, items, n_hit, n_items, contaminated.
 
     spans are the merged ranges of hit words, ``[start, end)``; items the ids of items with an occurring window, in
     string order. Null and empty texts have no words and no hits. Items with a null id or no words take no part;
-    rows that repeat an item id add their windows to it. Repeated documents are each reported.
+    rows that repeat an item id add their windows to it. Repeated documents are each reported, very long ones are read
+    whole, ids of any size and null go through unchanged, and an empty table gives no rows. Columns in ``keep`` may have any
+    name but those of the results, which are left out: pass such columns inside a struct.
     """
-    cols = keep or ["doc_id"]
+    cols = [c for c in keep or ["doc_id"] if c not in OUTPUTS]
     prints = item_fingerprints(benchmark)
     lengths = tuple(sorted(r["kind"] for r in prints.where("kind > 0").select("kind").distinct().collect()))  # at most WINDOW - 1
     # a bitmap of fixed size keeps hashes that no item has out of the shuffle
     shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(prints, "hash"))
-    fields = docs.select(*cols).schema
+    # The kept columns are one struct until the end, so their names meet no other, and stay in Arrow.
+    doc = F.struct(*cols).alias("_doc")
+    doc_type = docs.select(doc).schema["_doc"].dataType.simpleString()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = WordHashes(), shared.value
         for b in batches:
             counts, found = [], []
-            for text in b["_text"]:
+            for text in b.column("_text").to_pylist():
                 words = words_of(text)
                 counts.append(len(words))
                 rows = []
@@ -145,11 +154,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
                             near, start = _context(words, int(p), length) if kind == 0 else (words[p : p + length], 0)
                             rows.append({"hash": _signed(int(g[p])), "kind": kind, "place": int(p), "near": near, "at": start})
                 found.append(rows)
-            yield b.drop(columns="_text").assign(_words=counts, _prints=found)
+            yield pa.RecordBatch.from_arrays([b.column("_doc"), pa.array(counts, pa.int64()), pa.array(found, PRINTS)], ["_doc", "_words", "_prints"])
 
     kind = "array<struct<hash:long,kind:int,place:int,near:array<binary>,at:int>>"
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    scanned = docs.select(*cols, F.col("text").alias("_text")).mapInPandas(scan, f"{names}, _words long, _prints {kind}")
+    scanned = docs.select(doc, F.col("text").alias("_text")).mapInArrow(scan, f"_doc {doc_type}, _words long, _prints {kind}")
     scanned = stage(scanned.withColumn("_row", F.monotonically_increasing_id()), "scanned")
 
     asked = scanned.select("_row", F.explode("_prints").alias("p")).select("_row", "p.*").withColumn("salt", F.pmod(F.xxhash64("_row", "place"), F.lit(SALTS)))
@@ -196,5 +204,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     )
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))
-    out = scanned.join(found, "_row", "left").select(*cols, F.col("_words").alias("n_words"), spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = scanned.join(found, "_row", "left").select(*[F.col("_doc").getField(c).alias(c) for c in cols], F.col("_words").alias("n_words"), spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
