@@ -12,33 +12,46 @@ from tonemill.llm.common import shared_dir, table
 from tonemill.llm.queries import token_digest, tokenizer_definition
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows as one struct beside what the operators read, so that no column of theirs meets one of the documents'."""
+    return docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier accepts."""
+    """Documents the quality classifier accepts.
+
+    Null and empty texts are judged by their features, which are all zero; equal texts fare alike; ids do not matter.
+    """
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, docs.columns).where("predicted = 1").select(docs.columns)
+    return quality.score_quality(packed(docs), model, ["_doc"]).where("predicted = 1").select("_doc.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the toxicity classifier does not reject."""
+    """Documents the toxicity classifier does not reject; null and empty texts stay; equal texts fare alike."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, docs.columns).where("predicted = 0").select(docs.columns)
+    return toxicity.score_toxicity(packed(docs), model, ["_doc"]).where("predicted = 0").select("_doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates; documents without words all stay."""
+    """The document with the smallest id of every group of near duplicates.
+
+    Documents without words all stay, and so do rows with a null id, which nothing can tell apart. Rows that share the
+    smallest id of their group all stay.
+    """
     classes = jaccard.jaccard_components(docs)
     kept = classes.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = packed(docs).select("_doc", F.col("doc_id").alias("_id"))
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi").select("_doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
-    found = winnow.find_contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    """Documents in which no benchmark window occurs; null and empty texts hold none, and equal texts fare alike."""
+    found = winnow.find_contamination(packed(docs), table(spark, sf_dir, "benchmark"), ["_doc"])
+    return found.where(~F.col("contaminated")).select("_doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its id, number of tokens, and digests of token ids and decoded text."""
+    """Per document its id, number of tokens, and digests of token ids and decoded text; null and empty texts have none."""
     return token_digest(bpe.encode_documents(docs, tokenizer_definition()))
 
 
