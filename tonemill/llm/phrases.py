@@ -2,9 +2,10 @@
 
 A shard is what one task holds of the texts, at most ``SHARD_BYTES``. Pass one mines every shard completely, length by
 length, at the support lowered to the shard's share of the language's bytes: shares add up to one, so a phrase that is
-frequent over all is frequent in one shard at least. The union of what is frequent somewhere travels as a bitmap of
-fixed size. Pass two counts, in every shard, all phrases whose bit is set, and Spark adds the counts up: they are exact,
-and a phrase whose bit is set by chance is counted just as exactly and then dropped for its support.
+frequent over all is frequent in one shard at least. Where it is not reported it has less than the local support, which
+bounds its count over all from above; the union keeps the phrases whose bound reaches the support, and travels as a
+bitmap of fixed size. Pass two counts, in every shard, all phrases whose bit is set, and Spark adds the counts up: they
+are exact, and a phrase whose bit is set by chance is counted just as exactly and then dropped for its support.
 
 Words become numbers and a phrase of k words the number of its first k - 1 words with its last word, so nothing is
 compared by hash. No key holds a language: one language with most of the text is spread like the others.
@@ -13,10 +14,13 @@ compared by hash. No key holds a language: one language with most of the text is
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,9 @@ LONGEST = 5
 SUPPORT = 100
 TOP = 2000
 SHARD_BYTES = 48 << 20  # of text; bounds a task's memory
+# Local support is lowered to this part of the proportional one: shards report more, and the bound gets closer.
+LOWERED = 0.5
+BUCKET_BYTES = 4 << 20  # of text for each bucket of reported phrases
 CANDIDATE_BITS = 1 << 26
 NO_LANG = "und"
 
@@ -123,46 +130,118 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
 
 
 def local_support(support: int, part: int, whole: int) -> int:
-    """The least count that a shard with ``part`` of ``whole`` bytes has to report."""
-    return max(1, -(-support * part // max(1, whole)))
+    """The least count that a shard with ``part`` of ``whole`` bytes reports, at most its share of the support."""
+    return max(1, ceil(Fraction(support * part, max(1, whole)) * Fraction(LOWERED)))
 
 
-def phrase_counts(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``(lang, phrase, words, f)`` of all phrases of 1 to 5 words with ``f >= support``, and ``(lang, null, 0, n)``.
+TOTAL = -1  # the bucket of the numbers of words
 
-    ``n`` is the number of word occurrences of the language. All counts are exact.
+
+def bucket_count(sizes: dict[str, int]) -> int:
+    return max(1, -(-sum(b or 0 for b in sizes.values()) // BUCKET_BYTES))
+
+
+def dealt(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets with the places of their hashes."""
+    bucket = (h >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if edge[b] < edge[b + 1]:
+            yield b, order[edge[b] : edge[b + 1]]
+
+
+def _packed(lang: str, bucket: int, texts: list[str], counts: np.ndarray) -> pa.RecordBatch:
+    """Phrases of a shard and bucket as one row; no phrase holds a line end."""
+    blob = zstandard.compress("\n".join(texts).encode(), 1)
+    values = [pa.array([lang]), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([counts.astype(np.int64).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(values, ["lang", "bucket", "phrases", "counts"])
+
+
+def candidates(rows: DataFrame, support: int, sizes: dict[str, int]) -> DataFrame:
+    """``h``: hashes of phrases whose count may reach ``support``.
+
+    A shard reports a phrase of count c by c less what a phrase it does not report can have at most, and for every
+    language the sum of those maxima; what is reported over all shards then has to reach the support less that sum.
     """
-    rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
-    sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    buckets = bucket_count(sizes)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             for lang in shard.texts:
                 least = local_support(support, shard.bytes[lang], sizes.get(lang) or 0)
-                found = [h for _, _, h in shard.phrases(lang, lambda _, n: n >= least)]  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+                found = [(h, n) for _, n, h in shard.phrases(lang, lambda _, n: n >= least)]  # noqa: B023
+                h, n = (np.concatenate(c) for c in zip(*found))
+                bucket = (h >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                h, n, bucket = h[order], np.minimum(n[order] - (least - 1), support).astype(np.int32), bucket[order]
+                edge = np.searchsorted(bucket, np.arange(buckets + 1))
+                for b in range(buckets):  # every bucket hears of the shard, also of one that reports nothing
+                    part = slice(edge[b], edge[b + 1])
+                    values = [pa.array([lang]), pa.array([b], pa.int32()), pa.array([least - 1]), *[pa.array([a[part].tobytes()], pa.binary()) for a in (h, n)]]
+                    yield pa.RecordBatch.from_arrays(values, ["lang", "bucket", "hidden", "h", "over"])
+
+    def union(table: pa.Table) -> pa.Table:
+        need = support - sum(table.column("hidden").to_pylist())
+        h, over = (np.concatenate([np.frombuffer(v, t) for v in table.column(c).to_pylist()]) for c, t in (("h", np.uint64), ("over", np.int32)))
+        order = np.argsort(h)
+        h, over = h[order], over[order]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        total = np.add.reduceat(over, start) if len(h) else over
+        return pa.table({"h": h[start][total >= need].view(np.int64)})
+
+    reported = rows.mapInArrow(mine, "lang string, bucket int, hidden long, h binary, over binary")
+    return reported.groupBy("lang", "bucket").applyInArrow(union, "h long")
+
+
+def phrase_counts(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``(lang, phrase, words, f)`` of all phrases of 1 to 5 words with ``f >= support``, and ``(lang, null, 0, n)``.
+
+    ``n`` is the number of word occurrences of the language. All counts are exact.
+    """
+    rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
+    sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
 
     with small_batches(docs.sparkSession):
-        bits = key_bitmap(rows.mapInArrow(mine, "h long"), F.col("h"), CANDIDATE_BITS)
+        bits = key_bitmap(candidates(rows, support, sizes), F.col("h"), CANDIDATE_BITS)
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
+    buckets = bucket_count(sizes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "phrase", "words", "f"]
         candidate = shipped.value
         for shard in shards(batches):
             for lang in shard.texts:
-                total = int(sum(np.count_nonzero(ids) for ids in shard.texts[lang]))
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([total], pa.int64())], names)
-                for k, (place, n, _) in enumerate(shard.phrases(lang, lambda h, _: in_bitmap(candidate, h)), 1):
-                    for i in range(0, len(place), 50_000):
-                        text = shard.spell(lang, place[i : i + 50_000], k)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(text)), pa.array(text, pa.string()), pa.array([k] * len(text), pa.int32()), pa.array(n[i : i + 50_000])], names
-                        )
-
-    parts = rows.mapInArrow(count, "lang string, phrase string, words int, f long")
-    total = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    counted = stage(total.where(F.col("phrase").isNull() | (F.col("f") >= support)), "phrases")
+                total = sum(np.count_nonzero(ids) for ids in shard.texts[lang])
+                yield _packed(lang, TOTAL, [""], np.array([total], np.int64))
+                found: dict[int, tuple[list[str], list[np.ndarray]]] = {}
+                for k, (place, n, h) in enumerate(shard.phrases(lang, lambda h, _: in_bitmap(candidate, h)), 1):
+                    spelled = shard.spell(lang, place, k)
+                    for b, part in dealt(h, buckets):
+                        texts, counts = found.setdefault(b, ([], []))
+                        texts += [spelled[i] for i in part.tolist()]
+                        counts.append(n[part])
+                for b, (texts, counts) in found.items():
+                    yield _packed(lang, b, texts, np.concatenate(counts))
+
+    def add(table: pa.Table) -> pa.Table:
+        lang, bucket = table.column("lang")[0].as_py(), table.column("bucket")[0].as_py()
+        total: dict[str, int] = {}
+        for texts, counts in zip(table.column("phrases").to_pylist(), table.column("counts").to_pylist()):
+            for phrase, n in zip(zstandard.decompress(texts).decode().split("\n"), np.frombuffer(counts, np.int64).tolist()):
+                total[phrase] = total.get(phrase, 0) + n
+        if bucket == TOTAL:
+            return pa.table({"lang": [lang], "phrase": pa.array([None], pa.string()), "words": pa.array([0], pa.int32()), "f": [total[""]]})
+        kept = [(p, n) for p, n in total.items() if n >= support]
+        texts = [p for p, _ in kept]
+        return pa.table(
+            {
+                "lang": pa.array([lang] * len(kept), pa.string()), "phrase": pa.array(texts, pa.string()),
+                "words": pa.array([p.count(" ") + 1 for p in texts], pa.int32()), "f": pa.array([n for _, n in kept], pa.int64()),
+            }
+        )
+
+    parts = rows.mapInArrow(count, "lang string, bucket int, phrases binary, counts binary")
+    counted = stage(parts.groupBy("lang", "bucket").applyInArrow(add, "lang string, phrase string, words int, f long"), "phrases")
     shipped.unpersist()
     return counted
 
