@@ -358,9 +358,9 @@ def fit_trees(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Trees | None:
     total = pages.count()
     share = min(1.0, fit_pages / max(1, total))
     seeded = pages.select("html", F.xxhash64("page_id", "html", F.lit(23)).alias("seed"))
-    # All pages are read in parallel; the few chosen ones are written and dealt out again.
-    chosen = stage(seeded.where(F.pmod("seed", F.lit(1 << 30)) < int(share * (1 << 30))), "pages").repartition(8, "seed").sortWithinPartitions("seed")
-    nodes = chosen.mapInPandas(training_nodes, "x array<double>, label double").persist()
+    # All pages are read in parallel; only the few chosen ones, written first, go into few tasks.
+    chosen = stage(seeded.where(F.pmod("seed", F.lit(1 << 30)) < int(share * (1 << 30))), "pages")
+    nodes = chosen.coalesce(8).mapInPandas(training_nodes, "x array<double>, label double").persist()
     kinds = nodes.select("label").distinct().count()
     if kinds < 2:
         nodes.unpersist()
