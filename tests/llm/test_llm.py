@@ -261,3 +261,21 @@ def test_pipeline_stages(spark):
         before = spark.createDataFrame(after.collect(), after.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, before, FOLDER).count() == before.count() > 100
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_bpe_keeps_ids_and_takes_repeated_rows(spark):
+    large = 2**60 + 1
+    texts = ["some unusual wordies qzx"] * 300 + ["other"]
+    docs = frame(spark, texts, [large] * 150 + [None] * 150 + [large + 1]).repartition(3)
+    bpe.FREQUENT_WORDS, before = 1, bpe.FREQUENT_WORDS
+    try:
+        rows = bpe.encode_documents(docs, queries.tokenizer_definition(), ["doc_id", "row", "score"]).collect()
+    finally:
+        bpe.FREQUENT_WORDS = before
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted([str(large)] * 150 + ["None"] * 150 + [str(large + 1)])
+    tokenizer = Tokenizer.from_str(queries.tokenizer_definition())
+    for r in rows:
+        text = texts[-1] if r["doc_id"] == large + 1 else texts[0]
+        assert bytes(r["ids"]) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert (r["row"], r["score"]) == ("z", "y")
+    assert bpe.encode_documents(docs.limit(0), queries.tokenizer_definition()).count() == 0

@@ -13,12 +13,15 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from tonemill.llm.common import count_frame, stage
@@ -32,7 +35,8 @@ SLICE = 256  # documents per output batch
 # for them lower-casing is by single characters and no composition happens. Others go through the library's splitter.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ž]*")
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffĀ-ſ"
-_PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+# the pattern's branches start with different characters, so the most frequent one may come first
+_PLAIN_WORDS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
 class WordSplitter:
@@ -97,6 +101,11 @@ def held(call: str, what: str, make):
     return _HELD[call, what]
 
 
+@cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
 def pack(ranks: np.ndarray) -> bytes:
     """Numbers below 2^28 as one to four bytes, seven bits each, frequent words shortest; then compressed."""
     size = 1 + (ranks >= 1 << 7) + (ranks >= 1 << 14) + (ranks >= 1 << 21)
@@ -105,11 +114,11 @@ def pack(ranks: np.ndarray) -> bytes:
     for k in range(4):
         here = size > k
         out[start[here] + k] = (ranks[here] >> (7 * k)) & 127 | np.where(size[here] > k + 1, 128, 0)
-    return zstandard.compress(out.tobytes(), 1)
+    return _codec()[0].compress(out.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    raw = np.frombuffer(_codec()[1].decompress(data), np.uint8)
     last = np.flatnonzero(raw < 128)
     start = np.append(0, last[:-1] + 1) if len(last) else last
     size = last - start + 1
@@ -145,8 +154,10 @@ def distinct_words(docs: DataFrame, definition: str) -> DataFrame:
 def encode_documents(docs: DataFrame, definition: str, keep: list[str] | None = None) -> DataFrame:
     """One row per document: ``keep`` columns, ids (32-bit, little-endian, in text order), decoded.
 
-    definition: the tokenizer file's content. Null and empty texts have no ids and decode to an empty text. Rows are
-    told apart by id and text, so repeated rows are each returned; the columns named in ``keep`` may have any name.
+    definition: the tokenizer file's content. Null and empty texts have no ids and decode to an empty text; very long texts
+    are encoded whole; an empty table gives no rows. Rows are told apart by id and text, so repeated rows are each returned,
+    in time proportional to their number, and ids, null or not, stay as they are. Columns named in ``keep`` may have any
+    name but ``ids`` and ``decoded``: pass such columns inside a struct.
     """
     cols = keep or ["doc_id"]
     words = distinct_words(docs, definition)
@@ -157,71 +168,79 @@ def encode_documents(docs: DataFrame, definition: str, keep: list[str] | None =
     limit = often.num_rows
     call = uuid.uuid4().hex
     rank_of = lambda: {w: k for k, w in enumerate(names.value)}
+    # kept columns travel as one struct that Python only passes on
     rows = docs.select(F.struct(*cols).alias("_doc"), F.xxhash64("doc_id", "text").alias("_u"), F.xxhash64("text", F.lit(3)).alias("_v"), F.col("text").alias("_text"))
+    kept = rows.schema["_doc"]
+
+    def unknown(seen: list[str], known: dict[str, int]) -> list[str]:
+        """Words of a text that are not among the frequent ones, by first place."""
+        return [w for w in dict.fromkeys(seen) if w not in known]
 
-    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = held(call, "ranks", rank_of), splitter(definition).words
         for b in batches:
-            for start in range(0, len(b), SLICE):
-                part = b.iloc[start : start + SLICE]
-                found = [list(dict.fromkeys(w for w in split(t) if w not in known)) for t in part["_text"]]
+            for start in range(0, b.num_rows, SLICE):
+                part = b.slice(start, SLICE)
+                found = [unknown(split(t), known) for t in part["_text"].to_pylist()]
                 size = [len(f) for f in found]
-                yield pd.DataFrame(
-                    {
-                        "_u": np.repeat(part["_u"].to_numpy(), size),
-                        "_v": np.repeat(part["_v"].to_numpy(), size),
-                        "_at": np.concatenate([np.arange(n) for n in size]),
-                        "word": pd.Series([w for f in found for w in f], dtype=object),
-                    }
-                )
-
-    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                columns = {
+                    "_u": np.repeat(part["_u"].to_numpy(), size),
+                    "_v": np.repeat(part["_v"].to_numpy(), size),
+                    "_at": np.concatenate([np.arange(n, dtype=np.int32) for n in size]),
+                    "word": pa.array([w for f in found for w in f], pa.string()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = held(call, "ranks", rank_of), splitter(definition).words
         for b in batches:
-            out = []
-            for t in b["_text"]:
-                seen = split(t)
-                at = [known.get(w, -1) for w in seen]
-                own: dict[str, int] = {}
-                for i, r in enumerate(at):
-                    if r < 0:
-                        at[i] = limit + own.setdefault(seen[i], len(own))
-                out.append(pack(np.array(at, np.int64)))
-            yield b.drop(columns="_text").assign(_packed=out)
-
-    asked = rows.select("_u", "_v", "_text").mapInPandas(rare_words, "_u long, _v long, _at int, word string")
-    answers = asked.join(words.select("word", "ids"), "word").groupBy("_u", "_v").agg(F.collect_list(F.struct("_at", "ids")).alias("_rare"))
-    # documents that repeat id and text ask twice for the same words; equal answers do no harm
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema)
-    flat = rows.select(*[F.col("_doc")[c].alias(c) for c in cols], "_u", "_v", "_text")
-    packed = flat.mapInPandas(ranks, f"{fields}, _u long, _v long, _packed binary")
-
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for start in range(0, b.num_rows, SLICE):
+                part, out = b.slice(start, SLICE), []
+                for t in part["_text"].to_pylist():
+                    seen = split(t)
+                    at = np.fromiter(map(known.get, seen, repeat(-1)), np.int64, len(seen))
+                    missing = np.flatnonzero(at < 0).tolist()
+                    if missing:
+                        own = {w: limit + k for k, w in enumerate(dict.fromkeys(seen[i] for i in missing))}
+                        at[missing] = [own[seen[i]] for i in missing]
+                    out.append(pack(at))
+                yield pa.RecordBatch.from_arrays([part["_doc"], part["_u"], part["_v"], pa.array(out, pa.binary())], names=["_doc", "_u", "_v", "_packed"])
+
+    asked = rows.select("_u", "_v", "_text").mapInArrow(rare_words, "_u long, _v long, _at int, word string")
+    # documents that repeat id and text ask for the same words: their answers are one
+    answers = asked.join(words.select("word", "ids"), "word").groupBy("_u", "_v").agg(F.collect_set(F.struct("_at", "ids")).alias("_rare"))
+    packed = rows.mapInArrow(ranks, StructType([kept, StructField("_u", LongType()), StructField("_v", LongType()), StructField("_packed", BinaryType())]))
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = splitter(definition).pieces()
-        ids = encoded.value
-        text = held(call, "text", lambda: [None] * len(ids))
+        ids = held(call, "ids", lambda: list(encoded.value))
+        text = held(call, "text", lambda: [None] * limit)
 
         def decoded(data: bytes) -> str:
-            return " ".join(pieces[i] for i in np.frombuffer(data, "<u4"))
+            return " ".join([pieces[i] for i in np.frombuffer(data, "<u4").tolist()])
 
         for b in batches:
-            for start in range(0, len(b), SLICE):
-                part = b.iloc[start : start + SLICE]
-                out, clear = [], []
-                for data, rare in zip(part["_packed"], part["_rare"]):
-                    own = {} if rare is None else {r["_at"] + limit: r["ids"] for r in rare}
-                    at = unpack(data).tolist()
-                    out.append(b"".join([ids[r] if r < limit else own[r] for r in at]))
-                    said = []
-                    for r in at:
-                        if r < limit:
-                            if text[r] is None:
-                                text[r] = decoded(ids[r])
-                            said.append(text[r])
-                        else:
-                            said.append(decoded(own[r]))
-                    clear.append(" ".join(s for s in said if s))
-                yield part[list(cols)].assign(ids=out, decoded=clear)
-
-    joined = packed.join(answers, ["_u", "_v"], "left").select(*cols, "_packed", "_rare")
-    return joined.mapInPandas(put_together, f"{fields}, ids binary, decoded string")
+            for start in range(0, b.num_rows, SLICE):
+                part, out, clear = b.slice(start, SLICE), [], []
+                rare = part["_rare"]
+                size = rare.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                end = np.cumsum(size)
+                flat = rare.flatten()
+                places, answered = flat.field("_at").to_numpy(), flat.field("ids").to_pylist()
+                for data, n, stop in zip(part["_packed"].to_pylist(), size.tolist(), end.tolist()):
+                    # the document's own words take the places behind the frequent ones
+                    own = [answered[k] for k in (np.argsort(places[stop - n : stop]) + stop - n).tolist()]
+                    ids[limit:] = own
+                    text[limit:] = [decoded(i) for i in own]
+                    at = unpack(data)
+                    for r in np.unique(at).tolist():
+                        if text[r] is None:
+                            text[r] = decoded(ids[r])
+                    at = at.tolist()
+                    out.append(b"".join(map(ids.__getitem__, at)))
+                    clear.append(" ".join(filter(None, map(text.__getitem__, at))))
+                yield pa.RecordBatch.from_arrays([part["_doc"], pa.array(out, pa.binary()), pa.array(clear, pa.string())], names=["_doc", "ids", "decoded"])
+
+    joined = packed.join(answers, ["_u", "_v"], "left").select("_doc", "_packed", "_rare")
+    done = joined.mapInArrow(put_together, StructType([kept, StructField("ids", BinaryType()), StructField("decoded", StringType())]))
+    return done.select(*[F.col("_doc")[c].alias(c) for c in cols], "ids", "decoded")
