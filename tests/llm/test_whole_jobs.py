@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+from itertools import product
 
 import numpy as np
 import pytest
@@ -70,4 +71,46 @@ def test_all_that_the_channel_can_change_is_decoded(spark):
     }
     assert {raw: toxicity.restore(raw, model) for raw in cases} == cases
     for text in ("s c u m.", '"s c u m"', "s\nc\nu\nm", "s  c  u  m", "s\u3000c u m!", "the s c u m the"):
-        assert "scum" in toxicity.tokens(text, model, {}), text
+        assert "scum" in toxicity.Restorer(model).found(text), text
+
+
+def every_path(columns, model):
+    """The best clear text of a lattice by trying every path."""
+    best = (-np.inf, "")
+    for choice in product(*columns, [(" ", 0.0)]):
+        a = b = 0
+        total = sum(cost for _, cost in choice)
+        for piece, _ in choice:
+            for k in toxicity._classes(piece):
+                if b or k:
+                    total += float(model[a, b, k])
+                    a, b = b, k
+        best = max(best, (total, "".join(piece for piece, _ in choice).strip()))
+    return best
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(4)
+    model = np.log(rng.dirichlet(np.ones(toxicity.ALPHABET), (toxicity.ALPHABET, toxicity.ALPHABET))).astype(np.float32)
+    for _ in range(150):
+        token = "".join(rng.choice(list("abé01@$!.-*tt"), rng.integers(1, 8)))
+        columns = toxicity.lattice(token)
+        assert toxicity.best_path(columns, model) == every_path(columns, model)[1], token
+
+
+def test_one_path_tokens_are_not_decoded():
+    model = np.zeros((toxicity.ALPHABET,) * 3, np.float32)
+    cases = {"word": "word", "(word),": "word", "été…": "été", "...": "", "12": "12", "": "", "a": "a"}
+    assert {raw: toxicity.restore(raw, model) for raw in cases} == cases
+
+
+def test_toxicity_of_awkward_rows(spark):
+    weights = {"=" + "idiot": 9.0}
+    characters = np.log(np.full((toxicity.ALPHABET,) * 3, 1 / toxicity.ALPHABET)).astype(np.float32)
+    model = toxicity.ToxicityModel(characters, weights, -5.0)
+    texts = [None, "", " \n", "idiot", "x idiot " * 20_000, "i d i o t", "i\nd\ni\no\nt", "fine words", "idiot"]
+    docs = spark.createDataFrame([(None if k == 8 else k, t, "a", "b") for k, t in enumerate(texts)], "doc_id long, text string, score string, held_out string")
+    rows = toxicity.score_toxicity(docs, model).collect()
+    assert {r["doc_id"]: r["predicted"] for r in rows} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0, None: 1}
+    assert not [r for r in rows if r["doc_id"] is None][0]["held_out"]
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0

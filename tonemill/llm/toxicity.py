@@ -9,8 +9,9 @@ may be look-alikes or outer punctuation: both are paths, and the character model
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,11 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((tri + 5 * two[None]) / (tri.sum(2, keepdims=True) + 5)).astype(np.float32)
 
 
+_RUN = re.compile(r"(.)\1*", re.S)
+_TWICE = re.compile(r"(.)\1", re.S)
+
+
+@lru_cache(4096)
 def _classes(piece: str) -> tuple[int, ...]:
     return tuple(int(k) for k in _CLASS[list(piece.encode("utf-8", "replace"))])
 
@@ -70,7 +76,7 @@ def _classes(piece: str) -> tuple[int, ...]:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For every run of equal characters the strings it may stand for, with their channel log-probability."""
     columns: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
+    for m in _RUN.finditer(token):
         c, n = m[1], len(m[0])
         if c.isalpha():
             options = [(c, 0.0)] if n == 1 else [(c + c, 0.0)] if n == 2 else [(c, COLLAPSED), (c + c, COLLAPSED)]
@@ -89,19 +95,22 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def best_path(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """The most likely clear text of a lattice; kept separators come out as blanks."""
-    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    value = model.item
+    # a state is the last two classes, as one number
+    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
     for options in [*columns, [(" ", 0.0)]]:
-        following: dict[tuple[int, int], tuple[float, tuple]] = {}
+        following: dict[int, tuple[float, tuple]] = {}
         for piece, cost in options:
             codes = _classes(piece)
-            for (a, b), (score, path) in states.items():
+            for state, (score, path) in states.items():
                 total = score + cost
                 for k in codes:
+                    b = state % ALPHABET
                     if b or k:  # a blank after a blank says nothing
-                        total += float(model[a, b, k])
-                        a, b = b, k
-                if (a, b) not in following or total > following[a, b][0]:
-                    following[a, b] = (total, (path, piece) if piece else path)
+                        total += value(state * ALPHABET + k)
+                        state = b * ALPHABET + k
+                if state not in following or total > following[state][0]:
+                    following[state] = (total, (path, piece) if piece else path)
         states = following
     path, out = max(states.values(), key=lambda s: s[0])[1], []
     while path:
@@ -123,7 +132,7 @@ ODD_BEFORE, ODD_BEHIND = "!|+$", "#|+$("
 def edge_lattice(piece: str, odd: str) -> list[list[tuple[str, float]]]:
     """For every run of equal characters around a word: nothing, or the letters it may stand for."""
     columns: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"(.)\1*", piece, re.S):
+    for m in _RUN.finditer(piece):
         c, n = m[1], len(m[0])
         options = [("", KEPT * min(n, 2) if c in odd else 0.0)]
         for letter in LOOKALIKE.get(c, ""):
@@ -136,10 +145,14 @@ def edge_lattice(piece: str, odd: str) -> list[list[tuple[str, float]]]:
 
 def restore(token: str, model: np.ndarray) -> str:
     """Restoration of one lower-case token: its lattice is decoded if it has more than one path."""
+    if token.isalpha() and not _TWICE.search(token):
+        return token  # letters that differ from their neighbours: one path
     core = token.strip(EDGE)
     if not any(c.isalpha() for c in core):
         return core
     start = token.index(core)
+    if core.isalpha() and not _TWICE.search(core) and LOOKALIKE.keys().isdisjoint(token[:start] + token[start + len(core) :]):
+        return core
     before, behind = edge_lattice(token[:start], ODD_BEFORE), edge_lattice(token[start + len(core) :], ODD_BEHIND)
     columns = [*before, *lattice(core), *behind]
     if all(len(options) == 1 for options in columns):
@@ -153,38 +166,55 @@ def spaced_piece(token: str) -> str | None:
     return core if core == core[0] * len(core) else None
 
 
-def spaced_runs(words: list[str]) -> Iterator[list[str]]:
-    """Three or more such pieces in a row, whatever white space parts them."""
-    run: list[str] = []
-    for w in words:
+class Restorer:
+    """What is found in the restored words of texts: the words themselves, or what ``of`` makes of each.
+
+    Every different token is restored once while it is remembered; tokens in which nothing is found cost one look-up.
+    """
+
+    def __init__(self, model: np.ndarray, of: Callable[[str], Iterable[str]] | None = None):
+        self.model, self.of = model, of or (lambda word: (word,))
+        self.tokens: dict[str, tuple[tuple[str, ...], str | None] | None] = {}
+
+    def items(self, clear: str) -> tuple[str, ...]:
+        return tuple(i for w in clear.split() for i in self.of(w))
+
+    def learn(self, raw: str) -> tuple[tuple[str, ...], str | None] | None:
+        """Items of a token and its piece of a spaced run; None without either."""
+        if len(self.tokens) > CACHE_WORDS:
+            self.tokens.clear()
         # most words have two different letters in front and need no closer look
-        piece = None if len(w) > 1 and w[0] != w[1] and w[0].isalpha() and w[1].isalpha() else spaced_piece(w)
-        if piece is not None:
-            run.append(piece)
-            continue
-        if len(run) > 2:
-            yield run
-        run = []
-    if len(run) > 2:
-        yield run
-
-
-def tokens(text: str | None, model: np.ndarray, cache: dict[str, tuple[str, ...]]) -> set[str]:
-    """Distinct restored words of one whole text."""
-    low = (text or "").lower()
-    found: set[str] = set()
-    words = low.split()
-    for run in spaced_runs(words):
-        if any(c.isalpha() for piece in run for c in piece):
-            found.update(viterbi(" ".join(run), model).split())
-    for raw in set(words):
-        known = cache.get(raw)
-        if known is None:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            known = cache[raw] = tuple(restore(raw, model).split())
-        found.update(known)
-    return found
+        piece = None if len(raw) > 1 and raw[0] != raw[1] and raw[0].isalpha() and raw[1].isalpha() else spaced_piece(raw)
+        items = self.items(restore(raw, self.model))
+        self.tokens[raw] = entry = (items, piece) if items or piece is not None else None
+        return entry
+
+    def run(self, pieces: list[str], found: set[str]) -> None:
+        """Three or more pieces in a row, whatever white space parts them, are one word or several."""
+        if len(pieces) > 2 and any(c.isalpha() for piece in pieces for c in piece):
+            found.update(self.items(viterbi(" ".join(pieces), self.model)))
+
+    def found(self, text: str | None) -> set[str]:
+        """Distinct items of one whole text."""
+        found: set[str] = set()
+        pieces: list[str] = []
+        tokens = self.tokens
+        for raw in (text or "").lower().split():
+            entry = tokens[raw] if raw in tokens else self.learn(raw)
+            if entry is None:
+                if pieces:
+                    self.run(pieces, found)
+                    pieces = []
+                continue
+            items, piece = entry
+            found.update(items)
+            if piece is not None:
+                pieces.append(piece)
+            elif pieces:
+                self.run(pieces, found)
+                pieces = []
+        self.run(pieces, found)
+        return found
 
 
 def word_features(word: str) -> list[str]:
@@ -198,19 +228,14 @@ class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -5.0
 
-    def score(self, texts: list[str | None], cache: dict[str, tuple[str, ...]], hits: dict[str, tuple[str, ...]]) -> list[float]:
+    def restorer(self) -> Restorer:
+        """Finds a text's features that have a weight."""
+        return Restorer(self.characters, lambda word: [f for f in word_features(word) if f in self.weights])
+
+    def score(self, texts: list[str | None], restorer: Restorer) -> list[float]:
         out = []
         for text in texts:
-            found: set[str] = set()
-            for w in tokens(text, self.characters, cache):
-                h = hits.get(w)
-                if h is None:
-                    if len(hits) > CACHE_WORDS:
-                        hits.clear()
-                    h = hits[w] = tuple(f for f in word_features(w) if f in self.weights)
-                if h:
-                    found.update(h)
-            z = self.bias + sum(self.weights[f] for f in sorted(found))
+            z = self.bias + sum(self.weights[f] for f in sorted(restorer.found(text)))
             out.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
         return out
 
@@ -240,9 +265,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     sample = labelled_sample(docs, labels, "toxic", 3, 1, fit_rows)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, tuple[str, ...]] = {}
+        restorer = Restorer(characters, word_features)
         for b in batches:
-            found = [sorted({f for w in tokens(t, characters, cache) for f in word_features(w)}) for t in b["text"]]
+            found = [sorted(restorer.found(t)) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "f": found})
 
     rows = sample.dropDuplicates(["text", "y"]).mapInPandas(features, "doc_id long, y int, f array<string>").persist()
@@ -286,10 +311,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, tuple[str, ...]] = {}
-        hits: dict[str, tuple[str, ...]] = {}
+        restorer = shared.value.restorer()
         for t in texts:
-            yield pd.Series(shared.value.score(list(t), cache, hits), dtype=float)
+            yield pd.Series(shared.value.score(list(t), restorer), dtype=float)
 
     held_out = in_remainder("doc_id", 3, 1).alias("held_out")
     scored = docs.select(*[c for c in cols if c not in OUTPUTS], held_out, score("text").alias("score"))
@@ -301,9 +325,9 @@ def restore_text(docs: DataFrame, characters: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def restored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, tuple[str, ...]] = {}
+        restorer = Restorer(characters)
         for t in texts:
-            yield pd.Series([sorted(tokens(v, characters, cache)) for v in t], dtype=object)
+            yield pd.Series([sorted(restorer.found(v)) for v in t], dtype=object)
 
     return docs.select("doc_id", restored("text").alias("words"))
 
