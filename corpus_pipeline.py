@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonemill.llm import bpe, jaccard, quality, toxicity, winnow
 from tonemill.llm.common import shared_dir, table
+from tonemill.llm.common import stage as stage_table
 from tonemill.llm.queries import token_digest, tokenizer_definition
 
 
@@ -33,15 +34,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates.
+    """One document of every group of near duplicates: the one with the smallest id, null ids last.
 
-    Documents without words all stay, and so do rows with a null id, which nothing can tell apart. Rows that share the
-    smallest id of their group all stay.
+    Rows are told apart by a stored row number, so of rows that repeat an id or have none one stays in each group, too.
+    Documents without words are near duplicates of nothing: all stay.
     """
-    classes = jaccard.jaccard_components(docs)
-    kept = classes.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    rows = packed(docs).select("_doc", F.col("doc_id").alias("_id"))
-    return rows.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi").select("_doc.*")
+    numbered = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("doc_id"), "text")
+    numbered = stage_table(numbered, "numbered")
+    classes = jaccard.jaccard_components(numbered)
+    ids = numbered.select("doc_id", F.col("_doc")["doc_id"].alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", F.col("doc_id").alias("row")))
+    kept = classes.join(ids, "doc_id").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("doc_id"))
+    return numbered.join(kept, "doc_id", "left_semi").select("_doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
