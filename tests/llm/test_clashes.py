@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_llm import FOLDER
-from tonemill.llm import quality, toxicity, winnow
+from tonemill.llm import brown, jaccard, quality, toxicity, winnow
 from tonemill.llm.common import table
 
 BIG = (1 << 60) + 1
@@ -54,3 +54,20 @@ def test_operators_with_clashing_columns(spark):
         assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) and r["_row"] == "own _row" for r in rows)
         by_text = {}
         assert all(by_text.setdefault(r["text"], r["score"]) == r["score"] for r in rows)
+
+
+def test_ids_keep_their_digits_beside_nulls(spark):
+    docs = awkward(spark)
+    ids = sorted(str(r["doc_id"]) for r in docs.collect())
+    classes = jaccard.jaccard_components(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in classes) == ids
+    assert {str(r["component_id"]) for r in classes} <= set(ids)
+    assert sorted(str(r["doc_id"]) for r in brown.score_brown(docs).collect()) == ids
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    same, near = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y 9"
+    rows = [(BIG, same), (BIG, same), (None, same), (BIG + 1, near), (None, "one two three"), (None, "one two three"), (None, None), (None, None), (3, ""), (BIG, "quite another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(BIG, same), (None, "one two three"), (None, None), (None, None), (3, ""), (BIG, "quite another text")]))

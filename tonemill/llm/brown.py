@@ -514,7 +514,8 @@ def score_brown(docs: DataFrame) -> DataFrame:
     empty text is its end alone. Repeated rows are scored, and learnt from, each for itself. An empty table gives no
     rows; without training documents every word is unseen. Extra columns are left out.
     """
-    marked = docs.select("doc_id", "text", in_remainder("doc_id", 10, 0).alias("held_out"))
+    # ids go through Python as text: numbers beside nulls would become floating point and lose digits
+    marked = docs.select(F.col("doc_id").cast("string"), "text", in_remainder("doc_id", 10, 0).alias("held_out"))
     training = marked.where(~F.col("held_out"))
     counts = stage(count_words(training), "words")
     model, v, classes, rare_words = fit_brown(training, counts)
@@ -557,7 +558,7 @@ def score_brown(docs: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score", "rare", "beside"])
             yield pd.concat([b[["doc_id", "held_out"]].reset_index(drop=True), frame], axis=1)
 
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, beside array<int>"
+    kind = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, beside array<int>"
     scored = stage(marked.mapInPandas(first, kind).withColumn("row", F.monotonically_increasing_id()), "scored")
     # classes and counts of a text's rare words, in their order in the text
     asked = scored.select("row", F.posexplode("rare").alias("i", "word")).join(rare_words, "word", "left")
@@ -588,7 +589,7 @@ def score_brown(docs: DataFrame) -> DataFrame:
     more = scored.select("row", "beside").join(lists, "row").select("row", rest("beside", "x.n", "x.k").alias("p")).select("row", F.col("p.known").alias("known"), F.col("p.base").alias("base"), F.col("p.score").alias("more"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return scored.join(more, "row", "left").select(
-        "doc_id",
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType),
         "held_out",
         "n_tokens",
         (F.col("n_known") + zero(F.col("known"))).alias("n_known"),

@@ -19,8 +19,10 @@ FIT_ROWS = 12_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder below the warehouse where the cluster names none (tests)."""
+    """The folder all executors share; a local session that names none (tests) takes one below its warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/llm-shared").rstrip("/")
 
 

@@ -119,8 +119,10 @@ def describe_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 frame["set_key"] = pd.array([None if r[2] is None else int(r[2]) for r in rows], dtype="Int64")
                 yield frame
 
-    kind = "doc_id long, n long, set_key long, bits array<long>, wide array<long>, prefix array<long>"
-    return docs.select("doc_id", "text").mapInPandas(describe, kind)
+    # ids go through Python as text: numbers beside nulls would become floating point and lose digits
+    kind = "doc_id string, n long, set_key long, bits array<long>, wide array<long>, prefix array<long>"
+    described = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(describe, kind)
+    return described.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def may_link(n1: str, n2: str, differing: Column) -> Column:
@@ -250,7 +252,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable by links. Null and empty texts have no shingles and link with
     nothing, not even each other. Repeated rows and rows with a null id stay; a null id is never a component's id
-    unless nothing else is in it. Extra columns are left out.
+    unless nothing else is in it. Very long texts are read whole; an empty table gives no rows. Extra columns are left out.
     """
     rows = docs.select("doc_id", "text")
     described = describe_sets(rows, shingle_counts(rows))
