@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_llm import frame
-from tonemill.llm import brown, html_text, toxicity
+from tonemill.llm import brown, html_text, toxicity, url_lists
 from tonemill.llm.common import stage
 
 
@@ -114,3 +114,15 @@ def test_toxicity_of_awkward_rows(spark):
     assert {r["doc_id"]: r["predicted"] for r in rows} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0, None: 1}
     assert not [r for r in rows if r["doc_id"] is None][0]["held_out"]
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_url_lists_take_odd_days(spark):
+    days = [-(2**31), -40, -1, 0, 5, 31, 32, 400, 400_000, 2**31 - 1, None]
+    entries = spark.createDataFrame([("bad", f"h{k}.org", d, a) for k in range(2000) for d, a in ((-35, "add"), (3, "remove"), (32, "add"))], "list string, key string, day int, action string")
+    captures = [(k, f"http://h{k % 3}.org/", d, "x") for k, d in enumerate(days * 2)] + [(None, None, 5, "x"), (7, "http://h1.org/", 5, None)]
+    frame_ = spark.createDataFrame(captures, "page_id long, url string, day int, lists string")
+    want = sorted((str(p), str(d), "block" if u and d is not None and (-35 <= d < 3 or d >= 32) else "pass") for p, u, d, _ in captures)
+    got = url_lists.filter_captures(frame_, entries).collect()
+    assert sorted((str(r["page_id"]), str(r["day"]), r["verdict"]) for r in got) == want
+    assert url_lists.filter_captures(frame_.limit(0), entries).count() == 0
+    assert {r["verdict"] for r in url_lists.filter_captures(frame_, entries.limit(0)).collect()} == {"pass"}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE_DAYS = 32
+MOST_TILES = 64  # tiles grow beyond this number, so that odd days far away do not multiply open intervals
 ALLOW = "allow"
 
 
@@ -55,19 +56,21 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture ``(page_id, url, day)`` with ``lists`` active for it and ``verdict``.
 
     verdict: ``allow`` if an allow-list entry is active, else ``block`` if any other is, else ``pass``. A null or
-    hostless URL or a null day matches nothing and passes. Repeated captures stay; other columns are left out.
+    hostless URL or a null day matches nothing and passes. Repeated captures stay; other columns are left out. Empty
+    tables give no rows, or captures that pass. An interval is repeated for ``MOST_TILES`` + 1 tiles at most, whatever days occur.
     """
     rows = captures.select("page_id", "url", F.col("day").cast("int").alias("day")).withColumn("_row", F.monotonically_increasing_id())
     spans = validity_intervals(entries)
     days = rows.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
     low, high = (days["a"] or 0), (days["b"] or 0)
+    tile = max(TILE_DAYS, -((low - high - 1) // MOST_TILES))
     tiles = (
         spans.where((F.col("since") <= high) & (F.col("until").isNull() | (F.col("until") > low)))
         .withColumn("_from", F.greatest(F.col("since"), F.lit(low)))
         .withColumn("_to", F.least(F.coalesce(F.col("until") - 1, F.lit(high)), F.lit(high)))
-        .select("list", F.col("key").alias("_key"), "since", "until", F.explode(F.expr(f"sequence(_from div {TILE_DAYS}, _to div {TILE_DAYS})")).alias("_tile"))
+        .select("list", F.col("key").alias("_key"), "since", "until", F.explode(F.expr(f"sequence(_from div {tile}, _to div {tile})")).alias("_tile"))
     )
-    asked = rows.select("*", F.explode_outer(lookup_keys(F.col("url"))).alias("_key"), F.expr(f"day div {TILE_DAYS}").alias("_tile"))
+    asked = rows.select("*", F.explode_outer(lookup_keys(F.col("url"))).alias("_key"), F.expr(f"day div {tile}").alias("_tile"))
     active = (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
     joined = asked.join(tiles, (asked["_key"] == tiles["_key"]) & (asked["_tile"] == tiles["_tile"]) & active, "left")
     found = joined.groupBy("_row").agg(
