@@ -301,3 +301,21 @@ def test_a_broken_writer_is_never_seen(spark, tmp_path):
     # one that broke between its splits and its entry
     spark.range(99).write.parquet(str(tmp_path / "prepared" / "k" / "0000" / "train"))
     assert cache.prepared_set(spark, str(tmp_path), "k", lambda: {"train": spark.range(4)})["train"].count() == 4
+
+
+def test_small_steps_share_a_job_and_large_ones_give_the_same_bits(spark, monkeypatch):
+    _, df = points(spark, 230)
+    _, held = points(spark, 37, seed=5)
+    settings = replace(SETTINGS, batch_size=4, epochs=2, dropout=0.2, accumulate=5)
+    apart, calls = tr.gradient, []
+    monkeypatch.setattr(tr, "gradient", lambda *a: calls.append("step") or apart(*a))
+    slots = tr.train_slot
+    monkeypatch.setattr(tr, "train_slot", lambda *a: calls.append("slot") or slots(*a))
+    whole = tr.fit_layers(df, held, [4, 6, 3], settings)
+    assert calls == ["slot"] * 2  # 19 steps an epoch
+    monkeypatch.setattr(tr, "SLOT_STEPS", 4)  # gradients wait for their update across slots
+    assert same(tr.fit_layers(df.repartition(7), held, [4, 6, 3], settings), whole)
+    assert calls == ["slot"] * 12
+    monkeypatch.setattr(tr, "STEP_ROWS", 11)
+    assert same(tr.fit_layers(df, held, [4, 6, 3], settings), whole)
+    assert calls[12:] == ["step"] * 38

@@ -1,9 +1,11 @@
 """Synchronous data-parallel training of a head on stored vectors, by epochs of mini-batches.
 
 The order of every epoch is a keyed bijection of gapless row numbers, so it needs no sort. Epochs are written ahead to a
-store in which the rows of a step lie together: a step is one job that reads its own rows, every shard of it sends one
-summed gradient, and the driver, which holds the model, updates the weights. Sums of gradients are exact, so a run gives
-the same bits in whatever order tasks come in, and a run resumed from a stored state equals an unbroken one.
+store in which the rows of a step lie together. Small steps follow each other inside a task: a job streams the rows of
+``SLOT_STEPS`` steps, sums the gradient of every shard and hands the weights on to the next job. A step of more than
+``STEP_ROWS`` rows is a job of its own, in which every shard sends one summed gradient and the driver updates the weights.
+Sums of gradients are exact, so a run gives the same bits either way and on whatever tasks, and a run resumed from a
+stored state equals an unbroken one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import json
 import math
 import uuid
 from collections.abc import Iterator, Sequence
+from copy import copy
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,11 @@ from tonemill.sources.manifest import attempt_name, entries, put_entry
 HISTORY_COLUMNS = ("epoch", "train_loss", "val_loss", "accuracy", "precision", "recall", "f1")
 HISTORY_SCHEMA = "epoch int, train_loss double, val_loss double, accuracy double, precision double, recall double, f1 double"
 STATE_SCHEMA = "part string, idx int, value double"
-# Steps whose rows share a folder of the epoch store; inside it they lie in order of their step.
-SLOT_STEPS = 16
+# Steps whose rows share a folder of the epoch store; inside it they lie in order of their step. Small steps of a slot
+# run in one task: a bounded number of rows, however large the table.
+SLOT_STEPS = 128
+# Rows of a step from which its shards are worth a task each: below, a job takes far longer than its gradient.
+STEP_ROWS = 2048
 # Rows multiplied at a time; fixed, so that a shard's sum does not depend on Arrow batches.
 CHUNK_ROWS = 1024
 COARSE, FINE = 2.0**20, 2.0**60
@@ -128,6 +135,7 @@ class EpochStore:
         self.rows = self.spark.read.parquet(f"{folder}/rows")
         self.total = self.rows.count()
         self.steps = steps_of(self.total, settings)
+        self.small = settings.batch_size * settings.shards <= STEP_ROWS
         self.written: DataFrame | None = None
         self.until = 0
 
@@ -142,24 +150,62 @@ class EpochStore:
             (F.col("place") % s.shards).cast("int").alias("shard"),
         ).where(F.col("step") < self.steps).withColumn("slot", F.floor(F.col("step") / SLOT_STEPS).cast("int"))
         path = f"{self.folder}/epochs-{first}"
-        # A shard of a step lies in one file, in order.
-        dealt = rows.repartition("epoch", "step", "shard").sortWithinPartitions("epoch", "slot", "step", "shard", "place")
+        # What a task reads lies in one file, in order: a slot, or a shard of a large step.
+        near = ["slot"] if self.small else ["step", "shard"]
+        dealt = rows.repartition("epoch", *near).sortWithinPartitions("epoch", "slot", "step", "shard", "place")
         dealt.write.partitionBy("epoch", "slot").parquet(path)
         return self.spark.read.parquet(path)
 
-    def step(self, epoch: int, step: int) -> DataFrame:
+    def _epoch(self, epoch: int) -> DataFrame:
         if epoch > self.until or self.written is None:
             self.until = min(self.settings.epochs, epoch + self.settings.epochs_ahead - 1)
             self.written = self._write(epoch, self.until)
-        mine = (F.col("epoch") == epoch) & (F.col("slot") == step // SLOT_STEPS) & (F.col("step") == step)
-        return self.written.where(mine).select("row_id", "vec", "label", "shard")
+        return self.written.where(F.col("epoch") == epoch)
+
+    def slot(self, epoch: int, slot: int) -> DataFrame:
+        """The rows of a slot's steps in order, in one partition."""
+        mine = self._epoch(epoch).where(F.col("slot") == slot).coalesce(1)
+        return mine.sortWithinPartitions("step", "shard", "place").select("row_id", "vec", "label", "step", "shard")
+
+    def step(self, epoch: int, step: int) -> DataFrame:
+        mine = (F.col("slot") == step // SLOT_STEPS) & (F.col("step") == step)
+        return self._epoch(epoch).where(mine).select("row_id", "vec", "label", "shard")
+
+
+def shard_sums(w: np.ndarray, sizes: Sequence[int], x: np.ndarray, y: np.ndarray, ids: np.ndarray, key: int, dropout: float) -> np.ndarray:
+    """Summed gradient and summed loss of a shard's rows."""
+    sums = np.zeros(len(w) + 1)
+    for i in range(0, len(y), CHUNK_ROWS):
+        part = slice(i, i + CHUNK_ROWS)
+        loss, grad = bp.loss_and_gradient(w, sizes, x[part], y[part], ids[part], key, dropout)
+        sums += np.r_[grad, loss]
+    return sums
+
+
+def split_sums(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number as a multiple of 2**-20 and the rest as a multiple of 2**-60: partial sums of both are exact."""
+    coarse = np.rint(sums * COARSE)
+    return coarse, np.rint((sums - coarse / COARSE) * FINE)
+
+
+def joined_sums(split: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient and loss from added ``split_sums``."""
+    half = len(split) // 2
+    sums = split[:half] / COARSE + split[half:] / FINE
+    return sums[:-1], float(sums[-1])
+
+
+def batch_columns(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, labels and ids of an Arrow batch as numpy arrays."""
+    x = batch.column("vec").flatten().to_numpy().astype(float).reshape(batch.num_rows, dims)
+    return x, batch.column("label").to_numpy(), batch.column("row_id").to_numpy()
 
 
 def gradient(rows: DataFrame, params: np.ndarray, sizes: Sequence[int], key: int = 0, dropout: float = 0.0, shards: int = 8) -> tuple[np.ndarray, float, int]:
     """Summed gradient, summed loss and number of ``(row_id, vec, label, shard)`` rows.
 
-    Every number is sent as a multiple of 2**-20 and the rest as a multiple of 2**-60: partial sums of both are exact, so
-    the order of tasks does not show. Columns of Arrow batches go into numpy as they are.
+    Numbers are sent as ``split_sums``, so the order of tasks does not show. Columns of Arrow batches go into numpy as
+    they are.
     """
     shipped = rows.sparkSession.sparkContext.broadcast(params)
     groups = math.isqrt(max(1, shards))
@@ -171,21 +217,13 @@ def gradient(rows: DataFrame, params: np.ndarray, sizes: Sequence[int], key: int
             if not batch.num_rows:
                 continue
             shard = batch.column("shard").to_numpy()
-            x = batch.column("vec").flatten().to_numpy().astype(float).reshape(len(shard), sizes[0])
-            y, ids = batch.column("label").to_numpy(), batch.column("row_id").to_numpy()
+            x, y, ids = batch_columns(batch, sizes[0])
             for s in np.unique(shard):
                 here = shard == s
                 held.setdefault(int(s), []).append((x[here], y[here], ids[here]))
         for s in sorted(held):
             x, y, ids = (np.concatenate(c) for c in zip(*held.pop(s)))
-            sums = np.zeros(len(w) + 1)
-            for i in range(0, len(y), CHUNK_ROWS):
-                part = slice(i, i + CHUNK_ROWS)
-                loss, grad = bp.loss_and_gradient(w, sizes, x[part], y[part], ids[part], key, dropout)
-                sums += np.r_[grad, loss]
-            coarse = np.rint(sums * COARSE)
-            fine = np.rint((sums - coarse / COARSE) * FINE)
-            flat = np.r_[coarse, fine, float(len(y))]
+            flat = np.r_[(*split_sums(shard_sums(w, sizes, x, y, ids, key, dropout)), float(len(y)))]
             yield pa.RecordBatch.from_arrays([pa.array([s % groups], pa.int32()), pa.array([flat], pa.list_(pa.float64()))], ["g", "parts"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -199,9 +237,82 @@ def gradient(rows: DataFrame, params: np.ndarray, sizes: Sequence[int], key: int
     if not len(sums):
         return np.zeros_like(params), 0.0, 0
     s = np.sum([part.values.to_numpy() for part in sums], axis=0)
-    half = len(params) + 1
-    sums = s[:half] / COARSE + s[half:-1] / FINE
-    return sums[:-1], float(sums[-1]), int(s[-1])
+    return *joined_sums(s[:-1]), int(s[-1])
+
+
+def step_batches(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in the order of step and shard, cut where either changes: step, shard, vectors, labels, ids."""
+    held: list[tuple] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        step, shard = batch.column("step").to_numpy(), batch.column("shard").to_numpy()
+        columns = batch_columns(batch, dims)
+        cuts = np.flatnonzero((np.diff(step) != 0) | (np.diff(shard) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(step)]):
+            here = int(step[lo]), int(shard[lo])
+            if held and here != at:
+                yield *at, *(np.concatenate(c) for c in zip(*held))
+                held = []
+            at = here
+            held.append(tuple(c[lo:hi] for c in columns))
+    if held:
+        yield *at, *(np.concatenate(c) for c in zip(*held))
+
+
+class Progress:
+    """Weights and optimizer between steps, the gradient that waits for its update, and the losses of an epoch's steps."""
+
+    def __init__(self, params: np.ndarray, optimizer: AdamW):
+        self.params, self.optimizer = params, optimizer
+        self.pending, self.losses = np.zeros_like(params), []
+
+    def take(self, grad: np.ndarray, loss: float, n: int, last: bool) -> None:
+        """A step's sums over ``n`` rows; ``last`` of its epoch, it is not waited for others."""
+        every = self.optimizer.s.accumulate
+        self.losses.append(loss / n)
+        self.pending += grad / n / every
+        if len(self.losses) % every == 0 or last:
+            self.params = self.optimizer.update(self.params, self.pending)
+            self.pending = np.zeros_like(self.params)
+
+
+def step_key(settings: EpochSettings, epoch: int, step: int) -> int:
+    """The key of a step's dropout."""
+    return ((settings.seed * 1_000_003 + epoch) * 1_000_003 + step) % (1 << 62)
+
+
+def train_slot(rows: DataFrame, progress: Progress, sizes: Sequence[int], epoch: int, steps: int) -> Progress:
+    """The steps of ``EpochStore.slot`` rows, one after another in the task that reads them; ``steps`` are those of the epoch.
+
+    The task holds the rows of one step. Its shards are summed apart and added up as ``gradient`` adds those of many tasks.
+    """
+    context = rows.sparkSession.sparkContext
+    shipped = context.broadcast(progress)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, s = shipped.value, shipped.value.optimizer.s
+        now = Progress(now.params, copy(now.optimizer))
+        now.pending, now.losses = shipped.value.pending.copy(), list(shipped.value.losses)
+        for step, shards in groupby(step_batches(batches, sizes[0]), key=lambda part: part[0]):
+            parts, n = [], 0
+            for _, _, x, y, ids in shards:
+                parts.append(np.r_[split_sums(shard_sums(now.params, sizes, x, y, ids, step_key(s, epoch, step), s.dropout))])
+                n += len(y)
+            now.take(*joined_sums(np.sum(parts, axis=0)), n, step == steps - 1)
+        values = [now.params, now.optimizer.m, now.optimizer.v, now.pending, np.array(now.losses)]
+        yield pa.RecordBatch.from_arrays([pa.array([now.optimizer.t], pa.int64()), *(pa.array([v], pa.list_(pa.float64())) for v in values)], ["t", *names])
+
+    names = ["params", "m", "v", "pending", "losses"]
+    end = rows.mapInArrow(run, ", ".join(["t long", *(f"{n} array<double>" for n in names)])).toArrow()
+    shipped.destroy()
+    values = {n: end[n].combine_chunks().flatten().to_numpy() for n in names}
+    optimizer = copy(progress.optimizer)
+    optimizer.t, optimizer.m, optimizer.v = end["t"][0].as_py(), values["m"], values["v"]
+    out = Progress(values["params"], optimizer)
+    out.pending, out.losses = values["pending"].copy(), values["losses"].tolist()
+    return out
 
 
 def validation_rows(val: DataFrame, batch_size: int, shards: int = 1) -> DataFrame:
@@ -349,15 +460,15 @@ def fit_layers(
             optimizer.t, rule.counter = int(scalars["t"]), int(scalars["rule_counter"])
 
     for epoch in range(done + 1, settings.epochs + 1):
-        losses, pending = [], np.zeros_like(params)
-        for step in range(steps):
-            key = (settings.seed * 1_000_003 + epoch) * 1_000_003 + step
-            grad, loss, n = gradient(store.step(epoch, step), params, sizes, key % (1 << 62), settings.dropout, settings.shards)
-            losses.append(loss / n)
-            pending += grad / n / settings.accumulate
-            if (step + 1) % settings.accumulate == 0 or step == steps - 1:
-                params = optimizer.update(params, pending)
-                pending = np.zeros_like(params)
+        now = Progress(params, optimizer)
+        if store.small:
+            for slot in range(-(-steps // SLOT_STEPS)):
+                now = train_slot(store.slot(epoch, slot), now, sizes, epoch, steps)
+        else:
+            for step in range(steps):
+                sums = gradient(store.step(epoch, step), now.params, sizes, step_key(settings, epoch, step), settings.dropout, settings.shards)
+                now.take(*sums, step == steps - 1)
+        params, optimizer, losses = now.params, now.optimizer, now.losses
         metrics = validate(held, bp.split_layers(params, sizes), sizes[0])
         train_loss = float(np.mean(losses)) if losses else None
         result.history.append((epoch, train_loss, *[metrics[c] for c in HISTORY_COLUMNS[2:]]))
