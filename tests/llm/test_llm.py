@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -228,6 +229,33 @@ def test_classifiers_on_held_out_rows(spark, fit, score, label, remainder):
     assert score(docs.limit(0), fit(docs.limit(0), labels)).count() == 0
 
 
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    n = 13_000
+    text = lambda i: ("Good words in a row here, %d. " if i % 3 else "BAD!! # %d $ ") % (i * 7919 % 1009) * (1 + i % 4)
+    docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    used = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x, y = np.array([quality.text_features(text(i)) for i in used * 2]), np.array([int(i % 3 > 0) for i in used * 2])
+    twice = docs.union(docs)  # 19,000 usable rows, one block or several
+    for rows in (quality.BLOCK_ROWS, 1_000):
+        model = quality.fit_quality(twice, labels, rows)
+        assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0) + 1e-9)
+        raw = ((x - model.mean) / model.scale) @ model.weights
+        assert model.threshold == pytest.approx(np.quantile(raw, (y == 0).mean())) and model.spread == pytest.approx(raw.std() / 4)
+
+
+def test_blocks_of_a_rare_kind(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(900, quality.FEATURES)), (np.arange(900) % 90 == 0).astype(int)
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(900)], "doc_id long, x array<double>, y int")
+    blocks = quality.feature_blocks(rows, {0: 890, 1: 10}, 100)
+    counts = quality.of_blocks(blocks, lambda x, y, own: np.array([len(y), own.sum(), y.sum(), len(set(quality.block_pairs(y)[1]))]))
+    assert len(counts) == 9 and (counts[:, 2] == 10).all() and counts[:, 1].sum() == 900
+    assert counts[:, 3].sum() == 890  # every row of the frequent kind is in a pair
+    for q in (0.0, 0.3, 890 / 900, 1.0):
+        assert quality.block_quantile(blocks, lambda x: np.round(x[:, 0], 1), 900, q) == np.quantile(np.round(x[:, 0], 1), q)
+
+
 PARAGRAPH = "A long paragraph of the story, with several clauses, and a full stop at its end. " * 4
 
 
