@@ -6,8 +6,8 @@ from itertools import product
 import numpy as np
 import pytest
 
-from tests.llm.test_llm import frame
-from tonemill.llm import brown, html_text, toxicity, url_lists
+from tests.llm.test_llm import brute_components, frame
+from tonemill.llm import brown, html_text, jaccard, toxicity, url_lists
 from tonemill.llm.common import stage
 
 
@@ -126,3 +126,27 @@ def test_url_lists_take_odd_days(spark):
     assert sorted((str(r["page_id"]), str(r["day"]), r["verdict"]) for r in got) == want
     assert url_lists.filter_captures(frame_.limit(0), entries).count() == 0
     assert {r["verdict"] for r in url_lists.filter_captures(frame_, entries.limit(0)).collect()} == {"pass"}
+
+
+def test_unlinked_members_of_a_large_group_are_not_all_paired(spark, monkeypatch):
+    # long texts with 150 of about 1,200 shingles of their own: no two are linked, and 512 bits do not tell them apart
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(1200)]
+    texts = []
+    for d in range(100):
+        copy = list(base)
+        for k, at in enumerate(rng.sample(range(0, 1200, 5), 30)):
+            copy[at] = f"own{d}x{k}"
+        texts.append(" ".join(copy))
+    bound, met = jaccard.near_pairs, []
+    monkeypatch.setattr(jaccard, "near_pairs", lambda pairs, signatures: met.append(pairs.count()) or bound(pairs, signatures))
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(frame(spark, texts)).collect())
+    assert got == brute_components(texts)
+    assert met[-1] < 500, met  # of 4,950 pairs
+
+
+def test_links_between_signatures_of_different_lengths(spark):
+    assert [jaccard.wide_words(n) for n in (1, 1024, 1025, 2048, 2049, 5000)] == [32, 32, 64, 64, 128, 256]
+    long = [f"a{k}" for k in range(1300)]
+    texts = [" ".join(long[:n]) for n in (950, 1020, 1028, 1029, 1100, 1300, 1250)] + [" ".join(["z", *long[300:1290]])]
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(frame(spark, texts)).collect()) == brute_components(texts)

@@ -5,8 +5,13 @@ signatures bound the overlap from above; pairs that pass are decided by exact in
 
 Equal sets are one entry. Every member of a tile is compared first with one member of it, chosen by a hash, and linked
 only after exact verification. That decides tiles of two; larger tiles whose entries then belong to one component need
-no comparison. So a large group of near copies costs links in proportion to its size, and nothing is lost: linked sets
+no comparison. In those that do not, every member is compared with some linked members of other components. So a large group of near copies costs links in proportion to its size, and nothing is lost: linked sets
 share a prefix shingle, and where a tile holds several components its pairs are compared across them.
+
+Shingles have one order, so the first shingle that two sets share has nothing in common before it: what both still hold from
+there on bounds their overlap. A tile compares only sets whose places of its shingle leave room for a link; linked sets have it
+where they meet first. Frequent shingles come last, so the larger a group, the fewer of its unlinked members meet. Of a run of
+shared shingles only the first makes a pair.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from tonemill.llm.winnow import WordHashes, gram_hashes
 SHINGLE = 5
 PERCENT = 80
 SKETCH = 1 << 18  # counters that order shingles from rare to frequent
-CENTRES = 4  # orders in which tiles choose the member that others are compared with first
+CENTRES = 4  # orders in which tiles choose the member that others are compared with first,
+MORE_CENTRES = 16  # and in the tiles that hold several components after that
 BIT_WORDS = 8  # signature of 512 bits, carried by tiles
-WIDE_WORDS = 32  # signature of 2,048 bits, for pairs that pass the first
+WIDE_WORDS = 32  # signature of 2,048 bits, more for sets of over 1,024, for pairs that pass the first
 
 
 def shingle_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -55,6 +61,11 @@ def prefix_length(n: int) -> int:
     return n - (n * PERCENT + 99) // 100 + 1
 
 
+def wide_words(n: int) -> int:
+    """Words of a set's wide signature: a power of two, with two bits or more for each shingle."""
+    return max(WIDE_WORDS, 1 << (2 * n - 1).bit_length() >> 6)
+
+
 def shingle_counts(docs: DataFrame) -> np.ndarray:
     """How many shingles fall in each of ``SKETCH`` hash classes, over all documents.
 
@@ -92,11 +103,14 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row per document: doc_id, n, set key, signature words and prefix shingles."""
+    """One row per document: doc_id, n, set key, signature words and prefix shingles.
+
+    Of equal sets in a task the first has the prefix, so that many copies are not many rows of a shingle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, met = WordHashes(), set()
         for b in batches:
             for start in range(0, len(b), 1000):
                 part = b.iloc[start : start + 1000]
@@ -107,11 +121,14 @@ def describe_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                         rows.append((doc_id, 0, None, None, None, None))
                         continue
                     key = xxhash.xxh3_64_intdigest(s.tobytes(), seed=5)
-                    wide = np.zeros(WIDE_WORDS * 64, np.uint8)
-                    wide[(s & np.uint64(WIDE_WORDS * 64 - 1)).astype(np.int64)] = 1
+                    wide = np.zeros(wide_words(len(s)) * 64, np.uint8)
+                    wide[(s & np.uint64(len(wide) - 1)).astype(np.int64)] = 1
                     bits = wide.reshape(-1, BIT_WORDS * 64).max(0)
-                    order = np.argsort(shared.value[_sketch_place(s)], kind="stable")  # equal counts: by hash
-                    prefix = s[order[: prefix_length(len(s))]].view(np.int64)
+                    prefix = None
+                    if key not in met:
+                        met.add(key)
+                        order = np.argsort(shared.value[_sketch_place(s)], kind="stable")  # equal counts: by hash
+                        prefix = s[order[: prefix_length(len(s))]].view(np.int64)
                     signature, broad = (np.packbits(v, bitorder="little").view(np.int64) for v in (bits, wide))
                     rows.append((doc_id, len(s), np.uint64(key).astype(np.int64), signature, broad, prefix))
                 frame = pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "bits", "wide", "prefix"])
@@ -131,6 +148,12 @@ def may_link(n1: str, n2: str, differing: Column) -> Column:
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & room
 
 
+def places_leave_room(n1: str, at1: str, n2: str, at2: str) -> Column:
+    """Whether two sets, if they share nothing before the places ``at1`` and ``at2``, can still overlap enough."""
+    left = F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2))
+    return left * (100 + PERCENT) >= (F.col(n1) + F.col(n2)) * PERCENT
+
+
 def differing_bits(pairs: list[tuple[str, str]]) -> Column:
     counts = [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in pairs]
     return sum(counts[1:], counts[0])
@@ -151,7 +174,6 @@ def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame
         return pd.Series(in_bitmap(shared.value, key.to_numpy(np.int64)))
 
     texts = docs.select(F.xxhash64("doc_id").alias("id_key"), "text").where(asked("id_key"))
-    texts = texts.join(ids.select("id_key").distinct(), "id_key", "left_semi")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -162,7 +184,8 @@ def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame
                 keys = [int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=5)).astype(np.int64)) for s in sets]
                 yield pd.DataFrame({"set_key": keys, "grams": [s.tobytes() for s in sets]})
 
-    grams = stage(texts.select("text").mapInPandas(arrays, "set_key long, grams binary").join(ids.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]), "grams")
+    # both joins below read one shuffle of the arrays
+    grams = texts.select("text").mapInPandas(arrays, "set_key long, grams binary").join(ids.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
     def intersect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -184,64 +207,82 @@ _BITS = [f"w{k}" for k in range(BIT_WORDS)]
 def near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose sizes and wide signatures leave room for a link."""
     side = lambda k: signatures.select(F.col("set_key").alias(k), F.col("n").alias("n" + k), F.col("wide").alias("w" + k))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return both.where(may_link("na", "nb", differing)).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("na", "nb", F.lit(0)))
+
+    def folded(w: str, other: str) -> Column:
+        """A signature at the length of a shorter one; sizes that may link are at most one doubling apart."""
+        half = F.size(w).cast("int") / 2
+        lower, upper = F.slice(w, F.lit(1), half.cast("int")), F.slice(w, half.cast("int") + 1, half.cast("int"))
+        return F.when(F.size(w) > F.size(other), F.zip_with(lower, upper, lambda x, y: x.bitwiseOR(y))).otherwise(F.col(w))
+
+    bits = F.zip_with(folded("wa", "wb"), folded("wb", "wa"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return both.where(may_link("na", "nb", F.aggregate(bits, F.lit(0), lambda x, y: x + y))).select("a", "b")
 
 
 def shared_shingles(described: DataFrame) -> DataFrame:
-    """``(shingle, set_key, n)`` of prefix shingles that occur in the prefixes of two sets or more."""
+    """``(shingle, set_key, n, at, before)`` of prefix shingles that occur in the prefixes of two sets or more.
+
+    at: the shingle's place in the set's order; before: the set's last one ahead of it that others may hold, too.
+    """
+    described = described.where(F.col("prefix").isNotNull())
     everywhere = described.select("set_key", F.explode("prefix").alias("shingle"))
     common = everywhere.groupBy("shingle").agg(F.min("set_key").alias("p"), F.max("set_key").alias("q")).where("p < q").select("shingle")
     common = stage(common, "common")
     # a bitmap of fixed size keeps most other shingles out of the shuffle; the join decides
     shared = described.sparkSession.sparkContext.broadcast(key_bitmap(common, "shingle"))
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def useful(prefix: pd.Series) -> pd.Series:
-        kept = [np.asarray(p, np.int64) for p in prefix]
-        return pd.Series([p[in_bitmap(shared.value, p)] for p in kept], dtype=object)
+        return pd.Series([np.flatnonzero(in_bitmap(shared.value, np.asarray(p, np.int64))).astype(np.int32) for p in prefix], dtype=object)
 
-    held = described.select("set_key", "n", useful("prefix").alias("prefix")).select("set_key", "n", F.explode("prefix").alias("shingle")).distinct()
-    return held.join(common, "shingle", "left_semi")
+    places = described.select("set_key", "n", "prefix", useful("prefix").alias("u")).select("*", F.posexplode("u").alias("k", "at"))
+    before = F.when(F.col("k") > 0, F.expr("prefix[u[k - 1]]"))
+    held = places.select("set_key", "n", F.expr("prefix[at]").alias("shingle"), "at", before.alias("before"))
+    return held.join(common, "shingle", "left_semi").distinct()
 
 
-def tile_centres(members: DataFrame) -> DataFrame:
-    """Per shingle its number of sets ``k`` and one of them: centre, centre_n.
+def tile_centres(members: DataFrame, orders: int = CENTRES) -> DataFrame:
+    """Per shingle one of its sets: centre, centre_n, centre_part; linked ones first.
 
-    Shingles are dealt over ``CENTRES`` orders, so a group meets a few centres and one odd member cannot part it.
+    Shingles are dealt over some orders, so a group meets a few centres and one odd member cannot part it.
     """
-    order = F.xxhash64("set_key", F.pmod("shingle", F.lit(CENTRES)))
-    pick = F.min(F.struct(order.alias("o"), "set_key", "n"))
-    chosen = members.groupBy("shingle").agg(F.count("*").alias("k"), pick.alias("c"))
-    return chosen.select("shingle", "k", F.col("c.set_key").alias("centre"), F.col("c.n").alias("centre_n"))
+    order = F.xxhash64("set_key", F.pmod("shingle", F.lit(orders)), F.lit(orders))
+    pick = F.min(F.struct((F.col("part") == F.col("set_key")).alias("alone"), order.alias("o"), "set_key", "n", "part"))
+    chosen = members.groupBy("shingle").agg(pick.alias("c"))
+    return chosen.select("shingle", F.col("c.set_key").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.part").alias("centre_part"))
 
 
 def star_pairs(members: DataFrame, centres: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Every set with the centres of its tiles, where sizes and signatures leave room for a link."""
-    met = members.join(centres.drop("k"), "shingle").where((F.col("centre") != F.col("set_key")) & may_link("n", "centre_n", F.lit(0)))
+    """Every set with the centres of its tiles, if of other components, where sizes and signatures leave room for a link."""
+    met = members.join(centres, "shingle").where((F.col("centre_part") != F.col("part")) & may_link("n", "centre_n", F.lit(0)))
     return near_pairs(met.select(F.least("centre", "set_key").alias("a"), F.greatest("centre", "set_key").alias("b")).distinct(), signatures)
 
 
-def tile_pairs(members: DataFrame, centres: DataFrame, signatures: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that share a tile and pass the bit-count bound.
+def mixed_tiles(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the shingles of three sets or more that are of several components; ``part`` is a set's component.
 
-    parts: ``(node, root)`` of sets that are linked already. A tile is a prefix shingle and a size band. A shingle of
-    two sets is left out: ``star_pairs`` has that pair.
+    parts: ``(node, root)`` of sets that are linked already. A shingle of two sets is left out: its pair was compared.
     """
-    rows = members.join(centres.where("k > 2").select("shingle"), "shingle", "left_semi")
-    rows = rows.join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")
-    rows = stage(rows.select("shingle", "set_key", F.coalesce("root", "set_key").alias("part")), "mixed")
-    mixed = rows.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
-    rows = rows.join(mixed, "shingle", "left_semi").join(signatures.drop("wide"), "set_key")
+    rows = members.drop("part").join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")
+    rows = stage(rows.withColumn("part", F.coalesce("root", "set_key")).drop("root"), "parted")
+    open_ = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("part").alias("p"), F.max("part").alias("q")).where("k > 2 and p < q")
+    return stage(rows.join(open_.select("shingle"), "shingle", "left_semi"), "mixed")
+
+
+def tile_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs of sets of different components that share a tile and pass the bounds. A tile is a prefix shingle and a size band."""
+    rows = members.drop("n").join(signatures.drop("wide"), "set_key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
     rows = stage(rows.withColumn("band", band), "tiles")
-    small = rows.select("shingle", "band", F.col("set_key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), *[F.col(c).alias("a" + c) for c in _BITS])
+    names = {"set_key": "a", "part": "pa", "n": "na", "at": "ata", "before": "bef"}
+    small = rows.select("shingle", "band", *[F.col(c).alias(to) for c, to in names.items()], *[F.col(c).alias("a" + c) for c in _BITS])
     # linked sizes differ by a quarter at most: a set meets smaller sets of its band and of the two below (rounding)
     large = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") - 2)))
     met = small.join(large, ["shingle", "band"]).where(
         (F.col("pa") != F.col("part"))
         & ((F.col("na") < F.col("n")) | ((F.col("na") == F.col("n")) & (F.col("a") < F.col("set_key"))))
+        & places_leave_room("na", "ata", "n", "at")
+        & ~F.coalesce(F.col("bef") == F.col("before"), F.lit(False))  # they meet there already
         & may_link("na", "n", differing_bits([("a" + c, c) for c in _BITS]))
     )
     return near_pairs(met.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct(), signatures)
@@ -259,12 +300,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     described = stage(described.select("doc_id", "n", "set_key", "wide", "prefix", *[F.col("bits")[k].alias(c) for k, c in enumerate(_BITS)]), "sets")
     full = described.where("n > 0")
     signatures = stage(full.select("set_key", "n", "wide", *_BITS).distinct(), "signatures")
-    members = stage(shared_shingles(full), "members")
-    centres = stage(tile_centres(members), "centres")
-    stars = stage(verify(stage(star_pairs(members, centres, signatures), "stars"), rows, full), "links")
-    parts = stage(connected_components(stars), "parts")
-    tiles = verify(stage(tile_pairs(members, centres, signatures, parts), "pairs"), rows, full)
-    roots = connected_components(stage(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(tiles), "links"))
+    members = stage(shared_shingles(full).withColumn("part", F.col("set_key")), "members")
+    linked = lambda pairs: verify(stage(pairs, "pairs"), rows, full)
+    joined = lambda parts, links: stage(connected_components(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links)), "parts")
+    parts = stage(connected_components(linked(star_pairs(members, tile_centres(members), signatures))), "parts")
+    members = mixed_tiles(members, parts)
+    parts = joined(parts, linked(star_pairs(members, tile_centres(members, MORE_CENTRES), signatures)))
+    members = mixed_tiles(members, parts)
+    roots = joined(parts, linked(tile_pairs(members, signatures)))
     smallest = full.groupBy("set_key").agg(F.min("doc_id").alias("least"))
     rooted = smallest.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
