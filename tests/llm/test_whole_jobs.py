@@ -1,14 +1,16 @@
 """Cases in which an operator once did less than its whole job."""
 
+import gc
 import random
 from itertools import product
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.test_llm import brute_components, frame
-from tonemill.llm import brown, html_text, jaccard, toxicity, url_lists
-from tonemill.llm.common import stage
+from tonemill.llm import bpe, brown, html_text, jaccard, quality, queries, toxicity, url_lists
+from tonemill.llm.common import BATCH_ROWS, stage
 
 
 def test_gains_are_differences_of_mutual_information():
@@ -150,3 +152,47 @@ def test_links_between_signatures_of_different_lengths(spark):
     long = [f"a{k}" for k in range(1300)]
     texts = [" ".join(long[:n]) for n in (950, 1020, 1028, 1029, 1100, 1300, 1250)] + [" ".join(["z", *long[300:1290]])]
     assert sorted(tuple(r) for r in jaccard.jaccard_components(frame(spark, texts)).collect()) == brute_components(texts)
+
+
+def test_pieces_between_white_space_have_the_words_of_the_text():
+    split = bpe.splitter(queries.tokenizer_definition())
+    rng = random.Random(6)
+    parts = ["a", "B", "É", "ſ", "'", "'s", "'LL", "7", "<|", "endoftext", "|>", ".,", "-", "×", "º", " ", "  ", "\t", "\r\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(5000)]
+    cut = [split.chunks(t) for t in texts]
+    assert sum(c is not None for c in cut) > 3000
+    for text, chunks in zip(texts, cut):
+        if chunks is not None:
+            assert [w for c in chunks for w in bpe._PLAIN_WORDS.findall(c)] == split.words(text)
+    # a special token is one word, its name in capitals is not, and other alphabets are split by the library
+    assert [split.chunks(t) for t in ("a <|endoftext|> b", "a <|ENDOFTEXT|> b", "я b", None, "")] == [None, None, None, [], []]
+
+
+def test_numbers_of_many_documents_are_packed_at_once():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 1 << int(rng.integers(1, 28)), n) for n in (0, 5, 1, 0, 300, 0)]
+    count = np.array([len(p) for p in parts])
+    values, sizes = bpe.unpack_all(bpe.pack_all(np.concatenate(parts), count))
+    assert (sizes == count).all() and (values == np.concatenate(parts)).all()
+
+
+def test_tables_of_a_worker_go_with_what_was_broadcast(spark):
+    shared = spark.sparkContext.broadcast(["a", "b"])
+    before = len(bpe._HELD)
+    assert bpe.held(shared, len) == 2 and len(bpe._HELD) == before + 1
+    del shared
+    gc.collect()
+    assert len(bpe._HELD) == before
+
+
+def test_quality_stage_scores_in_small_batches(spark, monkeypatch):
+    class Checked(quality.PairwiseModel):
+        def score(self, features):
+            assert len(features) <= limit, len(features)
+            return super().score(features)
+
+    limit = BATCH_ROWS
+    model = Checked(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), np.zeros(quality.FEATURES), 0.0, 1.0)
+    monkeypatch.setattr(quality, "fit_quality", lambda docs, labels: model)
+    docs = frame(spark, ["some words"] * 12_000).coalesce(1)
+    assert corpus_pipeline.keep_good(spark, docs, "/root/testdata/sf0.001").count() == 12_000

@@ -3,22 +3,27 @@
 Texts are split into words; every distinct word is encoded once; ids are joined back by position. The most frequent
 words, a table of bounded size, travel to the tasks and are joined there; all others are joined by word. A document
 crosses the network as word ranks, a byte or two each, and is put together where its rare words arrive.
+
+No word holds white space, so a plain text is first cut there; most pieces are words, and the others are split once while
+they are remembered.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import repeat
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
@@ -30,6 +35,7 @@ FREQUENT_WORDS = 1 << 19
 FREQUENT_BYTES = 40
 FLUSH = 400_000
 SLICE = 256  # documents per output batch
+REMEMBERED = 1 << 16  # pieces of text whose words a task remembers
 
 # Texts of these characters only (ASCII, Latin-1 and Latin Extended-A letters and signs) are normalised and split here:
 # for them lower-casing is by single characters and no composition happens. Others go through the library's splitter.
@@ -75,6 +81,15 @@ class WordSplitter:
                 out += [w for w, _ in self.split.pre_tokenize_str(normal)]
         return out
 
+    def chunks(self, text: str | None) -> list[str] | None:
+        """Lower-case pieces between white space of a plain text without special tokens, else None.
+
+        Their words, one after another, are the text's words; a piece that is a word of any text is that word alone.
+        """
+        low = (text or "").lower()
+        plain = self.plain and self.plain.fullmatch(text or "") and not (self.cut and (self.cut.search(text or "") or self.cut.search(low)))
+        return low.split() if plain else None
+
     def encode(self, word: str) -> list[int]:
         if word in self.special:
             return [self.special[word]]
@@ -89,16 +104,26 @@ def splitter(definition: str) -> WordSplitter:
     return WordSplitter(definition)
 
 
-_HELD: dict[tuple[str, str], object] = {}
+_HELD: WeakKeyDictionary[Broadcast, object] = WeakKeyDictionary()
+
+
+def held(shared: Broadcast, make):
+    """A table built once per Python worker from what was broadcast; it goes when the worker lets go of the broadcast."""
+    if shared not in _HELD:
+        _HELD[shared] = make(shared.value)
+    return _HELD[shared]
+
 
+def joined(values: pa.Array, at: np.ndarray, size: np.ndarray, between: str | bytes) -> pa.Array:
+    """The values at the places ``at`` put together, ``size`` of them each."""
+    offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, values.take(pa.array(at))), between)
 
-def held(call: str, what: str, make):
-    """A table built once per Python worker and call, from what was broadcast; tables of earlier calls are let go."""
-    if (call, what) not in _HELD:
-        for key in [k for k in _HELD if k[0] != call]:
-            del _HELD[key]
-        _HELD[call, what] = make()
-    return _HELD[call, what]
+
+def decoded(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    """Texts of id lists (32-bit, little-endian)."""
+    raw = ids.to_pylist()
+    return joined(pieces, np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.fromiter(map(len, raw), np.int64, len(raw)) // 4, " ")
 
 
 @cache
@@ -106,41 +131,73 @@ def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
 
-def pack(ranks: np.ndarray) -> bytes:
-    """Numbers below 2^28 as one to four bytes, seven bits each, frequent words shortest; then compressed."""
+def pack_all(ranks: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Numbers below 2^28 as one to four bytes, seven bits each, frequent words shortest; ``count`` of them each; then compressed."""
     size = 1 + (ranks >= 1 << 7) + (ranks >= 1 << 14) + (ranks >= 1 << 21)
-    start = np.cumsum(size) - size
+    end = np.cumsum(size)
+    start = end - size
     out = np.zeros(int(size.sum()), np.uint8)
     for k in range(4):
-        here = size > k
+        here = np.flatnonzero(size > k) if k else slice(None)
         out[start[here] + k] = (ranks[here] >> (7 * k)) & 127 | np.where(size[here] > k + 1, 128, 0)
-    return _codec()[0].compress(out.tobytes())
+    cut = np.append(0, end)[np.append(0, np.cumsum(count))].tolist()
+    raw, compress = out.tobytes(), _codec()[0].compress
+    return [compress(raw[a:b]) for a, b in zip(cut, cut[1:])]
 
 
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(_codec()[1].decompress(data), np.uint8)
-    last = np.flatnonzero(raw < 128)
+def unpack_all(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``pack_all``, and how many there are of each."""
+    parts = list(map(_codec()[1].decompress, data))
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    ends = raw < 128
+    last = np.flatnonzero(ends)
     start = np.append(0, last[:-1] + 1) if len(last) else last
     size = last - start + 1
-    out = np.zeros(len(last), np.int64)
-    for k in range(4):
-        here = size > k
+    out = (raw[start] & 127).astype(np.int64)
+    for k in range(1, 4):
+        here = np.flatnonzero(size > k)
         out[here] |= (raw[start[here] + k].astype(np.int64) & 127) << (7 * k)
-    return out
+    upto = np.append(0, np.cumsum(ends))[np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64))]
+    return out, np.diff(upto)
+
+
+def pack(ranks: np.ndarray) -> bytes:
+    return pack_all(ranks, np.array([len(ranks)]))[0]
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return unpack_all([data])[0]
 
 
 def distinct_words(docs: DataFrame, definition: str) -> DataFrame:
     """``(word, n, ids)``: every distinct word of all texts, its count, and its ids (32-bit, little-endian), encoded once."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, found = splitter(definition).words, Counter()
+        split, found = splitter(definition), Counter()
+
+        def words() -> pd.DataFrame:
+            """Pieces become words; those of letters alone are one each."""
+            mixed = [c for c in pieces if not c.isalpha()]
+            mixed = [(c, pieces.pop(c)) for c in mixed]
+            for c, n in mixed:
+                for w in _PLAIN_WORDS.findall(c):
+                    pieces[w] += n
+            pieces.update(found)
+            return count_frame(pieces)
+
+        pieces: Counter[str] = Counter()
         for b in batches:
             for t in b["text"]:
-                found.update(split(t))
-                if len(found) > FLUSH:
-                    yield count_frame(found)
+                chunks = split.chunks(t)
+                if chunks is None:
+                    found.update(split.words(t))
+                else:
+                    pieces.update(chunks)
+                if len(found) + len(pieces) > FLUSH:
+                    yield words()
                     found.clear()
-        yield count_frame(found)
+                    pieces.clear()
+        yield words()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = splitter(definition).encode
@@ -163,25 +220,37 @@ def encode_documents(docs: DataFrame, definition: str, keep: list[str] | None =
     words = distinct_words(docs, definition)
     often = words.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word", "ids").toArrow()
     context = docs.sparkSession.sparkContext
-    names = context.broadcast(often["word"].to_pylist())
-    encoded = context.broadcast([bytes(i) for i in often["ids"].to_pylist()])
+    names = context.broadcast(often["word"].combine_chunks())
+    encoded = context.broadcast(often["ids"].combine_chunks().cast(pa.binary()))
     limit = often.num_rows
-    call = uuid.uuid4().hex
-    rank_of = lambda: {w: k for k, w in enumerate(names.value)}
+    rank_of = lambda words: {w: k for k, w in enumerate(words.to_pylist())}
     # kept columns travel as one struct that Python only passes on
     rows = docs.select(F.struct(*cols).alias("_doc"), F.xxhash64("doc_id", "text").alias("_u"), F.xxhash64("text", F.lit(3)).alias("_v"), F.col("text").alias("_text"))
     kept = rows.schema["_doc"]
 
-    def unknown(seen: list[str], known: dict[str, int]) -> list[str]:
-        """Words of a text that are not among the frequent ones, by first place."""
-        return [w for w in dict.fromkeys(seen) if w not in known]
-
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = held(call, "ranks", rank_of), splitter(definition).words
+        known, split = held(names, rank_of), splitter(definition)
+        usual: set[str] = set()  # pieces without rare words
+
+        def unknown(text: str | None) -> list[str]:
+            """Words of a text that are not among the frequent ones, in order."""
+            chunks = split.chunks(text)
+            if chunks is None:
+                return sorted(set(split.words(text)).difference(known))
+            out: set[str] = set()
+            for c in set(chunks).difference(known).difference(usual):
+                odd = [w for w in _PLAIN_WORDS.findall(c) if w not in known]
+                out.update(odd)
+                if not odd:
+                    usual.add(c)
+            if len(usual) > REMEMBERED:
+                usual.clear()
+            return sorted(out)
+
         for b in batches:
             for start in range(0, b.num_rows, SLICE):
                 part = b.slice(start, SLICE)
-                found = [unknown(split(t), known) for t in part["_text"].to_pylist()]
+                found = [unknown(t) for t in part["_text"].to_pylist()]
                 size = [len(f) for f in found]
                 columns = {
                     "_u": np.repeat(part["_u"].to_numpy(), size),
@@ -192,19 +261,50 @@ def encode_documents(docs: DataFrame, definition: str, keep: list[str] | None =
                 yield pa.RecordBatch.from_pydict(columns)
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = held(call, "ranks", rank_of), splitter(definition).words
+        known, split = held(names, rank_of), splitter(definition)
+        pieces: dict[str, list[int]] = {}  # ranks of the words of pieces that are more than a word; -1 - k is odd[k]
+        odd: dict[str, int] = {}
+
+        def rank(word: str) -> int:
+            at = known.get(word)
+            return -1 - odd.setdefault(word, len(odd)) if at is None else at
+
+        def places(text: str | None) -> list[int]:
+            chunks = split.chunks(text)
+            if chunks is None:
+                return list(map(rank, split.words(text)))
+            out: list[int] = []
+            for at, c in zip(map(known.get, chunks), chunks):
+                if at is not None:
+                    out.append(at)
+                elif c in pieces:
+                    out += pieces[c]
+                else:
+                    pieces[c] = list(map(rank, _PLAIN_WORDS.findall(c)))
+                    out += pieces[c]
+            return out
+
         for b in batches:
             for start in range(0, b.num_rows, SLICE):
-                part, out = b.slice(start, SLICE), []
-                for t in part["_text"].to_pylist():
-                    seen = split(t)
-                    at = np.fromiter(map(known.get, seen, repeat(-1)), np.int64, len(seen))
-                    missing = np.flatnonzero(at < 0).tolist()
-                    if missing:
-                        own = {w: limit + k for k, w in enumerate(dict.fromkeys(seen[i] for i in missing))}
-                        at[missing] = [own[seen[i]] for i in missing]
-                    out.append(pack(at))
-                yield pa.RecordBatch.from_arrays([part["_doc"], part["_u"], part["_v"], pa.array(out, pa.binary())], names=["_doc", "_u", "_v", "_packed"])
+                part = b.slice(start, SLICE)
+                if len(pieces) > REMEMBERED or len(odd) > REMEMBERED:
+                    pieces.clear()
+                    odd.clear()
+                seen = [places(t) for t in part["_text"].to_pylist()]
+                count = np.array([len(s) for s in seen], np.int64)
+                at = np.concatenate([np.fromiter(s, np.int64, len(s)) for s in seen])
+                rare = np.flatnonzero(at < 0)
+                if len(rare):
+                    # a document's own words are numbered in their order behind the frequent ones
+                    spelled = list(odd)
+                    doc, own = np.unique(np.stack([np.repeat(np.arange(len(seen)), count)[rare], -1 - at[rare]]), axis=1, return_inverse=True)
+                    pairs = list(zip(doc[0].tolist(), [spelled[k] for k in doc[1].tolist()]))
+                    order = np.array(sorted(range(len(pairs)), key=pairs.__getitem__))
+                    number = np.empty(len(pairs), np.int64)
+                    number[order] = np.arange(len(pairs)) - np.searchsorted(doc[0], doc[0][order])
+                    at[rare] = limit + number[own.ravel()]
+                packed = pa.array(pack_all(at, count), pa.binary())
+                yield pa.RecordBatch.from_arrays([part["_doc"], part["_u"], part["_v"], packed], names=["_doc", "_u", "_v", "_packed"])
 
     asked = rows.select("_u", "_v", "_text").mapInArrow(rare_words, "_u long, _v long, _at int, word string")
     # documents that repeat id and text ask for the same words: their answers are one
@@ -212,35 +312,26 @@ def encode_documents(docs: DataFrame, definition: str, keep: list[str] | None =
     packed = rows.mapInArrow(ranks, StructType([kept, StructField("_u", LongType()), StructField("_v", LongType()), StructField("_packed", BinaryType())]))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = splitter(definition).pieces()
-        ids = held(call, "ids", lambda: list(encoded.value))
-        text = held(call, "text", lambda: [None] * limit)
-
-        def decoded(data: bytes) -> str:
-            return " ".join([pieces[i] for i in np.frombuffer(data, "<u4").tolist()])
-
+        pieces = pa.array(splitter(definition).pieces(), pa.string())
+        ids, text = held(encoded, lambda often: (often, decoded(often, pieces)))
         for b in batches:
             for start in range(0, b.num_rows, SLICE):
-                part, out, clear = b.slice(start, SLICE), [], []
+                part = b.slice(start, SLICE)
+                at, count = unpack_all(part["_packed"].to_pylist())
                 rare = part["_rare"]
                 size = rare.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                end = np.cumsum(size)
                 flat = rare.flatten()
-                places, answered = flat.field("_at").to_numpy(), flat.field("ids").to_pylist()
-                for data, n, stop in zip(part["_packed"].to_pylist(), size.tolist(), end.tolist()):
-                    # the document's own words take the places behind the frequent ones
-                    own = [answered[k] for k in (np.argsort(places[stop - n : stop]) + stop - n).tolist()]
-                    ids[limit:] = own
-                    text[limit:] = [decoded(i) for i in own]
-                    at = unpack(data)
-                    for r in np.unique(at).tolist():
-                        if text[r] is None:
-                            text[r] = decoded(ids[r])
-                    at = at.tolist()
-                    out.append(b"".join(map(ids.__getitem__, at)))
-                    clear.append(" ".join(filter(None, map(text.__getitem__, at))))
-                yield pa.RecordBatch.from_arrays([part["_doc"], pa.array(out, pa.binary()), pa.array(clear, pa.string())], names=["_doc", "ids", "decoded"])
-
-    joined = packed.join(answers, ["_u", "_v"], "left").select("_doc", "_packed", "_rare")
-    done = joined.mapInArrow(put_together, StructType([kept, StructField("ids", BinaryType()), StructField("decoded", StringType())]))
+                # the documents' own words take the places behind the frequent ones
+                order = np.lexsort((flat.field("_at").to_numpy(), np.repeat(np.arange(len(size)), size)))
+                own = flat.field("ids").take(pa.array(order)).cast(pa.binary())
+                at += np.where(at < limit, 0, np.repeat(np.cumsum(size) - size, count))
+                texts = pa.concat_arrays([text, decoded(own, pieces)])
+                shown = pc.binary_length(texts).to_numpy()[at] > 0
+                doc = np.repeat(np.arange(len(count)), count)
+                clear = joined(texts, at[shown], np.bincount(doc[shown], minlength=len(count)), " ")
+                whole = joined(pa.concat_arrays([ids, own]), at, count, b"")
+                yield pa.RecordBatch.from_arrays([part["_doc"], whole, clear], names=["_doc", "ids", "decoded"])
+
+    answered = packed.join(answers, ["_u", "_v"], "left").select("_doc", "_packed", "_rare")
+    done = answered.mapInArrow(put_together, StructType([kept, StructField("ids", BinaryType()), StructField("decoded", StringType())]))
     return done.select(*[F.col("_doc")[c].alias(c) for c in cols], "ids", "decoded")
