@@ -5,7 +5,7 @@ signatures bound the overlap from above; pairs that pass are decided by exact in
 
 Equal sets are one entry. Every member of a tile is compared first with one member of it, chosen by a hash, and linked
 only after exact verification. That decides tiles of two; larger tiles whose entries then belong to one component need
-no comparison. In those that do not, every member is compared with some linked members of other components. So a large group of near copies costs links in proportion to its size, and nothing is lost: linked sets
+no comparison. So a large group of near copies costs links in proportion to its size, and nothing is lost: linked sets
 share a prefix shingle, and where a tile holds several components its pairs are compared across them.
 
 Shingles have one order, so the first shingle that two sets share has nothing in common before it: what both still hold from
@@ -32,8 +32,7 @@ from tonemill.llm.winnow import WordHashes, gram_hashes
 SHINGLE = 5
 PERCENT = 80
 SKETCH = 1 << 18  # counters that order shingles from rare to frequent
-CENTRES = 4  # orders in which tiles choose the member that others are compared with first,
-MORE_CENTRES = 16  # and in the tiles that hold several components after that
+CENTRES = 4  # orders in which tiles choose the member that others are compared with first
 BIT_WORDS = 8  # signature of 512 bits, carried by tiles
 WIDE_WORDS = 32  # signature of 2,048 bits, more for sets of over 1,024, for pairs that pass the first
 
@@ -241,20 +240,19 @@ def shared_shingles(described: DataFrame) -> DataFrame:
     return held.join(common, "shingle", "left_semi").distinct()
 
 
-def tile_centres(members: DataFrame, orders: int = CENTRES) -> DataFrame:
-    """Per shingle one of its sets: centre, centre_n, centre_part; linked ones first.
+def tile_centres(members: DataFrame) -> DataFrame:
+    """Per shingle one of its sets: centre, centre_n.
 
-    Shingles are dealt over some orders, so a group meets a few centres and one odd member cannot part it.
+    Shingles are dealt over ``CENTRES`` orders, so a group meets a few centres and one odd member cannot part it.
     """
-    order = F.xxhash64("set_key", F.pmod("shingle", F.lit(orders)), F.lit(orders))
-    pick = F.min(F.struct((F.col("part") == F.col("set_key")).alias("alone"), order.alias("o"), "set_key", "n", "part"))
-    chosen = members.groupBy("shingle").agg(pick.alias("c"))
-    return chosen.select("shingle", F.col("c.set_key").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.part").alias("centre_part"))
+    order = F.xxhash64("set_key", F.pmod("shingle", F.lit(CENTRES)))
+    chosen = members.groupBy("shingle").agg(F.min(F.struct(order.alias("o"), "set_key", "n")).alias("c"))
+    return chosen.select("shingle", F.col("c.set_key").alias("centre"), F.col("c.n").alias("centre_n"))
 
 
 def star_pairs(members: DataFrame, centres: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Every set with the centres of its tiles, if of other components, where sizes and signatures leave room for a link."""
-    met = members.join(centres, "shingle").where((F.col("centre_part") != F.col("part")) & may_link("n", "centre_n", F.lit(0)))
+    """Every set with the centres of its tiles, where sizes and signatures leave room for a link."""
+    met = members.join(centres, "shingle").where((F.col("centre") != F.col("set_key")) & may_link("n", "centre_n", F.lit(0)))
     return near_pairs(met.select(F.least("centre", "set_key").alias("a"), F.greatest("centre", "set_key").alias("b")).distinct(), signatures)
 
 
@@ -263,7 +261,7 @@ def mixed_tiles(members: DataFrame, parts: DataFrame) -> DataFrame:
 
     parts: ``(node, root)`` of sets that are linked already. A shingle of two sets is left out: its pair was compared.
     """
-    rows = members.drop("part").join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")
+    rows = members.join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")
     rows = stage(rows.withColumn("part", F.coalesce("root", "set_key")).drop("root"), "parted")
     open_ = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("part").alias("p"), F.max("part").alias("q")).where("k > 2 and p < q")
     return stage(rows.join(open_.select("shingle"), "shingle", "left_semi"), "mixed")
@@ -300,14 +298,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     described = stage(described.select("doc_id", "n", "set_key", "wide", "prefix", *[F.col("bits")[k].alias(c) for k, c in enumerate(_BITS)]), "sets")
     full = described.where("n > 0")
     signatures = stage(full.select("set_key", "n", "wide", *_BITS).distinct(), "signatures")
-    members = stage(shared_shingles(full).withColumn("part", F.col("set_key")), "members")
+    members = stage(shared_shingles(full), "members")
     linked = lambda pairs: verify(stage(pairs, "pairs"), rows, full)
-    joined = lambda parts, links: stage(connected_components(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links)), "parts")
     parts = stage(connected_components(linked(star_pairs(members, tile_centres(members), signatures))), "parts")
-    members = mixed_tiles(members, parts)
-    parts = joined(parts, linked(star_pairs(members, tile_centres(members, MORE_CENTRES), signatures)))
-    members = mixed_tiles(members, parts)
-    roots = joined(parts, linked(tile_pairs(members, signatures)))
+    tiles = linked(tile_pairs(mixed_tiles(members, parts), signatures))
+    roots = connected_components(stage(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(tiles), "links"))
     smallest = full.groupBy("set_key").agg(F.min("doc_id").alias("least"))
     rooted = smallest.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
