@@ -40,8 +40,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a stored row number, so of rows that repeat an id or have none one stays in each group, too.
     Documents without words are near duplicates of nothing: all stay.
     """
-    numbered = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("doc_id"), "text")
-    numbered = stage_table(numbered, "numbered")
+    numbered = stage_table(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("doc_id")), "numbered")
+    numbered = numbered.withColumn("text", F.col("_doc")["text"])  # the text is written once
     classes = jaccard.jaccard_components(numbered)
     ids = numbered.select("doc_id", F.col("_doc")["doc_id"].alias("id"))
     first = F.min(F.struct(F.col("id").isNull(), "id", F.col("doc_id").alias("row")))

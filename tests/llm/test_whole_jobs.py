@@ -196,3 +196,27 @@ def test_quality_stage_scores_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(quality, "fit_quality", lambda docs, labels: model)
     docs = frame(spark, ["some words"] * 12_000).coalesce(1)
     assert corpus_pipeline.keep_good(spark, docs, "/root/testdata/sf0.001").count() == 12_000
+
+
+def test_python_steps_of_a_task_are_one(spark, monkeypatch):
+    # two in a row, a filter and what it feeds, are two workers for each core
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    docs = frame(spark, ["a b c d e f g"] * 3 + ["a b c d e f h", None])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "stage", lambda df, name: plan(df) or stage(df, name))
+    assert quality.labelled_features(docs, labels).count() > 0
+    sets = jaccard.describe_sets(docs, jaccard.shingle_counts(docs)).where("n > 0")
+    a, b = sorted(r["set_key"] for r in sets.select("set_key").distinct().collect())
+    linked = jaccard.verify(spark.createDataFrame([(a, b)], "a long, b long"), docs, sets)
+    plan(linked)
+    assert linked.count() == 0  # two of four shingles
+    assert len(plans) == 2 and all("MapInPandas" in p and "ArrowEvalPython" not in p for p in plans)
+
+
+def test_numbered_rows_hold_their_text_once(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(corpus_pipeline, "stage_table", lambda df, name: written.update({name: df.columns}) or stage(df, name))
+    docs = frame(spark, ["a b c d e f g", "a b c d e f g", "other words", None])
+    assert corpus_pipeline.one_of_each(spark, docs, "").count() == 3
+    assert written == {"numbered": ["_doc", "doc_id"]}

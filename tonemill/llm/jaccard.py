@@ -168,15 +168,11 @@ def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame
     ids = stage(held.select(F.xxhash64("doc_id").alias("id_key"), "set_key"), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(ids, "id_key"))
 
-    @F.pandas_udf("boolean")
-    def asked(key: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(shared.value, key.to_numpy(np.int64)))
-
-    texts = docs.select(F.xxhash64("doc_id").alias("id_key"), "text").where(asked("id_key"))
-
+    # one Python step: a second one in the same tasks would be a second worker for each core
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
+            b = b[in_bitmap(shared.value, b["id_key"].to_numpy(np.int64))]
             for start in range(0, len(b), 500):
                 part = b.iloc[start : start + 500]
                 sets = [shingle_set(t, hashes) for t in part["text"]]
@@ -184,7 +180,8 @@ def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame
                 yield pd.DataFrame({"set_key": keys, "grams": [s.tobytes() for s in sets]})
 
     # both joins below read one shuffle of the arrays
-    grams = texts.select("text").mapInPandas(arrays, "set_key long, grams binary").join(ids.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+    texts = docs.select(F.xxhash64("doc_id").alias("id_key"), "text")
+    grams = texts.mapInPandas(arrays, "set_key long, grams binary").join(ids.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
     def intersect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

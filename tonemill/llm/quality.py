@@ -99,15 +99,14 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # a bitmap of fixed size keeps most texts without a label out; the join decides, and only features are shuffled
     shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(usable.select(F.xxhash64("doc_id").alias("id_key")), "id_key"))
 
-    @F.pandas_udf("boolean")
-    def asked(key: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(shared.value, key.to_numpy(np.int64)))
-
+    # one Python step: a second one in the same tasks would be a second worker for each core
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [text_features(t) for t in b["text"]]})
+            b = b[in_bitmap(shared.value, b["id_key"].to_numpy(np.int64))]
+            if len(b):
+                yield pd.DataFrame({"doc_id": b["doc_id"], "x": [text_features(t) for t in b["text"]]})
 
-    texts = docs.where(id_remainder("doc_id", 4) != 2).select("doc_id", "text").where(asked(F.xxhash64("doc_id")))
+    texts = docs.where(id_remainder("doc_id", 4) != 2).select("doc_id", "text", F.xxhash64("doc_id").alias("id_key"))
     return stage(texts.mapInPandas(features, "doc_id long, x array<double>").join(usable, "doc_id"), "features")
 
 
