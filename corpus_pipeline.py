@@ -56,8 +56,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its id, number of tokens, and digests of token ids and decoded text; null and empty texts have none."""
-    return token_digest(bpe.encode_documents(docs, tokenizer_definition()))
+    """Per document its id, number of tokens, and digests of token ids and decoded text; null and empty texts have none.
+
+    The digests are written here for the same reason as the table of ``keep_good``.
+    """
+    return stage_table(token_digest(bpe.encode_documents(docs, tokenizer_definition())), "tokens")
 
 
 STAGES = [

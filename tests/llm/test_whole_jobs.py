@@ -220,3 +220,10 @@ def test_numbered_rows_hold_their_text_once(spark, monkeypatch):
     docs = frame(spark, ["a b c d e f g", "a b c d e f g", "other words", None])
     assert corpus_pipeline.one_of_each(spark, docs, "").count() == 3
     assert written == {"numbered": ["_doc", "doc_id"]}
+
+
+def test_tokens_stage_encodes_in_small_batches(spark):
+    docs = frame(spark, ["some words", None, "some words", ""], [1, 2, 1, None])
+    got = corpus_pipeline.encode(spark, docs, "")
+    assert sorted(r["n_tokens"] for r in got.collect()) == [0, 0, 2, 2]
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()  # it ran where batches are small

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import FIT_ROWS, in_remainder, labelled_sample
+from tonemill.llm.common import FIT_ROWS, in_remainder, labelled_sample, small_batches
 
 TOXIC = 0.7
 MIN_SUPPORT = 4  # toxic training documents with different texts a feature must occur in
@@ -54,7 +54,8 @@ def trigram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """log p(third | first two) of letter classes over all documents; a table of 59^3 numbers at any size."""
-    rows = docs.select("text").mapInPandas(trigram_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInPandas(trigram_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     tri = np.zeros(ALPHABET**3)
     tri[rows["key"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     tri = tri.reshape(ALPHABET, ALPHABET, ALPHABET)
