@@ -48,6 +48,39 @@ def test_words_behind_the_most_frequent_are_exchanged_too(spark):
     assert model.tokens == sum(r["n"] for r in counts.collect()) + 400
 
 
+def test_rounds_leave_neighbours_where_they_are_and_count_every_pair(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{int(rng.paretovariate(0.6)) % 5000}{rng.choice(['s', 'ed', ''])}" for _ in range(rng.randrange(90))) for _ in range(300)]
+    docs = frame(spark, [*texts, None, "", "so so so"])
+    for name, value in (("FREQUENT_WORDS", 1100), ("BLOCK_WORDS", 400)):
+        monkeypatch.setattr(brown, name, value)
+    staged = {}
+
+    def kept(df, name, *rows):
+        staged.setdefault(name, []).append(out := stage(df, name, *rows))
+        return out
+
+    monkeypatch.setattr(brown, "stage", kept)
+    counts = stage(brown.count_words(docs), "words")
+    v = brown.number_words(counts)
+    classes, rare, pairs, forms, _ = brown.exchange_all(docs, v)
+    words = counts.count()
+    assert v.blocks > 3 and words > 1500 and len(staged["moves"]) > 2
+    assert set(staged) == {"rare", "moves", "rare_classes"}  # no neighbours, no row a word in any round
+    assert all(x.count() < words / 4 for x in staged["moves"])
+    number = {w: brown.rare_id(bytes(w)) for w in (r["word"] for r in v.rare.collect())}
+    by_id = {r["id"]: r["k"] for r in rare.collect()}
+    of = dict(zip(v.frequent, classes)) | {bytes(w): by_id[i] for w, i in number.items()}
+    assert len(of) == words
+    want, want_forms = np.zeros((brown.CLASSES, brown.CLASSES)), np.zeros((brown.FORMS, brown.CLASSES))
+    for r in docs.collect():
+        k = [brown.CLASSES - 1, *(of[w] for w in brown.split_words(r["text"])), brown.CLASSES - 1]
+        np.add.at(want, (k[:-1], k[1:]), 1)
+    for w, k in of.items():
+        want_forms[brown.form_of(w), k] += 1
+    assert (pairs == want).all() and (forms == want_forms).all()
+
+
 @pytest.mark.parametrize("start", ['<a href="/hidden-gems">', '<p title="A hidden truth">', '<article data-hidden="false">', "<div title='aria-hidden=true'>", "<div data-style=\"display:none\">"])
 def test_only_an_attribute_of_its_own_hides(start):
     assert not any(v.hidden for v in html_text.parse(start + "text"))

@@ -40,6 +40,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(setting, before)
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the job that wrote them: what later jobs read is staged or persisted."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stage(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once and survives lost executors."""
     spark = df.sparkSession
