@@ -5,7 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import AWKWARD, frame
@@ -124,6 +127,90 @@ def test_repeats_of_short_strings(spark):
     assert removed(frame(spark, ["a"]).limit(0)) == []
 
 
+def bucket_of(texts, length=50, buckets=1):
+    """The runs of texts, each a task of its own, as one table."""
+    bits = suffix_dedup.filter_bits(buckets)
+    words, hot = np.full(buckets * bits // 8, 255, np.uint8), np.zeros(suffix_dedup.HOT_BITS // 32, np.uint32)
+    tasks = [suffix_dedup.task_runs(iter([([i], [i], [t])]), words, hot, length, buckets, 1 << 20) for i, t in enumerate(texts)]
+    return pa.Table.from_batches([b for task in tasks for b in task])
+
+
+def test_only_differing_zones_of_a_gram_are_merged(monkeypatch):
+    # zones that are alone or equal to others are settled before the loser tree
+    looked = []
+    real = suffix_dedup.common_prefix
+    monkeypatch.setattr(suffix_dedup, "common_prefix", lambda a, b, known: looked.append(known) or real(a, b, known))
+    rng = random.Random(4)
+    text = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    copy, shared = text(2000), text(200)
+    got = suffix_dedup._merge_bucket(bucket_of([text(2000), copy, text(2000), copy, copy]), 50)
+    assert got.tolist() == [[3, 0, 2000], [4, 0, 2000]] and not looked
+    got = suffix_dedup._merge_bucket(bucket_of([text(300) + shared + b"." + text(300), text(90) + b"!" + shared + b"?" + text(80)]), 50)
+    assert got.tolist() == [[1, 91, 291]] and looked
+
+
+def test_ids_stay_whole_in_runs():
+    big = (1 << 60) + 1  # beyond what a double holds
+    words, hot = np.full(suffix_dedup.filter_bits(3) * 3 // 8, 255, np.uint8), np.zeros(suffix_dedup.HOT_BITS // 32, np.uint32)
+    ids = [-5, big, big + 1, suffix_dedup.LAST]
+    rows = list(suffix_dedup.task_runs(iter([(ids, ids, [bytes(range(k, 200)) for k in range(4)])]), words, hot, 50, 3, 1 << 20))
+    found = {i for r in rows if r.column("shared")[0].as_py() for i in suffix_dedup._unpacked(r.column("ord")[0].as_py()).tolist()}
+    assert found <= set(ids) and -5 in found and big in found
+
+
+def test_front_coded_rows_come_back():
+    rng = random.Random(6)
+    runs = [sorted(bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(12))) for _ in range(n)) for n in (1, 30, 0, 7)]
+    coded = [suffix_dedup.front_code(r) for r in runs]
+    shared, tail = (np.concatenate([c[k] for c in coded]) for k in range(2))
+    data = np.frombuffer(b"".join(zstandard.decompress(c[2]) for c in coded), np.uint8)
+    rows = suffix_dedup.front_decode(shared, tail, data, 16)
+    assert [r.tobytes()[:n] for r, n in zip(rows, shared + tail)] == sum(runs, [])
+
+
+@pytest.mark.parametrize("paired", [1, 3, 16])
+def test_stretches_pair_by_pair_equal_those_by_strings(monkeypatch, paired):
+    monkeypatch.setattr(suffix_dedup, "PAIRED", paired)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 5)
+    rng = random.Random(paired)
+    for _ in range(40):
+        groups = []
+        for _ in range(8):
+            gram = bytes(rng.choice(b"ab") for _ in range(4))
+            part = lambda n: bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(n)))
+            whole = [(part(5), gram + part(5)) for _ in range(rng.randrange(1, 8))]
+            groups.append([(left, key, rng.randrange(4)) for left, key in dict.fromkeys(whole) if len(left + key) >= 8])
+        want = [h for g in groups for h in suffix_dedup._group_hits(g, 8)]
+        flat = [z for g in groups for z in g]
+        pad = lambda b: list(b.ljust(8, b"\0"))
+        key, left = (np.array([pad(b) for b in c], np.uint8).reshape(-1, 8) for c in ([k for _, k, _ in flat], [x[::-1] for x, _, _ in flat]))
+        zones = suffix_dedup.Zones(key, np.array([len(k) for _, k, _ in flat], int), left, np.array([len(x) for x, _, _ in flat], int))
+        group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        before, behind = suffix_dedup._stretches(zones, np.array([o for _, _, o in flat], int), group, 8)
+        assert [(b, e) if e >= 0 else None for b, e in zip(before.tolist(), behind.tolist())] == want
+
+
+def test_filter_grows_with_the_shared_grams():
+    # a bitmap of one size fills up as tables grow, and then every anchor is exchanged
+    assert suffix_dedup.filter_bits(600) * 600 > 1 << 28 and suffix_dedup.filter_bits(100_000) * 100_000 <= suffix_dedup.FILTER_BITS
+    buckets, rng = 8, random.Random(9)
+    text = lambda n: bytes(rng.randrange(32, 127) for _ in range(n))
+    shared = [text(30_000) for _ in range(40)]
+    parts, bits = [[] for _ in range(buckets)], 1 << 17
+    for texts in (shared, shared, [text(2_000_000)]):
+        for bucket, grams in zip(*suffix_dedup.gram_rows(texts, 50, buckets)):
+            parts[bucket].append(grams)
+    assert max(map(len, (b"".join(p) for p in parts))) < 1.5 * min(map(len, (b"".join(p) for p in parts)))  # spread evenly
+    words = np.frombuffer(b"".join(suffix_dedup.several(p, bits, 2048)[0] for p in parts), np.uint8)
+
+    def passing(texts):
+        h = np.concatenate([suffix_dedup.zones(np.frombuffer(b[0], np.uint8), b[2], 50)[3] for b in suffix_dedup.blocks(texts, 50)])
+        return suffix_dedup.in_filter(words, bits, h, buckets).mean()
+
+    assert passing(shared) == 1
+    assert passing([text(500_000)]) < 0.03
+
+
 def phrases_by_hand(rows, support, top):
     counts, totals = Counter(), Counter()
     for lang, text in rows:
